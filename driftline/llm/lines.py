@@ -24,6 +24,7 @@ from driftline.llm.common import keyed, table
 #: White space stripped from a key.
 BLANK = " \t\n\x0b\x0c\r"
 SALTS = 256
+RANGE_BITS = 12
 
 
 def ascii_lower(s: Column) -> Column:
@@ -40,20 +41,22 @@ def line_bitmaps(docs: DataFrame, min_docs: int | None = 10, min_chars: int = 1)
     """
     lines = (
         keyed(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "th", "pos", ascii_lower(F.btrim("line", F.lit(BLANK))).alias("key"))
-        .where(F.length("key") >= min_chars)
+        .select("doc_id", "th", "pos", F.btrim("line", F.lit(BLANK)).alias("line"))
+        .where(F.length("line") >= min_chars).withColumn("key", ascii_lower(F.col("line")))
         .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        .withColumn("range", F.shiftright("h1", 64 - RANGE_BITS).cast("int"))
     )
-    ranged = lines.repartitionByRange("h1", "salt")
-    by_doc = W.partitionBy("h1", "h2", "salt").orderBy("doc_id", "th", "pos")
+    # Hashes are even, so that equal ranges of them need no sample of the rows.
+    ranged = lines.repartition("range", "salt")
+    by_doc = W.partitionBy("range", "salt", "h1", "h2").orderBy("doc_id", "th", "pos")
     marked = ranged.withColumn("first", F.coalesce(~F.lag("doc_id").over(by_doc).eqNullSafe(F.col("doc_id")), F.lit(True)) | (F.row_number().over(by_doc) == 1))
     if min_docs is None:
         keys = marked.where("first").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("kept"))
-        hit = lines.join(keys, ["h1", "h2"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("kept")))
+        hit = ranged.join(keys, ["h1", "h2"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("kept")))
     else:
-        salted = marked.groupBy("h1", "h2", "salt").agg(F.sum(F.col("first").cast("int")).alias("n"))
+        salted = marked.groupBy("range", "salt", "h1", "h2").agg(F.sum(F.col("first").cast("int")).alias("n"))
         keys = salted.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
-        hit = lines.join(keys, ["h1", "h2"])
+        hit = ranged.join(keys, ["h1", "h2"])
     d = F.col("d")
     starts = F.filter(d, lambda p, i: (i == 0) | (F.try_element_at(d, i) != p - 1))
     ends = F.filter(d, lambda p, i: F.coalesce(F.try_element_at(d, i + 2) != p + 1, F.lit(True)))

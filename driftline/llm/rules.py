@@ -39,10 +39,9 @@ GRID = {
 WINDOW = 8
 
 
-def windows(hashes: Column) -> Column:
-    """64-bit hashes of all WINDOW-word windows, from the words' 64-bit hashes; null if there is none."""
-    n = F.size(hashes)
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))))
+def pairs(hashes: str, step: int) -> Column:
+    """Each hash with the one `step` behind it; the last ones, with none behind them, are to be cut off."""
+    return F.zip_with(F.col(hashes), F.slice(F.col(hashes), step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
 def covered(order: str) -> Column:
@@ -66,7 +65,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     one = docs.select(*kept, text.alias("__t"), F.array_remove(F.split(text, r"\s+"), "").alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S")).alias("__l"))
     # Each step's arrays are columns that the next step names more than once; inside a lambda an expression would be evaluated for each element.
     hashed = one.withColumn("__wh", F.transform("__w", lambda w: F.xxhash64(w)))
-    two = hashed.withColumn("__h", windows(F.col("__wh"))).withColumn("__u", F.size(F.array_distinct("__h")) < F.size("__h"))
+    for step in (1, 2, 4):  # hashes of 2, 4 and then WINDOW words
+        hashed = hashed.withColumn("__wh", pairs("__wh", step))
+    two = hashed.withColumn("__h", F.slice("__wh", 1, F.greatest(F.size("__wh") - (WINDOW - 1), F.lit(0)))).withColumn("__u", F.size(F.array_distinct("__h")) < F.size("__h"))
     two = two.withColumn("__o", F.when(F.col("__u"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     return two.select(
         *kept, F.size("__w").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), count(r"#*$%&|<>").cast("long").alias("n_symbols"),
