@@ -69,11 +69,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     """
     chosen = (
         labels.where(F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", F.col(target).cast("int").alias("label"))
+        .select("doc_id", F.col(target).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "label").limit(rows)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(rows)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
