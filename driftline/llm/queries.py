@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.bpe import op8_bpe
 from driftline.llm.crf import op1_quality
+from driftline.llm.decontam import op3_decontamination
 from driftline.llm.gru import op4_language
 from driftline.llm.lines import OP9_SQL, op9_line_dedup
+from driftline.llm.neardup import op6_near_duplicates
 from driftline.llm.rules import op5_quality_rules
 from driftline.llm.toxicity import op2_toxicity
 
@@ -17,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op4_language, op5_quality_rules, op8_bpe, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_language, op5_quality_rules, op6_near_duplicates, op8_bpe, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
