@@ -216,10 +216,21 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, class_id (the least doc_id of its class), kept (the class's first row), n_class (its rows).
+    """A row for each row of docs: doc_id, class_id (the least doc_id of its class), kept (the class's first row), n_class (its rows)."""
+    return membership(docs).drop("node")
 
-    docs: doc_id, text.
-    """
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their class, each once."""
+    first = membership(docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("node").alias("__n")).distinct()
+    own = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = own.join(first, own["doc_id"].eqNullSafe(first["__d"]) & (own["__node"] == first["__n"]), "left_semi")
+    twice = not own.groupBy("doc_id", "__node").count().where("count > 1").isEmpty()
+    return (rows.dropDuplicates(["doc_id", "__node"]) if twice else rows).drop("__node")
+
+
+def membership(docs: DataFrame) -> DataFrame:
+    """What near_duplicates returns, with node, the hash of the row's text. docs: doc_id, text."""
     shipped(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     signed = own.mapInArrow(_signed, own.drop("text").schema.add("sig", "binary"))
@@ -240,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = sizes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"), F.min(F.struct(F.col("rep"), F.col("node")))["node"].alias("head"))
     found = sizes.join(heads, "label").select("node", "class_id", "n_class", F.when(F.col("head") == F.col("node"), F.col("rep")).alias("first"), (F.col("head") == F.col("node")).alias("leads"))
     rows = own.select("doc_id", "node").join(found, "node")
-    return rows.select("doc_id", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first"))).alias("kept"), "n_class")
+    return rows.select("doc_id", "node", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first"))).alias("kept"), "n_class")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

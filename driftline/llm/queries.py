@@ -12,15 +12,17 @@ from driftline.llm.decontam import op3_decontamination
 from driftline.llm.gru import op4_language
 from driftline.llm.lines import OP9_SQL, op9_line_dedup
 from driftline.llm.neardup import op6_near_duplicates
+from driftline.llm.pii import op10_pii
 from driftline.llm.rules import op5_quality_rules
+from driftline.llm.substrings import OP7_SQL, op7_substring_dedup
 from driftline.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_language, op5_quality_rules, op6_near_duplicates, op8_bpe, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_language, op5_quality_rules, op6_near_duplicates, op7_substring_dedup, op8_bpe, op9_line_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
