@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.plans import scalars, streams
+
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "gap_statistics"
+MODULES = (streams, scalars)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for m in MODULES for f in (*m.WITH_SQL, *m.WITHOUT_SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: getattr(m, f.__name__.upper()) for m in MODULES for f in m.WITH_SQL}
