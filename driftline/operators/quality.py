@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-IN_TIME = W.partitionBy("recording_id").orderBy("t_us", "seq")
+
+def by_recording() -> WindowSpec:
+    return W.partitionBy("recording_id")
+
+
+def in_time() -> WindowSpec:
+    return by_recording().orderBy("t_us", "seq")
 
 
 def gap_statistics(df: DataFrame) -> DataFrame:
     """n, duration_s, avg_hz ((n - 1) / span), max_gap_s and where it ends; the first of equal gaps."""
-    gap = F.col("t_us") - F.lag("t_us").over(IN_TIME)
+    gap = F.col("t_us") - F.lag("t_us").over(in_time())
     g = df.select("recording_id", "t_us", gap.alias("gap")).groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("t_us").alias("t0"), F.max("t_us").alias("t1"), F.max("gap").alias("gap"), F.max_by("t_us", F.struct("gap", -F.col("t_us"))).alias("at"))
     span = (F.col("t1") - F.col("t0")) / 1e6
@@ -33,7 +40,7 @@ def difference_noise(df: DataFrame, max_gap_us: int) -> DataFrame:
 
     Differences reach only over intervals over 0 and below max_gap_us.
     """
-    d = df.select("recording_id", *(F.lag(c, k).over(IN_TIME).alias(f"{c[0]}{k}") for c in ("value", "t_us") for k in range(4)))
+    d = df.select("recording_id", *(F.lag(c, k).over(in_time()).alias(f"{c[0]}{k}") for c in ("value", "t_us") for k in range(4)))
     near = lambda k: (F.col(f"t{k}") - F.col(f"t{k + 1}") > 0) & (F.col(f"t{k}") - F.col(f"t{k + 1}") < max_gap_us)
     d = d.withColumn("d2", F.when(near(0) & near(1), F.col("v0") - 2 * F.col("v1") + F.col("v2")))
     d = d.withColumn("d3", F.when(near(0) & near(1) & near(2), F.col("v0") - 3 * F.col("v1") + 3 * F.col("v2") - F.col("v3")))

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("recording_id")
-IN_TIME = BY.orderBy("t_us", "seq")
+
+def by_recording() -> WindowSpec:
+    return W.partitionBy("recording_id")
+
+
+def in_time() -> WindowSpec:
+    return by_recording().orderBy("t_us", "seq")
 
 
 def allan_deviation(df: DataFrame, tau0: float, factors: list[int]) -> DataFrame:
@@ -15,11 +21,11 @@ def allan_deviation(df: DataFrame, tau0: float, factors: list[int]) -> DataFrame
 
     Each factor looks m and 2 m rows ahead in the same sorted pass, so that rows are not joined.
     """
-    total = F.sum("value").over(IN_TIME.rowsBetween(W.unboundedPreceding, -1))
-    n = F.count(F.lit(1)).over(BY)
+    total = F.sum("value").over(in_time().rowsBetween(W.unboundedPreceding, -1))
+    n = F.count(F.lit(1)).over(by_recording())
     p = df.select("recording_id", "t_us", "seq", (F.coalesce(total, F.lit(0.0)) * tau0).alias("x"), (F.coalesce(total, F.lit(0.0)) * tau0 + F.col("value") * tau0).alias("end"), n.alias("n"))
     # The running sum after the last row is one more point; it stands behind row n - 1.
-    ahead = lambda m: F.when(F.row_number().over(IN_TIME) - 1 + m == F.col("n"), F.last("end").over(IN_TIME.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).otherwise(F.lead("x", m).over(IN_TIME))
+    ahead = lambda m: F.when(F.row_number().over(in_time()) - 1 + m == F.col("n"), F.last("end").over(in_time().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).otherwise(F.lead("x", m).over(in_time()))
     cols = [(ahead(2 * m) - 2 * ahead(m) + F.col("x")).alias(f"d{m}") for m in factors]
     d = p.select("recording_id", *cols)
     sums = d.groupBy("recording_id").agg(*(F.sum(F.col(f"d{m}") * F.col(f"d{m}")).alias(f"s{m}") for m in factors), *(F.count(f"d{m}").alias(f"c{m}") for m in factors))
@@ -42,8 +48,8 @@ def asymptote(adev: DataFrame, slope: float, tau_ref: float) -> DataFrame:
 
 def lag_correlation(df: DataFrame, x: str, y: str, lags: list[int], least: int = 10) -> DataFrame:
     """Correlation of x with y `lag` rows later, means removed over the recording; lags with few pairs are left out."""
-    c = df.withColumns({"cx": F.col(x) - F.avg(x).over(BY), "cy": F.col(y) - F.avg(y).over(BY)})
-    c = c.select("recording_id", "cx", *((F.lead("cy", k) if k >= 0 else F.lag("cy", -k)).over(IN_TIME).alias(f"y{i}") for i, k in enumerate(lags)))
+    c = df.withColumns({"cx": F.col(x) - F.avg(x).over(by_recording()), "cy": F.col(y) - F.avg(y).over(by_recording())})
+    c = c.select("recording_id", "cx", *((F.lead("cy", k) if k >= 0 else F.lag("cy", -k)).over(in_time()).alias(f"y{i}") for i, k in enumerate(lags)))
     aggs = []
     for i in range(len(lags)):
         both = F.col("cx").isNotNull() & F.col(f"y{i}").isNotNull()

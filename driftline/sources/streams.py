@@ -42,7 +42,8 @@ def read_stream(spark: SparkSession, path: str, stream: str) -> DataFrame:
     rows = lines.where(~F.col("value").rlike(r"^\s*(#|$)")).withColumn("__p", parts).where(F.size("__p") >= LEAST[stream])
     rows = rows.select(F.element_at(F.split("__f", "/"), -2).alias("recording_id"), "seq", *(F.get("__p", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)))
     need = [f.name for f in fields[: LEAST[stream]]]
-    rows = rows.dropna(subset=need)
+    for c in need:
+        rows = rows.where(F.col(c).isNotNull())  # NaN stays, and becomes null below
     doubles = [f.name for f in fields if isinstance(f.dataType, T.DoubleType)]
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     if stream == "ranges":
