@@ -34,11 +34,14 @@ from pyspark.sql import types as T
 from driftline.llm.common import held_out, shipped, table
 from driftline.llm.crf import rising
 
-TERMS, LEAST = 4096, 15.0
+#: At 40 less than one of 10^9 terms without a link to the label passes.
+TERMS, LEAST = 4096, 40.0
 EXAMPLES, CALIBRATION, LONGEST = 2048, 4000, 20_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms for the number and the density of a text's words that are in the vocabulary.
 EXTRA = 18
+#: Vectors whose votes a worker remembers.
+REMEMBERED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,10 +77,12 @@ class Index:
     """Labelled examples in blocks, with each block's highest weight of each term."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, texts: list[str], labels: np.ndarray, stands_for: np.ndarray):
+        self.met: dict[bytes, tuple[float, list[int]]] = {}
         self.known, self.idf = {t: i for i, t in enumerate(terms)}, np.concatenate([idf, np.full(EXTRA, float(np.mean(idf)))])
         vectors = [self.vector(t) for t in texts]
+        mixed_order = np.random.default_rng(2).permutation(len(texts))
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        some.sort(key=lambda i: vectors[i][0][vectors[i][1].argmax()])  # alike examples share blocks, which keeps bounds low
+        some.sort(key=lambda i: (vectors[i][0][vectors[i][1].argmax()], mixed_order[i]))  # alike examples share blocks, which keeps bounds low
         self.rows = np.array(some, np.int64)
         self.labels, self.weight = labels[self.rows].astype(float), stands_for[self.rows]
         blocks = -(-len(some) // BLOCK)
@@ -100,14 +105,16 @@ class Index:
         return t, x / max(float(np.sqrt(x @ x)), 1e-12)
 
     def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Slots and cosines of the nearest examples, the nearest first; ties by slot."""
-        t, x = self.vector(text)
+        """Slots and cosines of the nearest examples, the nearest first; of equally near ones those met first."""
+        return self.nearest_to(*self.vector(text))
+
+    def nearest_to(self, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(t) or not len(self.rows):
             return np.empty(0, np.int64), np.empty(0)
         bound = x @ self.best[t]
         slots, cosines = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosines) == NEIGHBOURS and bound[b] < cosines[-1] - 1e-12:
+            if bound[b] <= 0 or len(cosines) == NEIGHBOURS and bound[b] <= cosines[-1] + 1e-12:
                 break
             scores = np.zeros(BLOCK)
             for i, w in zip(t, x, strict=True):
@@ -121,11 +128,15 @@ class Index:
 
     def vote(self, text: str) -> tuple[float, list[int]]:
         """Vote for toxic, -1 without neighbours, and the examples it rests on."""
-        slots, cosines = self.nearest(text)
-        if not len(slots):
-            return -1.0, []
-        w = cosines**2 * self.weight[slots]
-        return float(w @ self.labels[slots] / w.sum()), self.rows[slots[:3]].tolist()
+        t, x = self.vector(text)
+        key = t.tobytes() + x.tobytes()  # many texts share a vector
+        if key not in self.met:
+            if len(self.met) > REMEMBERED:
+                self.met.clear()
+            slots, cosines = self.nearest_to(t, x)
+            w = cosines**2 * self.weight[slots]
+            self.met[key] = (float(w @ self.labels[slots] / w.sum()), self.rows[slots[:3]].tolist()) if len(slots) else (-1.0, [])
+        return self.met[key]
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: int, rows: int) -> list:
