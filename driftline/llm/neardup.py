@@ -11,8 +11,10 @@ stays empty the text looks twice as far.
 BANDS bands of ROWS coordinates are the keys of the join. Texts of a key are
 compared with the first of them and with the one before them, salted groups
 first and then their firsts, so that no group is gathered and the pairs grow
-with the rows. Keys whose texts still fall into several classes are compared
-once more in blocks of BLOCK. Every link rests on the exact weighted Jaccard
+with the rows. Keys of more texts that still fall into several classes are
+compared once more in blocks of BLOCK, all pairs of different classes, each pair
+under the first key that it shares; a block returns no more links than it has
+texts. Every link rests on the exact weighted Jaccard
 similarity of the shingles. Links are joined into classes by the least label.
 
 Exact copies are one text from the start; they are told by a 64-bit hash.
@@ -33,14 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import checkpoint, grams, mixed, shipped, slices, table, word_hashes, word_spans
+from driftline.llm.common import checkpoint, grams, mixed, released, shipped, slices, stored, table, word_hashes, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 2))
 FIRST_CELL = 1 / 16
-SALTS, BLOCK = 64, 256
+SALTS, BLOCK = 64, 512
+#: Bits of the map that tells which texts' shingles are needed; where it fills up, more are read than needed.
+MAP_BITS = 1 << 25
 #: Signatures that agree on fewer coordinates (of 80) are not compared: at similarity 0.8 one in a million agrees on so few.
 AGREE = 46
 
@@ -136,12 +140,35 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(rows, pa.binary())], names=["doc_id", "node", "sig"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in slices(batch, "text", 1 << 20):
-            elements, begin = shingles(data, offsets)
-            rows = [np.sort(elements[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.binary())], names=["node", "set"])
+def _shingled(needed):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(needed.value, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) % MAP_BITS
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for lo, hi, data, offsets in slices(batch, "text", 1 << 20):
+                elements, begin = shingles(data, offsets)
+                rows = [np.sort(elements[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def bitmap(nodes: DataFrame) -> bytes:
+    """A map of MAP_BITS bits of the nodes' hashes; it comes to the driver in pieces of 4 KB, MAP_BITS / 8 bytes at most."""
+    at = F.pmod(F.col("node"), F.lit(MAP_BITS)).cast("long")
+    pieces = nodes.select(F.bitmap_bucket_number(at + 1).alias("k"), F.bitmap_bit_position(at + 1).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("m")).collect()
+    out = bytearray(MAP_BITS // 8)
+    for r in pieces:
+        lo = (r["k"] - 1) * len(r["m"])
+        out[lo : lo + len(r["m"])] = r["m"]
+    return bytes(out)
+
+
+def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set (sorted 64-bit hashes) of the nodes. own: node, text, a row for each document."""
+    needed = own.sparkSession.sparkContext.broadcast(bitmap(nodes))
+    return own.select("node", "text").mapInArrow(_shingled(needed), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +183,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys(signed: DataFrame) -> DataFrame:
-    """key, node, next: a row for each text and band; next is the following band's key, by which alike texts stand together."""
+    """key, band, node, next, n: a row for each text and band whose key n > 1 texts share.
+
+    next is the following band's key, by which alike texts stand together.
+    """
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS))
-    every = F.array(*(F.struct(band(k).alias("key"), band((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
-    return signed.where(F.col("sig").isNotNull()).select("node", F.explode(every).alias("b")).select("b.key", "node", "b.next")
+    some = signed.where(F.col("sig").isNotNull())
+    every = F.array(*(F.struct(F.lit(k).alias("band"), band(k).alias("key"), band((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
+    shared = some.select(F.explode(F.array(*map(band, range(BANDS)))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return some.select("node", F.explode(every).alias("b")).select("b.key", "b.band", "node", "b.next").join(shared, "key")
 
 
 def starred(rows: DataFrame) -> DataFrame:
@@ -177,15 +209,30 @@ def starred(rows: DataFrame) -> DataFrame:
     return pair(both(one), "other").unionByName(pair(both(two), "other"))
 
 
-def _block_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes in a block whose signatures agree on AGREE coordinates."""
-    sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), COORDINATES)
-    node, label, side = frame["node"].to_numpy(), frame["label"].to_numpy(), frame["side"].to_numpy()
-    out: list[tuple[int, int]] = []
-    for i in range(len(frame)):
-        ok = np.flatnonzero(((sig[i] == sig).sum(1) >= AGREE) & (label != label[i]) & (node > node[i]) & ((side != side[i]) | (frame["x"].iloc[0] == frame["y"].iloc[0])))
-        out += [(int(node[i]), int(node[k])) for k in ok]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between texts of different classes in a block, as many as join these.
+
+    A pair is looked at under its first band only, and in a block of two sides only across them.
+    """
+    n = len(frame)
+    sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(n, COORDINATES)
+    node, side = frame["node"].to_numpy(), frame["side"].to_numpy()
+    band, alone = int(frame["band"].iloc[0]), frame["x"].iloc[0] == frame["y"].iloc[0]
+    sets = [np.frombuffer(x, np.uint64) for x in frame["set"]]
+    _, label = np.unique(frame["label"].to_numpy(), return_inverse=True)
+    out = []
+    for i in range(n):
+        same = sig == sig[i]
+        ok = (same.sum(1) >= AGREE) & (same.reshape(n, BANDS, ROWS).all(2).argmax(1) == band) & (node > node[i])
+        if not alone:
+            ok &= side != side[i]
+        for k in np.flatnonzero(ok):
+            if label[i] != label[k]:
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if both >= SIMILAR * (len(sets[i]) + len(sets[k]) - both):
+                    out.append((int(node[i]), int(node[k])))
+                    label[label == label[k]] = label[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -203,14 +250,12 @@ def classes(links: DataFrame) -> DataFrame:
             return label
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar. texts: node, text, a row for each node."""
+def verified(pairs: DataFrame, signed: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar. own: node, text, a row for each document."""
     sigs = signed.select("node", "sig")
     agree = F.length(F.regexp_replace(F.array_join(F.zip_with(F.split(F.hex("sa"), "(?<=\\G.{4})"), F.split(F.hex("sb"), "(?<=\\G.{4})"), lambda x, y: F.when(x == y, "1").otherwise("")), ""), "[^1]", ""))
-    likely = pairs.distinct().join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agree >= AGREE).select("a", "b")
-    likely = checkpoint(likely)
-    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = checkpoint(texts.join(nodes, "node").select("node", "text").mapInArrow(_shingled, "node long, set binary"))
+    likely = stored(pairs.distinct().join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agree >= AGREE).select("a", "b"))
+    sets = stored(shingle_sets(own, likely.select(F.col("a").alias("node")).union(likely.select("b"))))
     full = likely.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return full.mapInArrow(_similar, "a long, b long")
 
@@ -234,19 +279,24 @@ def membership(docs: DataFrame) -> DataFrame:
     shipped(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     signed = own.mapInArrow(_signed, own.drop("text").schema.add("sig", "binary"))
-    signed = checkpoint(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
-    texts = own.join(signed.select("node", F.col("rep")), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    banded = keys(signed)
-    links = checkpoint(verified(starred(banded), signed, texts))
+    signed = stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
+    banded = stored(keys(signed))
+    released(docs.sparkSession)
+    links = checkpoint(verified(starred(banded.select("key", "node", "next")), signed, own))
     label = classes(links)
-    # Keys with four texts or more, of several classes: what the first comparison may have missed, in blocks.
-    labelled = banded.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where((F.col("n") > 3) & (F.col("lo") != F.col("hi"))).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    inside = labelled.join(open_, "key").join(signed.select("node", "sig"), "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = inside.select("key", "node", "label", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocked = dealt.select("key", "node", "label", "sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine").alias("side"))
-    more = checkpoint(verified(blocked.groupBy("key", "x", "y").applyInPandas(_block_pairs, "a long, b long"), signed, texts))
+    released(docs.sparkSession)
+    # Keys of four texts or more, of several classes: all pairs of these, in blocks.
+    labelled = banded.where("n > 3").join(label, "node", "left").select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    left = stored(labelled.join(several, "key").join(signed.select("node", "sig"), "node"))
+    sets = shingle_sets(own, left.select("node").distinct())
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = left.join(sets, "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    blocked = dealt.select("key", "band", "node", "label", "sig", "set", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine").alias("side"))
+    more = checkpoint(blocked.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
     label = classes(links.union(more)) if not more.isEmpty() else label
+    released(docs.sparkSession)
     sizes = signed.join(label, "node", "left").select("node", "rep", "n", F.coalesce("label", "node").alias("label"))
     heads = sizes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"), F.min(F.struct(F.col("rep"), F.col("node")))["node"].alias("head"))
     found = sizes.join(heads, "label").select("node", "class_id", "n_class", F.when(F.col("head") == F.col("node"), F.col("rep")).alias("first"), (F.col("head") == F.col("node")).alias("leads"))
