@@ -154,7 +154,7 @@ class Inertial:
         """No motion across the body's length."""
         r = self.matrix()
         across = r[:, 1]
-        self.fuse([(across @ self.v, self.row(v=across, t=np.cross(self.v, across)), sigma**2)])
+        self.fuse([(across @ self.v, self.row(v=across, t=np.cross(across, self.v)), sigma**2)])
 
 
 #: Columns of aligned rows: an imu sample and, where there is one, the newest of each other stream.
