@@ -58,7 +58,17 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a compressed table in the shared folder: cuts the lineage with less disk than a checkpoint."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/driftline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes tables that `stored` wrote and that no later plan reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import BASE, grams, keyed, mixed, released, shipped, slices, stored, table, word_hashes, word_spans
+from driftline.llm.common import BASE, discarded, grams, keyed, mixed, released, shipped, slices, stored, table, word_hashes, word_spans
 
 WINDOW, GRAM = 35, 8
 LONGEST_RUN = 256
@@ -272,21 +272,24 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     own = keyed(docs)
     once = own.dropDuplicates(["doc_id", "th"]) if _repeats(own) else own
     found = stored(once.mapInArrow(_segmented, own.drop("text").schema.add("key", "long").add("seg", "long").add("w0", "integer").add("nw", "integer")))
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # Keys to join with are stored first: Spark can split the rows of a frequent key only between two plain exchanges.
+    shared = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
     here = F.struct("doc_id", "th", "w0", "nw")
     linked = stored(found.join(shared, "key"))
+    discarded(found, shared)
     distinct = stored(linked.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("at")))
     released(docs.sparkSession)
+    shards = distinct.count() // SHARD + 1
     per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("m"))
-    hot = per_key.where(F.col("s") > HOT).select("key", F.lit(True).alias("hot"))
+    hot = stored(per_key.where(F.col("s") > HOT).select("key", F.lit(True).alias("hot")))
     asked = (
         distinct.join(hot, "key", "left").select("at.*", F.struct("key", "seg", "n", "at.w0", "at.nw", F.coalesce("hot", F.lit(False)).alias("hot")).alias("a"))
         .groupBy("doc_id", "th").agg(F.collect_list("a").alias("asked")).withColumnsRenamed({"doc_id": "d", "th": "t"})
     )
     texts = once.join(asked, once["doc_id"].eqNullSafe(asked["d"]) & (once["th"] == asked["t"])).select("text", "asked")
     pieces = stored(texts.mapInArrow(_texts, "key long, seg long, part integer, id long, n long, words string"))
+    discarded(distinct, hot)
     released(docs.sparkSession)
-    shards = distinct.count() // SHARD + 1
     whole = pieces.where("part < 0").select("key", "seg", "n", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     single = pieces.where("part >= 0").groupBy("key", "id").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
     single = single.select("key", F.col("id").alias("seg"), "n", "words", F.pmod(F.xxhash64("key", "id"), F.lit(shards)).alias("shard"))
@@ -294,7 +297,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     by_segment = whole.groupBy("shard").applyInPandas(_shard, kind)
     by_window = single.groupBy("shard").applyInPandas(_shard, kind).select("key", F.col("seg").alias("id"))
     of_hot = pieces.where("part >= 0").select("key", "seg", "part", "id").join(by_window, ["key", "id"]).select("key", "seg", F.array(F.array(F.col("part"), F.col("part") + 1)).alias("runs"))
-    results = by_segment.unionByName(of_hot)
+    results = stored(by_segment.unionByName(of_hot))
+    discarded(pieces)
+    released(docs.sparkSession)
     spans = linked.select("doc_id", "th", "key", "seg", "w0").join(results, ["key", "seg"])
     spans = spans.select("doc_id", "th", F.explode(F.transform("runs", lambda r: F.array(F.col("w0") + r[0], F.col("w0") + r[1] + WINDOW - 1))).alias("span"))
     return spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
