@@ -285,8 +285,8 @@ def membership(docs: DataFrame) -> DataFrame:
     links = checkpoint(verified(starred(banded.select("key", "node", "next")), signed, own))
     label = classes(links)
     released(docs.sparkSession)
-    # Keys of four texts or more, of several classes: all pairs of these, in blocks.
-    labelled = banded.where("n > 3").join(label, "node", "left").select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
+    # Keys of three texts or more, of several classes: all pairs of these, in blocks. Of three, starred() may leave out a pair.
+    labelled = banded.where("n > 2").join(label, "node", "left").select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     left = stored(labelled.join(several, "key").join(signed.select("node", "sig"), "node"))
     sets = shingle_sets(own, left.select("node").distinct())

@@ -210,6 +210,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(r.kept for r in got) == len({top(i) for i in range(len(rows))})
 
 
+def test_near_duplicates_of_keys_of_three_texts(spark, monkeypatch):
+    """b and c are similar and share bands with a only, which is similar to neither; salts collide."""
+    monkeypatch.setattr(neardup, "SALTS", 2)
+    rows = []
+    for k in range(4000):
+        core = [f"w{k}x{i}" for i in range(84)]
+        texts = [" ".join(core + [f"{side}{k}y{i}" for i in range(n)]) for side, n in (("a", 12), ("b", 9), ("c", 9))]
+        raw = list(map(str.encode, texts))
+        sig = neardup.signatures(*neardup.shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))])))
+        band = (sig.reshape(3, neardup.BANDS, neardup.ROWS)[:, None] == sig.reshape(1, 3, neardup.BANDS, neardup.ROWS)).all(3)
+        if band[1, 2].any() and (band[0, 1] >= band[1, 2]).all():
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    assert rows
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i - (i % 3 == 2) for i in range(len(rows))}
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(6)
     for n, share in ((300, 0.5), (3000, 0.8)):
