@@ -8,15 +8,16 @@ the TERMS terms whose chi-square against the label is highest (and at least
 LEAST) make the vocabulary, with inverse document frequencies. A bounded sample
 of labelled texts (EXAMPLES of each label, by hash of the id) is the index: for
 each block of BLOCK examples and each term, the block's highest weight. A text
-goes through the blocks by falling upper bound of its cosine with their examples
-and stops when no block left can beat its NEIGHBOURS best, so that these are the
+goes through the blocks by falling upper bound of its cosine with their examples,
+a few and then ever more at a time, and stops when no block left can beat its NEIGHBOURS best, so that these are the
 exact nearest. Their votes, weighted by cosine squared and by how many labelled
 texts each example stands for, are put on the scale of the labels by a monotone
 fit on other labelled texts (CALIBRATION at most).
 
 Cases: a null or empty text, or one without a term of the vocabulary, has no
 neighbour and gets the rate of toxic texts among such texts; without labelled
-rows every score is 0; repeated rows get the same score; other columns are kept.
+rows every score is 0; where no term passes the test, all texts get the rate of
+toxic ones; repeated rows get the same score; other columns are kept.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ from pyspark.sql import types as T
 from driftline.llm.common import held_out, shipped, table
 from driftline.llm.crf import rising
 
-#: At 40 less than one of 10^9 terms without a link to the label passes.
-TERMS, LEAST = 4096, 40.0
+TERMS, LEAST = 4096, 15.0
 EXAMPLES, CALIBRATION, LONGEST = 2048, 4000, 20_000
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks of the first step; each step looks at twice as many as the one before.
+TOGETHER = 4
 #: Terms for the number and the density of a text's words that are in the vocabulary.
 EXTRA = 18
 #: Vectors whose votes a worker remembers.
@@ -78,7 +80,7 @@ class Index:
 
     def __init__(self, terms: list[str], idf: np.ndarray, texts: list[str], labels: np.ndarray, stands_for: np.ndarray):
         self.met: dict[bytes, tuple[float, list[int]]] = {}
-        self.known, self.idf = {t: i for i, t in enumerate(terms)}, np.concatenate([idf, np.full(EXTRA, float(np.mean(idf)))])
+        self.known, self.idf = {t: i for i, t in enumerate(terms)}, np.concatenate([idf, np.full(EXTRA, float(np.mean(idf)) if len(idf) else 0.0)])
         vectors = [self.vector(t) for t in texts]
         mixed_order = np.random.default_rng(2).permutation(len(texts))
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]
@@ -86,17 +88,17 @@ class Index:
         self.rows = np.array(some, np.int64)
         self.labels, self.weight = labels[self.rows].astype(float), stands_for[self.rows]
         blocks = -(-len(some) // BLOCK)
-        best: dict[tuple[int, int], float] = {}
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for slot, i in enumerate(some):
-            for t, x in zip(*vectors[i], strict=True):
-                key = int(t), slot // BLOCK
-                best[key] = max(best.get(key, 0.0), float(x))
-                postings.setdefault(key, []).append((slot % BLOCK, float(x)))
+        terms_of = np.concatenate([vectors[i][0] for i in some]) if some else np.empty(0, np.int64)
+        weights = np.concatenate([vectors[i][1] for i in some]) if some else np.empty(0)
+        slots = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
         self.best = np.zeros((len(self.idf), blocks))
-        for (t, b), x in best.items():
-            self.best[t, b] = x
-        self.postings = {key: (np.array([s for s, _ in p]), np.array([x for _, x in p])) for key, p in postings.items()}
+        np.maximum.at(self.best, (terms_of, slots // BLOCK), weights)
+        # Postings by term and slot; those of term t in block b are start[t, b] on, size[t, b] of them.
+        order = np.lexsort((slots, terms_of))
+        self.slots, self.weights = slots[order], weights[order]
+        upto = np.cumsum(np.bincount(terms_of * blocks + slots // BLOCK, minlength=self.best.size)).reshape(self.best.shape)
+        self.size = np.diff(upto.ravel(), prepend=0).reshape(self.best.shape)
+        self.start = upto - self.size
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         counts = term_counts(text, self.known)
@@ -113,17 +115,22 @@ class Index:
             return np.empty(0, np.int64), np.empty(0)
         bound = x @ self.best[t]
         slots, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosines) == NEIGHBOURS and bound[b] <= cosines[-1] + 1e-12:
+        falling, at, some = np.argsort(-bound, kind="stable"), 0, TOGETHER
+        while at < len(falling):
+            least = cosines[-1] + 1e-12 if len(cosines) == NEIGHBOURS else 0.0
+            here = falling[at : at + some]
+            here = here[bound[here] > least]
+            if not len(here):
                 break
-            scores = np.zeros(BLOCK)
-            for i, w in zip(t, x, strict=True):
-                if (p := self.postings.get((int(i), int(b)))) is not None:
-                    scores[p[0]] += w * p[1]
-            at = np.flatnonzero(scores)
-            slots, cosines = np.concatenate([slots, at + b * BLOCK]), np.concatenate([cosines, scores[at]])
+            size = self.size[np.ix_(t, here)].ravel()
+            ends = np.cumsum(size)
+            where = np.repeat(self.start[np.ix_(t, here)].ravel() - ends + size, size) + np.arange(ends[-1])
+            scores = np.bincount(self.slots[where], np.repeat(np.repeat(x, len(here)), size) * self.weights[where], len(self.rows))
+            new = np.flatnonzero(scores > least)
+            slots, cosines = np.concatenate([slots, new]), np.concatenate([cosines, scores[new]])
             order = np.lexsort((slots, -cosines))[:NEIGHBOURS]
             slots, cosines = slots[order], cosines[order]
+            at, some = at + some, 2 * some
         return slots, cosines
 
     def vote(self, text: str) -> tuple[float, list[int]]:
@@ -157,7 +164,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> D
     terms, idf = vocabulary(own, labels)
     rows = [(r["doc_id"], r["text"], y) for y in (0, 1) for r in examples(own, labels, y, EXAMPLES + CALIBRATION // 2)]
     made = None
-    if rows and terms:
+    if rows:
         sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
         n = {y: sum(r[2] == y for r in rows) for y in (0, 1)}
         # The first of each label, by hash, are the index where there are enough; the others calibrate.

@@ -141,6 +141,24 @@ def test_block_search_finds_the_exact_nearest():
         assert index.nearest(q)[1] == pytest.approx(want, abs=1e-9)
 
 
+def test_toxicity_by_a_word_of_moderate_link(spark):
+    """The word stands in 20 of 240 labelled texts, 10 of them toxic of 30; no other word is linked to the label."""
+    rng = random.Random(8)
+    ids = [i for i in range(1000) if not held_out(i)][:240]
+    rows = [(i, " ".join(rng.choices([f"{a}{b}" for a in "kmrst" for b in "aeiou"], k=8)) + (" zugwort" if k < 10 or k >= 230 else "")) for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k < 30)) for k, i in enumerate(ids)], "doc_id long, label int")
+    terms, _ = toxicity.vocabulary(spark.createDataFrame(rows, SCHEMA), labels)
+    assert "zugwort" in terms
+
+
+def test_toxicity_without_terms_is_the_rate_of_toxic_texts(spark):
+    ids = [i for i in range(100) if not held_out(i)][:40]
+    docs = spark.createDataFrame([(i, "the same words everywhere") for i in ids], SCHEMA)
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, label int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert [r.score for r in got] == pytest.approx([0.25] * 40, abs=0.02)
+
+
 # ---- 3, 6: similarity
 
 
