@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.bpe import encode_decode
-from driftline.llm.common import checkpoint, table
-from driftline.llm.crf import classify
+from driftline.llm.common import checkpoint, table, training_sample
+from driftline.llm.crf import LONGEST, SAMPLE, classify
 from driftline.llm.decontam import contaminated
 from driftline.llm.lines import kept_lines, line_bitmaps
 from driftline.llm.neardup import one_of_each
@@ -24,8 +24,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field rejects go."""
-    scored = classify(docs, docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    """Documents that the line field rejects go; where no labelled row is there to train it, all stay."""
+    labelled, labels = docs.select("doc_id", "text"), table(spark, sf_dir, "labels")
+    if training_sample(labelled, labels, "quality", SAMPLE, LONGEST).isEmpty():
+        return docs
+    scored = classify(docs, labelled, labels)
     return scored.where("predicted = 1").select(*docs.columns)
 
 

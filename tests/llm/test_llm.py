@@ -413,3 +413,11 @@ def test_pipeline_stages(spark, sf_dir, docs):
             assert after.keys() == before.keys()
     last = corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).collect()
     assert {r.doc_id: r.decoded_sha256 for r in last} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in after.items()}
+
+
+def test_pipeline_quality_without_labels_keeps_all(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert corpus_pipeline.good_documents(spark, df, str(tmp_path)).count() == df.count()
