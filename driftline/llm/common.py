@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import sys
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -42,8 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of its own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/driftline-checkpoints"
+    """The folder that the cluster names for checkpoints; one of this machine's only where Spark runs on this machine alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/driftline-checkpoints"
+    return found
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -103,12 +109,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
         .orderBy(F.xxhash64("doc_id"), "label").limit(rows)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(rows)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    return found.orderBy(F.xxhash64("doc_id"), "label", "text").limit(rows)  # more than `rows` only where rows repeat an id
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def with_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with one more column at its end: the text, empty where null. What the others are called does not matter."""
+    return df.withColumn(f"__text_{uuid.uuid4().hex}", F.coalesce(F.col(text), F.lit("")))
+
+
+def apart(batch: pa.RecordBatch, rows: int, most: int = 1 << 20) -> Iterator[tuple[int, int, pa.RecordBatch, pa.Array]]:
+    """Runs of at most `rows` rows and about `most` bytes of text: first row, last row, the columns kept, and the texts.
+
+    batch: rows of what `with_text` returns.
+    """
+    kept = batch.select(range(batch.num_columns - 1))
+    texts = batch.column(batch.num_columns - 1).cast(pa.large_string())
+    sizes = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, "right")) - 1))
+        yield lo, hi, kept.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `most` bytes: first row, last row, their bytes, and offsets into these."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
+    texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
         return

@@ -1,18 +1,21 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Method: terms are words of letters, lower-cased, and their first 5 and 7 letters
-(for inflected forms); two more terms tell how many of a text's words are in the
-vocabulary and how dense they stand. Document frequencies of all
-terms, by label, are counted over all labelled texts outside the held-out fold;
-the TERMS terms whose chi-square against the label is highest (and at least
-LEAST) make the vocabulary, with inverse document frequencies. A bounded sample
-of labelled texts (EXAMPLES of each label, by hash of the id) is the index: for
-each block of BLOCK examples and each term, the block's highest weight. A text
-goes through the blocks by falling upper bound of its cosine with their examples,
-a few and then ever more at a time, and stops when no block left can beat its NEIGHBOURS best, so that these are the
-exact nearest. Their votes, weighted by cosine squared and by how many labelled
+Method: terms are words of letters, lower-cased, and their first 4 and 6 letters
+(for inflected forms). A bounded sample of labelled texts outside the held-out
+fold (SAMPLE of each label, by hash of the id, of at most LONGEST characters) is
+all that is learnt from: a part of it (CALIBRATION of each label, a quarter at
+most) is set apart for the scale; on the others, terms are tested against the
+label, and the TERMS terms whose chi-square is highest (and at least LEAST) make
+the vocabulary, with inverse document frequencies in which each text counts for
+as many labelled ones as it stands for. EXAMPLES of each label are the index: for
+each block of BLOCK examples and each term, the block's highest weight, and
+postings. Texts go through the blocks by falling upper bound of their cosine with
+a block's examples (exact for the few frequent terms, by the highest weights for
+the others), many texts in one step and ever more blocks at a time; a text stops
+when no block left can beat its NEIGHBOURS best, so that these are the exact
+nearest. Their votes, weighted by cosine squared and by how many labelled
 texts each example stands for, are put on the scale of the labels by a monotone
-fit on other labelled texts (CALIBRATION at most).
+fit on the part set apart.
 
 Cases: a null or empty text, or one without a term of the vocabulary, has no
 neighbour and gets the rate of toxic texts among such texts; without labelled
@@ -32,124 +35,179 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import held_out, shipped, table
+from driftline.llm.common import apart, held_out, shipped, table, with_text
 from driftline.llm.crf import rising
 
 TERMS, LEAST = 4096, 15.0
-EXAMPLES, CALIBRATION, LONGEST = 2048, 4000, 20_000
-NEIGHBOURS, BLOCK = 15, 64
+SAMPLE, EXAMPLES, CALIBRATION, LONGEST = 4096, 1024, 1024, 20_000
+NEIGHBOURS, BLOCK = 25, 64
+#: Terms that stand in more than this share of the examples are multiplied for all of them; the others have postings.
+OFTEN = 1 / 32
 #: Blocks of the first step; each step looks at twice as many as the one before.
 TOGETHER = 4
-#: Terms for the number and the density of a text's words that are in the vocabulary.
-EXTRA = 18
-#: Vectors whose votes a worker remembers.
-REMEMBERED = 100_000
+PREFIXES = (4, 6)
+#: Texts that are scored in one step, and words that a worker remembers (of at most 32 letters each).
+STEP, REMEMBERED = 256, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_counts(text: str, known: dict[str, int]) -> dict[int, int]:
-    words = WORD.findall(text.lower())
-    counts = Counter(known[x] for w in words for x in (w, f"{w[:5]}*", f"{w[:7]}*") if x in known)
-    if counts:
-        hits = sum(1 for w in words if w in known or f"{w[:5]}*" in known or f"{w[:7]}*" in known)
-        counts[len(known) + min(hits, 8) - 1] = 1
-        counts[len(known) + 8 + min(max(int(np.log2(1000 * hits / len(words))), 0), 9)] = 1
-    return counts
-
-
-def vocabulary(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Terms and their inverse document frequencies. docs: doc_id, text; labels: doc_id, label (0 or 1), all rows."""
-    total = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    if not total["n"]:
-        return [], np.empty(0)
-    n, pos = float(total["n"]), float(total["pos"])
-    labelled = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    start = lambda k: F.transform(words, lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
-    words = F.array_distinct(F.concat(words, start(5), start(7)))
-    counts = labelled.select("label", F.explode(words).alias("term")).where(~F.col("term").isin("", "*")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("tox"))
-    expected = F.col("df") * pos / n
-    spread = expected * (1 - F.col("df") / n) * (1 - pos / n)
-    chosen = counts.where((F.col("df") >= 5) & (F.col("df") < n)).withColumn("chi2", F.pow(F.col("tox") - expected, 2) / spread).where(F.col("chi2") >= LEAST)
-    rows = chosen.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    return [r["term"] for r in rows], np.log((1 + n) / (1 + np.array([r["df"] for r in rows])))
+def forms(word: str) -> tuple[str, ...]:
+    """The terms of a word."""
+    return (word, *(f"{word[:k]}*" for k in PREFIXES))
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(m.group() for m in WORD.finditer(text.lower())) if len(text) > 1 << 20 else Counter(WORD.findall(text.lower()))
+
+
+def vocabulary(texts: list[str], labels: np.ndarray, stands_for: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Terms and their inverse document frequencies, from a bounded sample; labels: 0 or 1."""
+    found: tuple[Counter, Counter] = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        found[int(y)].update({x for w in word_counts(t) for x in forms(w)})
+    n, pos = len(texts), float(np.sum(labels))
+    terms = [t for t in set(found[0]) | set(found[1]) if 5 <= found[0][t] + found[1][t] < n]
+    clean, toxic = (np.array([c[t] for t in terms], float) for c in found)
+    df = clean + toxic
+    expected = df * pos / max(n, 1)
+    spread = expected * (1 - df / max(n, 1)) * (1 - pos / max(n, 1))
+    chi2 = (toxic - expected) ** 2 / np.maximum(spread, 1e-12)
+    passed = sorted(np.flatnonzero((chi2 >= LEAST) & (spread > 0)).tolist(), key=lambda i: (-chi2[i], terms[i]))[:TERMS]
+    each = [float(np.mean(stands_for[labels == y])) if (labels == y).any() else 0.0 for y in (0, 1)]
+    return [terms[i] for i in passed], np.log((1 + stands_for.sum()) / (1 + clean[passed] * each[0] + toxic[passed] * each[1]))
 
 
 class Index:
     """Labelled examples in blocks, with each block's highest weight of each term."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, texts: list[str], labels: np.ndarray, stands_for: np.ndarray):
-        self.met: dict[bytes, tuple[float, list[int]]] = {}
-        self.known, self.idf = {t: i for i, t in enumerate(terms)}, np.concatenate([idf, np.full(EXTRA, float(np.mean(idf)) if len(idf) else 0.0)])
-        vectors = [self.vector(t) for t in texts]
-        mixed_order = np.random.default_rng(2).permutation(len(texts))
-        some = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        some.sort(key=lambda i: (vectors[i][0][vectors[i][1].argmax()], mixed_order[i]))  # alike examples share blocks, which keeps bounds low
-        self.rows = np.array(some, np.int64)
+        self.met: dict[str, tuple[int, ...]] = {}
+        self.known, self.idf = {t: i for i, t in enumerate(terms)}, idf
+        t, x, first = self.vectors(texts)
+        lead = np.array([t[a:b][x[a:b].argmax()] if b > a else -1 for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+        order = np.lexsort((np.random.default_rng(2).permutation(len(texts)), lead)) if len(texts) else np.empty(0, np.int64)
+        self.rows = order[lead[order] >= 0]  # alike examples share blocks, which keeps bounds low
         self.labels, self.weight = labels[self.rows].astype(float), stands_for[self.rows]
-        blocks = -(-len(some) // BLOCK)
-        terms_of = np.concatenate([vectors[i][0] for i in some]) if some else np.empty(0, np.int64)
-        weights = np.concatenate([vectors[i][1] for i in some]) if some else np.empty(0)
-        slots = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
-        self.best = np.zeros((len(self.idf), blocks))
-        np.maximum.at(self.best, (terms_of, slots // BLOCK), weights)
+        self.blocks = -(-len(self.rows) // BLOCK)
+        slot_of = np.full(len(texts), -1)
+        slot_of[self.rows] = np.arange(len(self.rows))
+        slots = slot_of[np.repeat(np.arange(len(texts)), np.diff(first))]
+        often = np.bincount(t, minlength=len(idf)) > OFTEN * max(len(self.rows), 1)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)  # of the frequent terms, in `dense`
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.dense[self.column[t[often[t]]], slots[often[t]]] = x[often[t]]
+        t, x, slots = t[~often[t]], x[~often[t]], slots[~often[t]]
+        self.best = np.zeros((len(idf), self.blocks))
+        np.maximum.at(self.best, (t, slots // BLOCK), x)
         # Postings by term and slot; those of term t in block b are start[t, b] on, size[t, b] of them.
-        order = np.lexsort((slots, terms_of))
-        self.slots, self.weights = slots[order], weights[order]
-        upto = np.cumsum(np.bincount(terms_of * blocks + slots // BLOCK, minlength=self.best.size)).reshape(self.best.shape)
+        order = np.lexsort((slots, t))
+        self.inside, self.weights = slots[order] % BLOCK, x[order]
+        upto = np.cumsum(np.bincount(t * self.blocks + slots // BLOCK, minlength=self.best.size)).reshape(self.best.shape)
         self.size = np.diff(upto.ravel(), prepend=0).reshape(self.best.shape)
         self.start = upto - self.size
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = term_counts(text, self.known)
-        t = np.array(sorted(counts), np.int64)
-        x = (1 + np.log([counts[i] for i in t])) * self.idf[t] if len(t) else np.empty(0)
-        return t, x / max(float(np.sqrt(x @ x)), 1e-12)
-
-    def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Slots and cosines of the nearest examples, the nearest first; of equally near ones those met first."""
-        return self.nearest_to(*self.vector(text))
-
-    def nearest_to(self, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(t) or not len(self.rows):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = x @ self.best[t]
-        slots, cosines = np.empty(0, np.int64), np.empty(0)
-        falling, at, some = np.argsort(-bound, kind="stable"), 0, TOGETHER
-        while at < len(falling):
-            least = cosines[-1] + 1e-12 if len(cosines) == NEIGHBOURS else 0.0
-            here = falling[at : at + some]
-            here = here[bound[here] > least]
-            if not len(here):
+    def terms_of(self, word: str) -> tuple[int, ...]:
+        out = self.met.get(word)
+        if out is None:
+            out = tuple(self.known[x] for x in forms(word) if x in self.known)
+            if len(word) <= 32:
+                if len(self.met) >= REMEMBERED:
+                    self.met.clear()
+                self.met[word] = out
+        return out
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms, weights (of length 1 in each text), and each text's first (one more entry at the end)."""
+        terms, counts, sizes = [], [], []
+        for text in texts:
+            c: dict[int, int] = {}
+            for w, n in word_counts(text).items():
+                for i in self.terms_of(w):
+                    c[i] = c.get(i, 0) + n
+            terms += sorted(c)
+            counts += [c[i] for i in sorted(c)]
+            sizes.append(len(c))
+        t, first = np.array(terms, np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        x = (1 + np.log(np.array(counts, float))) * self.idf[t]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        return t, x / np.sqrt(np.maximum(np.bincount(owner, x * x, len(texts)), 1e-24))[owner], first
+
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[texts, NEIGHBOURS] slots and cosines of the nearest examples, the nearest first; -1 and 0 where there are fewer.
+
+        Of equally near examples those met first stay; that order is the same whatever else is in the step.
+        """
+        t, x, first = self.vectors(texts)
+        slots, cosines = np.full((len(texts), NEIGHBOURS), -1), np.zeros((len(texts), NEIGHBOURS))
+        live = np.flatnonzero(np.diff(first))
+        if not len(live) or not self.blocks:
+            return slots, cosines
+        bound = np.add.reduceat(x[:, None] * self.best[t], first[live], axis=0)
+        owner, column = np.repeat(np.arange(len(texts)), np.diff(first)), self.column[t]
+        frequent = np.zeros((len(texts), len(self.dense)))
+        frequent[owner[column >= 0], column[column >= 0]] = x[column >= 0]
+        sums = (frequent @ self.dense).reshape(len(texts), self.blocks, BLOCK)
+        bound += sums[live].max(2)
+        falling = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, falling, 1)
+        row, at, some = np.arange(len(live)), 0, TOGETHER
+        while at < self.blocks:
+            on = bound[row, at] > np.maximum(cosines[live[row], -1], 1e-9)
+            row = row[on]
+            if not len(row):
                 break
-            size = self.size[np.ix_(t, here)].ravel()
-            ends = np.cumsum(size)
-            where = np.repeat(self.start[np.ix_(t, here)].ravel() - ends + size, size) + np.arange(ends[-1])
-            scores = np.bincount(self.slots[where], np.repeat(np.repeat(x, len(here)), size) * self.weights[where], len(self.rows))
-            new = np.flatnonzero(scores > least)
-            slots, cosines = np.concatenate([slots, new]), np.concatenate([cosines, scores[new]])
-            order = np.lexsort((slots, -cosines))[:NEIGHBOURS]
-            slots, cosines = slots[order], cosines[order]
+            here = falling[row, at : at + some]
+            # Rounded, so that what is equally near does not depend on the order of sums.
+            scores = np.round(self.scores(t, x, first, live[row], here) + sums[live[row, None], here], 9)
+            # Blocks whose bound is too low are looked at only with others of the step; their examples cannot get in.
+            new = here[:, :, None] * BLOCK + np.arange(BLOCK)
+            every = np.concatenate([cosines[live[row]], scores.reshape(len(row), -1)], 1)
+            names = np.concatenate([slots[live[row]], new.reshape(len(row), -1)], 1)
+            top = np.argsort(-every, axis=1, kind="stable")[:, :NEIGHBOURS]
+            cosines[live[row]] = np.take_along_axis(every, top, 1)
+            slots[live[row]] = np.take_along_axis(names, top, 1)
             at, some = at + some, 2 * some
+        slots[cosines <= 0] = -1
         return slots, cosines
 
-    def vote(self, text: str) -> tuple[float, list[int]]:
-        """Vote for toxic, -1 without neighbours, and the examples it rests on."""
-        t, x = self.vector(text)
-        key = t.tobytes() + x.tobytes()  # many texts share a vector
-        if key not in self.met:
-            if len(self.met) > REMEMBERED:
-                self.met.clear()
-            slots, cosines = self.nearest_to(t, x)
-            w = cosines**2 * self.weight[slots]
-            self.met[key] = (float(w @ self.labels[slots] / w.sum()), self.rows[slots[:3]].tolist()) if len(slots) else (-1.0, [])
-        return self.met[key]
+    def scores(self, t: np.ndarray, x: np.ndarray, first: np.ndarray, texts: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """[texts, blocks, BLOCK] shares of the cosines, by the postings of each text's terms in its blocks."""
+        n, k = blocks.shape
+        many = first[texts + 1] - first[texts]
+        at = np.repeat(first[texts] - np.cumsum(many) + many, many) + np.arange(many.sum())  # each text's terms
+        whose = np.repeat(np.arange(n), many)
+        size, start = self.size[t[at, None], blocks[whose]], self.start[t[at, None], blocks[whose]]
+        size, start = size.ravel(), start.ravel()
+        some = np.flatnonzero(size)
+        size, start = size[some], start[some]
+        where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(whose[some // k] * k + some % k, size) * BLOCK + self.inside[where]
+        return np.bincount(cell, np.repeat(x[at][some // k], size) * self.weights[where], n * k * BLOCK).reshape(n, k, BLOCK)
+
+    def vote(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Votes for toxic, -1 without neighbours, and the first three examples that each rests on (-1: none)."""
+        slots, cosines = self.nearest(texts)
+        w = cosines**2 * self.weight[slots] if len(self.rows) else cosines
+        total = w.sum(1)
+        vote = np.where(total > 0, (w * self.labels[slots]).sum(1) / np.where(total > 0, total, 1), -1.0) if len(self.rows) else np.full(len(texts), -1.0)
+        return vote, np.where(slots[:, :3] >= 0, self.rows[slots[:, :3]], -1) if len(self.rows) else slots[:, :3]
+
+
+def share(part: list[tuple], sizes: dict[int, int]) -> np.ndarray:
+    """How many labelled texts each row of a part stands for."""
+    n = Counter(r[2] for r in part)
+    return np.array([sizes[r[2]] / n[r[2]] for r in part], float)
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: int, rows: int) -> list:
-    ids = labels.where(F.col("label") == label).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(rows)
-    texts = docs.where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").select("doc_id", "text")
-    return sorted(texts.limit(rows).collect(), key=lambda r: (r["doc_id"], r["text"]))
+def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple]:
+    """(doc_id, text, label) of at most `rows` texts of each label, in the order of the ids' hashes."""
+    ids = None
+    for y in (0, 1):
+        some = labels.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        ids = some if ids is None else ids.unionByName(some)
+    texts = docs.where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), "text", "label")
+    found = sorted(texts.collect(), key=lambda r: (r["h"], r["text"]))  # a row for each id but for repeated ones
+    return [(r["doc_id"], r["text"], y) for y in (0, 1) for r in [x for x in found if x["label"] == y][:rows]]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:
@@ -160,53 +218,46 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> D
     spark = docs.sparkSession
     shipped(spark)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    labels = labels.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).join(own.select("doc_id"), "doc_id", "left_semi")
-    terms, idf = vocabulary(own, labels)
-    rows = [(r["doc_id"], r["text"], y) for y in (0, 1) for r in examples(own, labels, y, EXAMPLES + CALIBRATION // 2)]
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    rows = sampled(own, labels, SAMPLE)
     made = None
     if rows:
         sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-        n = {y: sum(r[2] == y for r in rows) for y in (0, 1)}
-        # The first of each label, by hash, are the index where there are enough; the others calibrate.
-        rng = np.random.default_rng(1)
-        lot = rng.permutation(len(rows))
-        taken, inside = Counter(), np.zeros(len(rows), bool)
-        for i in lot:
-            y = rows[i][2]
-            if taken[y] < min(EXAMPLES, n[y] // 2 + 1):
-                taken[y] += 1
-                inside[i] = True
-        pick = [r for r, k in zip(rows, inside, strict=True) if k]
-        rest = [r for r, k in zip(rows, inside, strict=True) if not k]
-        index = Index(terms, idf, [r[1] for r in pick], np.array([r[2] for r in pick]), np.array([sizes[r[2]] / max(taken[r[2]], 1) for r in pick]))
-        votes = np.array([index.vote(r[1])[0] for r in rest])
-        y, w = np.array([float(r[2]) for r in rest]), np.array([sizes[r[2]] / max(n[r[2]] - taken[r[2]], 1) for r in rest])
+        learn, rest = [], []
+        for y in (0, 1):
+            mine = [r for r in rows if r[2] == y]
+            aside = min(CALIBRATION, len(mine) // 4)
+            learn += mine[: len(mine) - aside]
+            rest += mine[len(mine) - aside :]
+        terms, idf = vocabulary([r[1] for r in learn], np.array([r[2] for r in learn]), share(learn, sizes))
+        pick = [r for y in (0, 1) for r in [q for q in learn if q[2] == y][:EXAMPLES]]
+        index = Index(terms, idf, [r[1] for r in pick], np.array([r[2] for r in pick]), share(pick, sizes))
+        votes, y, w = index.vote([r[1] for r in rest])[0], np.array([float(r[2]) for r in rest]), share(rest, sizes)
         none = votes < 0
-        prior = float((y * w).sum() / w.sum()) if len(rest) else 0.0
+        prior = float((y * w).sum() / w.sum()) if len(rest) else sizes.get(1, 0) / sum(sizes.values())
         alone = float(((y * w)[none].sum() + prior) / (w[none].sum() + 1)) if len(rest) else prior
         # Labels are drawn at different rates: repeat each row in proportion, so that the fit sees the corpus's rates.
         times = np.maximum(1, np.round(w / w.min()).astype(int)) if len(rest) else np.empty(0, int)
         knots, values = rising(np.repeat(votes[~none], times[~none]), np.repeat(y[~none], times[~none])) if (~none).any() else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         made = spark.sparkContext.broadcast((index, knots, values, alone, [r[0] for r in pick]))
-    df = docs.drop("score", "predicted", "evidence").withColumn("__text", F.coalesce("text", F.lit("")))
+    df = with_text(docs.drop("score", "predicted", "evidence"))
     kind = T.ArrayType(docs.schema["doc_id"].dataType)
-    schema = T.StructType([f for f in df.schema if f.name != "__text"]).add("score", "double").add("predicted", "integer").add("evidence", kind)
+    schema = T.StructType(df.schema.fields[:-1]).add("score", "double").add("predicted", "integer").add("evidence", kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [f for f in batch.schema if f.name != "__text"]
-            at = batch.schema.get_field_index("__text")
-            score, evidence = np.zeros(len(batch)), [[]] * len(batch)
-            if made is not None:
-                index, knots, values, alone, ids = made.value
-                for i in range(len(batch)):
-                    vote, which = index.vote(batch.column(at)[i].as_py())
-                    score[i] = alone if vote < 0 else np.interp(vote, knots, values)
-                    evidence[i] = [ids[k] for k in which]
-            score = np.clip(score, 0, 1)
             id_type = batch.schema.field("doc_id").type
-            out = [*(batch.column(batch.schema.get_field_index(f.name)) for f in fields), pa.array(score), pa.array((score >= cutoff).astype(np.int32)), pa.array(evidence, pa.list_(id_type))]
-            yield pa.RecordBatch.from_arrays(out, schema=pa.schema([*fields, pa.field("score", pa.float64()), pa.field("predicted", pa.int32()), pa.field("evidence", pa.list_(id_type))]))
+            for lo, hi, kept, texts in apart(batch, STEP):
+                score, evidence = np.zeros(hi - lo), [[]] * (hi - lo)
+                if made is not None:
+                    index, knots, values, alone, ids = made.value
+                    vote, which = index.vote(texts.to_pylist())
+                    score = np.clip(np.where(vote < 0, alone, np.interp(vote, knots, values)), 0, 1)
+                    evidence = [[ids[k] for k in row if k >= 0] for row in which.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(score), pa.array((score >= cutoff).astype(np.int32)), pa.array(evidence, pa.list_(id_type))],
+                    schema=pa.schema([*kept.schema, pa.field("score", pa.float64()), pa.field("predicted", pa.int32()), pa.field("evidence", pa.list_(id_type))]),
+                )
 
     return df.mapInArrow(run, schema)
 

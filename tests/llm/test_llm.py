@@ -129,25 +129,28 @@ def test_gradient_of_the_network_equals_differences():
 def test_block_search_finds_the_exact_nearest():
     rng = random.Random(3)
     terms = [f"{chr(97 + i)}{chr(97 + j)}x" for i in range(12) for j in range(12)]
-    texts = [" ".join(rng.choices(terms, k=rng.randint(1, 12))) for _ in range(400)]
-    index = toxicity.Index(terms, np.linspace(1, 3, len(terms)), texts, np.zeros(400), np.ones(400))
-    for q in texts[:30] + ["nothing known"]:
-        t, x = index.vector(q)
-        every = []
-        for slot, row in enumerate(index.rows):
-            u, y = index.vector(texts[row])
-            every.append((-sum(a * y[list(u).index(i)] for i, a in zip(t, x) if i in u), slot))
-        want = [-c for c, _ in sorted(every)[: toxicity.NEIGHBOURS] if c < 0]
-        assert index.nearest(q)[1] == pytest.approx(want, abs=1e-9)
-
-
-def test_toxicity_by_a_word_of_moderate_link(spark):
+    texts = [" ".join(rng.choices(terms, k=rng.randint(1, 12))) for _ in range(900)]
+    index = toxicity.Index(terms, np.linspace(1, 3, len(terms)), texts, np.zeros(900), np.ones(900))
+    t, x, first = index.vectors(texts)
+    dense = np.zeros((len(texts), len(terms)))
+    dense[np.repeat(np.arange(len(texts)), np.diff(first)), t] = x
+    queries_ = texts[:60] + ["nothing known", ""]
+    slots, cosines = index.nearest(queries_)
+    for k in range(60):
+        every = dense[index.rows] @ dense[k]
+        want = np.sort(every)[::-1][: toxicity.NEIGHBOURS]
+        assert cosines[k] == pytest.approx(want, abs=1e-9)
+        assert every[slots[k][slots[k] >= 0]] == pytest.approx(want[want > 0], abs=1e-9)
+        alone = index.nearest(queries_[k : k + 1])
+        assert (alone[0][0] == slots[k]).all()
+    assert (slots[60:] == -1).all() and (cosines[60:] == 0).all()
+
+
+def test_toxicity_by_a_word_of_moderate_link():
     """The word stands in 20 of 240 labelled texts, 10 of them toxic of 30; no other word is linked to the label."""
     rng = random.Random(8)
-    ids = [i for i in range(1000) if not held_out(i)][:240]
-    rows = [(i, " ".join(rng.choices([f"{a}{b}" for a in "kmrst" for b in "aeiou"], k=8)) + (" zugwort" if k < 10 or k >= 230 else "")) for k, i in enumerate(ids)]
-    labels = spark.createDataFrame([(i, int(k < 30)) for k, i in enumerate(ids)], "doc_id long, label int")
-    terms, _ = toxicity.vocabulary(spark.createDataFrame(rows, SCHEMA), labels)
+    texts = [" ".join(rng.choices([f"{a}{b}" for a in "kmrst" for b in "aeiou"], k=8)) + (" zugwort" if k < 10 or k >= 230 else "") for k in range(240)]
+    terms, _ = toxicity.vocabulary(texts, np.array([int(k < 30) for k in range(240)]), np.ones(240))
     assert "zugwort" in terms
 
 
