@@ -32,11 +32,11 @@ from driftline.llm.common import checkpoint, held_out, keyed, table
 #: Base formats. Each run of letters or digits is tried once, at its start or where the last match ended.
 LOCAL = "A-Za-z0-9._%+-"
 GENERATORS = {
-    "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "spelled": rf"(?<![{LOCAL}])[{LOCAL}]++ ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)+",
+    "spelled": rf"(?<![{LOCAL}])[{LOCAL}]++ ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++",
     "grouped": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+",
 }
