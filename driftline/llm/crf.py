@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import held_out, mixed, shipped, slices, table, training_sample, word_hashes, word_spans
+from driftline.llm.common import held_out, mixed, shipped, slices, table, training_sample, with_text, word_hashes, word_spans
 
 SAMPLE, LONGEST = 3000, 20_000
 ROUNDS, STEPS = 3, 50
@@ -170,18 +170,18 @@ def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, cutoff: fl
         x, _, first = line_features(data, offsets)
         w, trans = fit(x, first, bad)
         model = w, trans, *rising(mean_good(data, offsets, w, trans), (~bad).astype(float))
-    df = docs.drop("score", "predicted").withColumn("__text", F.coalesce("text", F.lit("")))
-    schema = T.StructType([f for f in df.schema if f.name != "__text"]).add("score", "double").add("predicted", "integer")
+    df = with_text(docs.drop("score", "predicted"))
+    schema = T.StructType(df.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [f for f in batch.schema if f.name != "__text"]
-            for lo, hi, data, offsets in slices(batch, "__text"):
+            kept = batch.select(range(batch.num_columns - 1))
+            for lo, hi, data, offsets in slices(batch, batch.num_columns - 1):
                 score = np.full(hi - lo, 0.5)
                 if model:
                     w, trans, knots, values = model
                     score = np.clip(np.interp(mean_good(data, offsets, w, trans), knots, values), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name))[lo:hi] for f in fields), pa.array(score), pa.array((score >= cutoff).astype(np.int32))], schema=pa.schema([*fields, pa.field("score", pa.float64()), pa.field("predicted", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(score), pa.array((score >= cutoff).astype(np.int32))], schema=pa.schema([*kept.schema, pa.field("score", pa.float64()), pa.field("predicted", pa.int32())]))
 
     return df.mapInArrow(run, schema)
 

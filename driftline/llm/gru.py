@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import held_out, shipped, slices, table, training_sample
+from driftline.llm.common import held_out, shipped, slices, table, training_sample, with_text
 
 SAMPLE, LONGEST = 2000, 20_000
 HIDDEN, STEPS, BATCH, LENGTH = 8, 350, 192, 64
@@ -165,19 +165,19 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     rows = sorted((r["label"], r["text"]) for r in rows if r["text"])
     names = sorted({a for a, _ in rows})
     w = train([t.encode() for _, t in rows], np.array([names.index(a) for a, _ in rows]), len(names)) if names else None
-    df = docs.drop("lang_pred", "score").withColumn("__text", F.coalesce("text", F.lit("")))
-    schema = T.StructType([f for f in df.schema if f.name != "__text"]).add("lang_pred", "string").add("score", "double")
+    df = with_text(docs.drop("lang_pred", "score"))
+    schema = T.StructType(df.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [f for f in batch.schema if f.name != "__text"]
-            for lo, hi, data, offsets in slices(batch, "__text"):
+            kept = batch.select(range(batch.num_columns - 1))
+            for lo, hi, data, offsets in slices(batch, batch.num_columns - 1):
                 found = has_letter(data, offsets) if w else np.zeros(hi - lo, bool)
                 p = pooled(w, data, offsets) if w else np.zeros((hi - lo, 1))
                 best = p.argmax(1)
                 lang = [names[b] if ok else UNKNOWN for b, ok in zip(best, found, strict=True)]
                 score = np.where(found, np.clip(p.max(1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name))[lo:hi] for f in fields), pa.array(lang, pa.string()), pa.array(score)], schema=pa.schema([*fields, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(lang, pa.string()), pa.array(score)], schema=pa.schema([*kept.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
     return df.mapInArrow(run, schema)
 

@@ -26,6 +26,7 @@ repeated rows fall into one class; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,10 +269,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their class, each once."""
     first = membership(docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("node").alias("__n")).distinct()
-    own = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = own.join(first, own["doc_id"].eqNullSafe(first["__d"]) & (own["__node"] == first["__n"]), "left_semi")
-    twice = not own.groupBy("doc_id", "__node").count().where("count > 1").isEmpty()
-    return (rows.dropDuplicates(["doc_id", "__node"]) if twice else rows).drop("__node")
+    node = f"__node_{uuid.uuid4().hex}"  # no column of docs is called so
+    own = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = own.join(first, own["doc_id"].eqNullSafe(first["__d"]) & (own[node] == first["__n"]), "left_semi")
+    twice = not own.groupBy("doc_id", node).count().where("count > 1").isEmpty()
+    return (rows.dropDuplicates(["doc_id", node]) if twice else rows).drop(node)
 
 
 def membership(docs: DataFrame) -> DataFrame:
