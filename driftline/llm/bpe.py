@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import shipped, table
+from driftline.llm.common import apart, shipped, table, with_text
 
 SHORT = 48
 SLOTS = 1 << 19
 NONE = np.int32(2**31 - 1)
-#: Words, and chunks, that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
+#: Bytes (strings, ids and dictionary entries, roughly) of the words, and of the chunks, that a task remembers;
+#: the memory is emptied when it is full. A string longer than KEPT is not remembered.
+REMEMBERED, ENTRY, KEPT = 24 << 20, 240, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -179,6 +180,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
+        self.held = {"words": 0, "chunks": 0}
         self.pattern = regex.compile(vocabulary.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
@@ -192,18 +194,30 @@ class Encoder:
 
     def encode_parts(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(t) for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        self.make_room("words")
         for s, i in self.vocabulary.special.items():
             self.words[f"\0{s}"] = np.array([i], "<u4").tobytes()
         new = list({w for p in parts for w in p if w not in self.words})
         self.words.update(zip(new, self.vocabulary.merge([w.encode() for w in new]), strict=True))
-        return [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        out = [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        self.remember("words", new)
+        return out
+
+    def make_room(self, name: str) -> None:
+        if self.held[name] > REMEMBERED:
+            getattr(self, name).clear()
+            self.held[name] = 0
+
+    def remember(self, name: str, new: list[str]) -> None:
+        """Counts what was added, and forgets long strings."""
+        known = getattr(self, name)
+        for w in [w for w in new if len(w) > KEPT]:
+            del known[w]
+        self.held[name] += ENTRY * sum(len(w) <= KEPT for w in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
+        self.make_room("chunks")
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         for chunks in split:
             chunks[0] = f" {chunks[0]}"  # marks that no space stands before it; no other chunk holds a space
@@ -212,6 +226,7 @@ class Encoder:
         self.chunks.update(dict.fromkeys(new))
         self.chunks.update(zip(whole, self.encode_parts([w[1:] if w[0] == " " else w if w[0] == "\n" else f" {w}" for w in whole]), strict=True))
         out = [None if None in ids else b"".join(ids) for ids in ([self.chunks[w] for w in chunks] for chunks in split)]
+        self.remember("chunks", new)
         if self.special is not None:
             out = [None if self.special.search(t) else ids for t, ids in zip(texts, out, strict=True)]
         rest = [i for i, x in enumerate(out) if x is None]
@@ -220,31 +235,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(key: str, shared) -> Encoder:
-    """One for each worker and vocabulary, so that words stay known from task to task."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
-
-
-def _mapped(shared, key: str, fields: pa.Schema):
+def _mapped(shared, fields: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, shared)
+        encoder = Encoder(shared.value)  # one for a task: a worker that is used again holds nothing of it
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.large_string()).fill_null("")
-            sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)))
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (2 << 20), "right")))
-                ids = encoder.encode(texts[lo:hi].to_pylist())
+            for _, _, kept, texts in apart(batch, batch.num_rows):
+                ids = encoder.encode(texts.to_pylist())
                 decoded = [encoder.vocabulary.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
-                columns = [batch.column(i)[lo:hi] for i, name in enumerate(batch.schema.names) if name != "__text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=pa.schema([*(f for f in batch.schema if f.name != "__text"), *fields]))
-                lo = hi
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=pa.schema([*kept.schema, *fields]))
 
     return run
 
@@ -257,9 +255,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text")
     spark = docs.sparkSession
     shipped(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(path, pattern))
-    df = docs.drop("ids", "decoded").withColumn("__text", F.col(text))
-    schema = T.StructType([f for f in df.schema if f.name != "__text"]).add("ids", "binary").add("decoded", "string")
-    return df.mapInArrow(_mapped(shared, path, pa.schema([("ids", pa.binary()), ("decoded", pa.string())])), schema)
+    df = with_text(docs, text).drop("ids", "decoded")
+    schema = T.StructType(df.schema.fields[:-1]).add("ids", "binary").add("decoded", "string")
+    return df.mapInArrow(_mapped(shared, pa.schema([("ids", pa.binary()), ("decoded", pa.string())])), schema)
 
 
 def ids_as_array(ids: str = "ids"):
