@@ -1,7 +1,8 @@
 """Joins of streams in time. Both sides have recording_id, t_us and seq; ties go by seq.
 
-Each join is a union of both sides and one window pass over the recording, so
-that it shuffles once by the recording and never pairs rows beyond those it returns.
+Each join is a union of both sides and running windows over the recording, forwards
+and where need be backwards: it shuffles once by the recording, sorts, and never
+pairs rows beyond those it returns.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ def _both(base: DataFrame, aux: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def _order(df: DataFrame):
-    return W.partitionBy("recording_id").orderBy("t_us", "side", "seq")
+def _order():
+    return W.partitionBy("recording_id").orderBy("t_us", "side", "seq").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _turned():
+    """The same order from its end, so that what follows a row is a running value, not a frame to go through again."""
+    return W.partitionBy("recording_id").orderBy(F.desc("t_us"), F.desc("side"), F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
 
 
 def newest_only(base: DataFrame, aux: DataFrame) -> DataFrame:
     """Each base row with the newest aux row at or before it that no earlier base row has met; older ones are lost."""
     u = _both(base, aux)
-    nxt = F.first("b", ignorenulls=True).over(_order(u).rowsBetween(0, W.unboundedFollowing))
+    nxt = F.last("b", ignorenulls=True).over(_turned())
     met = u.withColumn("e", nxt).where(F.col("a").isNotNull() & F.col("e").isNotNull())
     last = W.partitionBy("recording_id", "e.t_us", "e.seq").orderBy(F.desc("t_us"), F.desc("seq"))
     return met.withColumn("k", F.row_number().over(last)).where("k = 1").select("recording_id", F.col("e.t_us").alias("t_us"), F.col("e.seq").alias("seq"), F.col("e.value").alias("value"), F.col("a.t_us").alias("aux_t_us"), F.col("a.value").alias("aux_value"), (F.col("e.t_us") - F.col("a.t_us")).alias("age_us"))
@@ -34,7 +40,7 @@ def newest_only(base: DataFrame, aux: DataFrame) -> DataFrame:
 def backward(base: DataFrame, aux: DataFrame, max_age_us: int | None = None) -> DataFrame:
     """Each base row with the last aux row at or before it, within max_age_us; null if there is none."""
     u = _both(base, aux)
-    prev = F.last("a", ignorenulls=True).over(_order(u).rowsBetween(W.unboundedPreceding, 0))
+    prev = F.last("a", ignorenulls=True).over(_order())
     out = u.withColumn("p", prev).where(F.col("b").isNotNull())
     ok = F.col("b.t_us") - F.col("p.t_us") <= max_age_us if max_age_us is not None else F.col("p").isNotNull()
     return out.select("recording_id", "b.t_us", "b.seq", "b.value", F.when(ok, F.col("p.t_us")).alias("aux_t_us"), F.when(ok, F.col("p.value")).alias("aux_value"))
@@ -42,9 +48,8 @@ def backward(base: DataFrame, aux: DataFrame, max_age_us: int | None = None) ->
 
 def _bracketed(base: DataFrame, aux: DataFrame) -> DataFrame:
     u = _both(base, aux)
-    o = _order(u)
-    prev = F.last("a", ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, 0))
-    nxt = F.first("a", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing))
+    prev = F.last("a", ignorenulls=True).over(_order())
+    nxt = F.last("a", ignorenulls=True).over(_turned())
     return u.withColumn("p", prev).withColumn("n", nxt).where(F.col("b").isNotNull())
 
 
@@ -75,7 +80,7 @@ def fifo(base: DataFrame, aux: DataFrame, capacity: int = 4) -> DataFrame:
     epochs = base.select("recording_id", "t_us", "seq", (F.row_number().over(w) - 1).alias("epoch"))
     total = epochs.groupBy("recording_id").agg(F.count(F.lit(1)).alias("epochs"))
     u = epochs.select("recording_id", "t_us", "seq", "epoch", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionByName(aux.select("recording_id", "t_us", "seq", F.lit(None).cast("int").alias("epoch"), "value", F.lit(0).alias("side")))
-    first = F.first("epoch", ignorenulls=True).over(W.partitionBy("recording_id").orderBy("t_us", "side", "seq").rowsBetween(0, W.unboundedFollowing))
+    first = F.last("epoch", ignorenulls=True).over(_turned())
     a = u.withColumn("a", first).where((F.col("side") == 0) & F.col("a").isNotNull()).withColumn("i", F.row_number().over(w) - 1)
     slot = F.col("i") + F.max(capacity * F.col("a") - F.col("i")).over(w.rowsBetween(W.unboundedPreceding, 0))
     out = a.withColumn("epoch", F.floor(slot / capacity)).join(total, "recording_id")
