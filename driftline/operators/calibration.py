@@ -46,8 +46,9 @@ def ellipsoid(df: DataFrame, x: str, y: str, z: str, radius: float = 1.0, rounds
 
 
 def wahba(df: DataFrame, measured: tuple[str, str, str], ideal: tuple[str, str, str], weight: Column | None = None) -> np.ndarray:
-    """The rotation that best takes measured vectors to ideal ones."""
-    w = F.lit(1.0) if weight is None else weight
+    """The rotation that best takes the directions of measured vectors to those of ideal ones; lengths do not count."""
+    norm = lambda v: F.sqrt(sum((F.col(c) * F.col(c) for c in v), F.lit(0.0)))
+    w = (F.lit(1.0) if weight is None else weight) / (norm(measured) * norm(ideal))
     s = df.agg(*(F.sum(w * F.col(a) * F.col(b)).alias(f"{i}{j}") for i, b in enumerate(ideal) for j, a in enumerate(measured))).first()
     u, _, vt = np.linalg.svd(np.array([[s[f"{i}{j}"] for j in range(3)] for i in range(3)]))
     return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt

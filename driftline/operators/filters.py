@@ -12,6 +12,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from driftline.shipping import shipped
 
 
 @dataclass
@@ -140,13 +143,25 @@ class Attitude:
 def smoothed(f: np.ndarray, before: np.ndarray, after: np.ndarray, x_before: np.ndarray, x_after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rauch-Tung-Striebel pass over n steps: f[k] leads from k to k + 1; (x_)before[k] and after[k] are k's prediction and update."""
     x, p = x_after.copy(), after.copy()
+    gain = after[:-1] @ f[: len(x) - 1].transpose(0, 2, 1)
+    try:  # all gains at once; predictions are symmetric
+        gain = np.linalg.solve(before[1:], gain.transpose(0, 2, 1)).transpose(0, 2, 1)
+    except np.linalg.LinAlgError:
+        gain = gain @ np.linalg.pinv(before[1:])
     for k in range(len(x) - 2, -1, -1):
-        c = after[k] @ f[k].T @ np.linalg.pinv(before[k + 1])
+        c = gain[k]
         x[k] = x_after[k] + c @ (x[k + 1] - x_before[k + 1])
         p[k] = after[k] + c @ (p[k + 1] - before[k + 1]) @ c.T
     return x, p
 
 
+def per_recording(df: DataFrame, run, columns: str, also: tuple[str, ...] = ("t_us", "seq")) -> DataFrame:
+    """run on each recording; returns recording_id and `also` with the types they have in df, then `columns` (DDL)."""
+    shipped(df.sparkSession)
+    schema = T.StructType([df.schema[c] for c in ("recording_id", *also)] + (T._parse_datatype_string(columns).fields if columns else []))
+    return df.groupBy("recording_id").applyInPandas(run, schema)
+
+
 def offset_filter(df: DataFrame, walk_var: float, noise_var: float, threshold: float = 10.0) -> DataFrame:
     """recording_id, t_us, seq, estimate."""
 
@@ -156,7 +171,7 @@ def offset_filter(df: DataFrame, walk_var: float, noise_var: float, threshold: f
         frame["estimate"] = [k.step(int(t), float(z)) for t, z in zip(frame["t_us"], frame["value"], strict=True)]
         return frame[["recording_id", "t_us", "seq", "estimate"]]
 
-    return df.select("recording_id", "t_us", "seq", "value").groupBy("recording_id").applyInPandas(run, "recording_id long, t_us long, seq long, estimate double")
+    return per_recording(df.select("recording_id", "t_us", "seq", "value"), run, "estimate double")
 
 
 def vertical_filter(df: DataFrame, acc: str, height: str, smooth: bool = False) -> DataFrame:
@@ -182,7 +197,7 @@ def vertical_filter(df: DataFrame, acc: str, height: str, smooth: bool = False)
             x, _ = smoothed(np.array(fs[1:]), np.array(pb), np.array(pa), np.array(xb), x)
         return frame[["recording_id", "t_us", "seq"]].assign(h=x[:, 0], v=x[:, 1], bias=x[:, 2])
 
-    return df.select("recording_id", "t_us", "seq", acc, height).groupBy("recording_id").applyInPandas(run, "recording_id long, t_us long, seq long, h double, v double, bias double")
+    return per_recording(df.select("recording_id", "t_us", "seq", acc, height), run, "h double, v double, bias double")
 
 
 def attitude_filter(df: DataFrame) -> DataFrame:
@@ -195,7 +210,7 @@ def attitude_filter(df: DataFrame) -> DataFrame:
         rpy = np.array([k.step(int(t), g[i], a[i]) for i, t in enumerate(frame["t_us"])])
         return frame[["recording_id", "t_us", "seq"]].assign(roll=rpy[:, 0], pitch=rpy[:, 1], yaw=rpy[:, 2])
 
-    return df.groupBy("recording_id").applyInPandas(run, "recording_id string, t_us long, seq long, roll double, pitch double, yaw double")
+    return per_recording(df, run, "roll double, pitch double, yaw double")
 
 
 def greedy_thinned(df: DataFrame, period_us: int) -> DataFrame:
@@ -209,7 +224,7 @@ def greedy_thinned(df: DataFrame, period_us: int) -> DataFrame:
             last = t if keep[-1] else last
         return frame[np.array(keep, bool)]
 
-    return df.select("recording_id", "t_us", "seq", "value").groupBy("recording_id").applyInPandas(run, "recording_id long, t_us long, seq long, value double")
+    return per_recording(df.select("recording_id", "t_us", "seq", "value"), run, "", ("t_us", "seq", "value"))
 
 
 def tumbling_variance(df: DataFrame, least_us: int, least_rows: int = 8) -> DataFrame:
@@ -229,4 +244,4 @@ def tumbling_variance(df: DataFrame, least_us: int, least_rows: int = 8) -> Data
                 start, n, mean, m2 = None, 0, 0.0, 0.0
         return pd.DataFrame(out, columns=["recording_id", "t0_us", "t1_us", "n", "variance"])
 
-    return df.select("recording_id", "t_us", "seq", "value").groupBy("recording_id").applyInPandas(run, "recording_id long, t0_us long, t1_us long, n long, variance double")
+    return per_recording(df.select("recording_id", "t_us", "seq", "value"), run, "t0_us long, t1_us long, n long, variance double", ())

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions import covariance
+from driftline.functions.covariance import Cov
+
 
 def finite(*xs: Column) -> Column:
     out = F.lit(True)
@@ -27,14 +30,38 @@ def mode(ins_ready: Column, attitude_ready: Column, aided_age_ms: Column, fresh_
 
 def fix_quality(fix_type: Column, ok: Column, differential: Column, carrier: Column) -> Column:
     """Solution status: 1 fixed, 2 float, 4 differential, 5 single, 0 none."""
-    return F.when(~ok | ~fix_type.isin(3, 4), 0).when(carrier == 2, 1).when(carrier == 1, 2).when(differential, 4).otherwise(5)
+    return F.when(~F.coalesce(ok & fix_type.isin(2, 3, 4), F.lit(False)), 0).when(carrier == 2, 1).when(carrier == 1, 2).when(differential, 4).otherwise(5)
+
+
+def usable(is_valid: Column, c: Cov, horizontal: float, vertical: float) -> Column:
+    """Whether a position or velocity may be fused: valid, and each axis's sigma within its limit."""
+    return F.coalesce(is_valid, F.lit(False)) & covariance.within(c, horizontal, vertical)
+
+
+def entry_quality(pos_valid: Column, pos: Cov, vel_valid: Column, vel: Cov, limits: tuple[float, float, float, float], local: Column | None = None, baro_height: bool = False) -> Column:
+    """Whether an epoch counts towards the full solution: a position within its limits, and the velocity where there is one.
+
+    limits: horizontal and vertical position, horizontal and vertical velocity. baro_height: the vertical position limit
+    does not hold. A local position counts by itself.
+    """
+    h, v, vh, vv = limits
+    ok = usable(pos_valid, pos, h, float("inf") if baro_height else v) & (~F.coalesce(vel_valid, F.lit(False)) | covariance.within(vel, vh, vv))
+    return ok if local is None else F.coalesce(local, F.lit(False)) | ok
+
+
+def stay_quality(pos_valid: Column, pos: Cov, vel_valid: Column, vel: Cov, limits: tuple[float, float, float, float], local: Column | None = None, baro_height: bool = False) -> Column:
+    """Whether an epoch is good enough to stay: all that it offers is within the limits."""
+    h, v, vh, vv = limits
+    off = lambda is_valid: ~F.coalesce(is_valid, F.lit(False))
+    ok = (off(pos_valid) | covariance.within(pos, h, float("inf") if baro_height else v)) & (off(vel_valid) | covariance.within(vel, vh, vv))
+    return ok if local is None else F.coalesce(local, F.lit(False)) | ok
 
 
 def lever_arms(gnss: list[Column], score: list[Column], tolerance: float = 0.01) -> Column:
     """none, same, score_unset, gnss_unset or differ."""
     zero = lambda v: (v[0] == 0) & (v[1] == 0) & (v[2] == 0)
-    near = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(gnss, score, strict=True)), F.lit(0.0))) <= tolerance
-    return F.when(zero(gnss) & zero(score), "none").when(near, "same").when(zero(score), "score_unset").when(zero(gnss), "gnss_unset").otherwise("differ")
+    near = F.greatest(*(F.abs(a - b) for a, b in zip(gnss, score, strict=True))) <= tolerance
+    return F.when(zero(gnss) & zero(score), "none").when(zero(score), "score_unset").when(zero(gnss), "gnss_unset").when(near, "same").otherwise("differ")
 
 
 def findings(metrics: DataFrame, by: list[str], rules: list[tuple[str, int, Column]]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from driftline.functions.geo import A, E2, FLATTENING, G1, G2, G3, GAMMA_E, M, OMEGA_E
 from driftline.operators.filters import Attitude, smoothed
+from driftline.shipping import shipped
 
 P, V, T, BA, BG = (slice(k, k + 3) for k in (0, 3, 6, 9, 12))
 product, exponential = Attitude.product, Attitude.exponential
@@ -174,7 +175,7 @@ def inertial_filter(df: DataFrame, smooth: bool = False, **settings) -> DataFram
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t_us", "seq"])
         k, out = Inertial(**settings), []
-        phi, before, after, states = [], [], [], []
+        phi, before, after, states, turns = [], [], [], [], []
         col = {c: frame[c].to_numpy(float) for c in has - {"recording_id", "t_us", "seq"}}
         get = lambda names, i: np.array([col[c][i] for c in names]) if set(names) <= has else np.array([np.nan])
         for i, t in enumerate(frame["t_us"]):
@@ -203,6 +204,7 @@ def inertial_filter(df: DataFrame, smooth: bool = False, **settings) -> DataFram
             # The correction as an error state: what the smoother carries back.
             turn = product(k.q, np.concatenate([q[:1], -q[1:]]))
             states.append(np.concatenate([k.p, k.v, np.zeros(3), k.ba, k.bg]) - moved + np.concatenate([np.zeros(6), 2 * turn[1:] * np.sign(turn[0] or 1), np.zeros(6)]))
+            turns.append(k.q)
             out.append(np.concatenate([k.p, k.v, k.rpy(), np.sqrt(np.diag(k.cov)[:3])]))
         x = np.array(out)
         if smooth and len(x) > 1:
@@ -210,9 +212,12 @@ def inertial_filter(df: DataFrame, smooth: bool = False, **settings) -> DataFram
             dx, ps = smoothed(np.array(phi[1:]), np.array(before), np.array(after), zero, np.array(states))
             extra = dx - np.array(states)
             x[:, :6] += extra[:, :6]
-            x[:, 6:9] += extra[:, 6:9] * [0, 0, 1]
+            for i, q in enumerate(turns):  # the error turns the local frame
+                k.q = product(Attitude.exponential(extra[i, 6:9]), q)
+                x[i, 6:9] = k.rpy()
             x[:, 9:] = np.sqrt(np.maximum(np.diagonal(ps, axis1=1, axis2=2)[:, :3], 0))
         names = [c.split()[0] for c in OUT.format(id="x").split(", ")][3:]
         return pd.concat([frame[["recording_id", "t_us", "seq"]].reset_index(drop=True), pd.DataFrame(x, columns=names)], axis=1)
 
+    shipped(df.sparkSession)
     return df.groupBy("recording_id").applyInPandas(run, OUT.format(id=df.schema["recording_id"].dataType.simpleString()))

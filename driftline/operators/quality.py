@@ -56,13 +56,20 @@ def score_statistics(df: DataFrame, by: list[str], error: str) -> DataFrame:
         F.count(e).alias("n"), F.avg(e).alias("mean"), F.when(F.count(e) < 2, 0.0).otherwise(F.stddev_pop(e)).alias("std"), F.sqrt(F.avg(e * e)).alias("rms"), F.max(F.abs(e)).alias("max_abs"))
 
 
+def ranked(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, x, its rank r (from 0, nulls last) and the group's number n of values: a sort that spills, not a list in memory."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_last(x))) - 1
+    return df.select(*by, F.col(x).alias("x"), rank.alias("r"), F.count(x).over(W.partitionBy(*by)).alias("n"))
+
+
 def order_statistics(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """Upper median, true median, and nearest-rank 5 % and 95 % quantiles."""
-    s = df.groupBy(*by).agg(F.sort_array(F.collect_list(x)).alias("s"))
-    n = F.size("s")
-    rank = lambda p: F.element_at("s", (p * (n - 1) + 0.5).cast("int") + 1)
-    low, high = F.element_at("s", ((n - 1) / 2).cast("int") + 1), F.element_at("s", (n / 2).cast("int") + 1)
-    return s.select(*by, n.cast("long").alias("n"), high.alias("upper_median"), ((low + high) / 2).alias("median"), rank(0.05).alias("p5"), rank(0.95).alias("p95"))
+    n = F.col("n")
+    at = lambda k: F.max(F.when(F.col("r") == k, F.col("x")))
+    near = lambda p: (p * (n - 1) + 0.5).cast("int")
+    low, high = at(((n - 1) / 2).cast("int")), at((n / 2).cast("int"))
+    out = ranked(df, by, x).groupBy(*by).agg(F.max("n").alias("n"), high.alias("upper_median"), ((low + high) / 2).alias("median"), at(near(0.05)).alias("p5"), at(near(0.95)).alias("p95"))
+    return out.withColumn("n", F.col("n").cast("long"))
 
 
 def pooled_std(df: DataFrame, by: list[str], phase: list[str], x: str, least: int) -> DataFrame:
@@ -86,5 +93,20 @@ def start_mean(df: DataFrame, window_us: int, least: int = 10) -> DataFrame:
 
 def integrity(df: DataFrame, by: list[str], satellites: str) -> DataFrame:
     """Upper median and least number of satellites."""
-    s = df.where(F.col(satellites) > 0).groupBy(*by).agg(F.sort_array(F.collect_list(satellites)).alias("s"))
-    return s.select(*by, F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("sat_median"), F.element_at("s", 1).alias("sat_min"))
+    r = ranked(df.where(F.col(satellites) > 0), by, satellites)
+    return r.groupBy(*by).agg(F.max(F.when(F.col("r") == (F.col("n") / 2).cast("int"), F.col("x"))).alias("sat_median"), F.min("x").alias("sat_min"))
+
+
+def latency(fixes: DataFrame, offset_s: Column, rate: Column) -> DataFrame:
+    """fixes with latency_ms: t_us less the clock's time of the fix's own GPS time; null without a week.
+
+    fixes: t_us, gps_week, gps_tow_s. GPS seconds are offset_s + rate * t_us.
+    """
+    gps = F.col("gps_week") * 604800 + F.col("gps_tow_s")
+    return fixes.withColumn("latency_ms", F.when(F.col("gps_week") != 0, (F.col("t_us") - (gps - offset_s) / rate) / 1e3))
+
+
+def gravity_check(still: DataFrame, by: list[str], norm: str, gravity: Column, least: int) -> DataFrame:
+    """n, the true median of the specific force at rest, gravity, and their relative deviation, where there are `least` rows."""
+    m = order_statistics(still, by, norm).where(F.col("n") >= least).select(*by, "n", "median")
+    return m.withColumn("g", gravity).withColumn("dev", F.col("median") / F.col("g") - 1.0)

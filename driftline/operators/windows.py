@@ -23,8 +23,9 @@ def in_file() -> WindowSpec:
 def sessions(df: DataFrame, factor: float = 5.0) -> DataFrame:
     """df with session, which rises where an interval is over factor times the recording's upper median interval."""
     gap = df.withColumn("gap", F.col("t_us") - F.lag("t_us").over(in_time()))
-    s = gap.where(F.col("gap").isNotNull()).groupBy("recording_id").agg(F.sort_array(F.collect_list("gap")).alias("g"))
-    median = s.select("recording_id", F.element_at("g", (F.size("g") / 2).cast("int") + 1).alias("typical"))
+    rank = F.row_number().over(by_recording().orderBy(F.asc_nulls_last("gap"))) - 1
+    ranked = gap.select("recording_id", "gap", rank.alias("r"), F.floor(F.count("gap").over(by_recording()) / 2).alias("k"))
+    median = ranked.where("r = k").select("recording_id", F.col("gap").alias("typical"))
     new = F.coalesce(F.col("gap") > factor * F.col("typical"), F.lit(False)).cast("int")
     out = gap.join(median, "recording_id", "left").withColumn("new", new)
     return out.withColumn("session", F.sum("new").over(in_time()).cast("long")).drop("new", "typical", "gap")
@@ -38,10 +39,11 @@ def block_means(df: DataFrame, factor: int, by: tuple[str, ...] = ("recording_id
 
 
 def rolling_variance(df: DataFrame, rows: int) -> DataFrame:
-    """df with variance, unbiased, over a centred window of `rows` (made odd, 11 at least); null near the ends."""
+    """df with variance, unbiased, over a centred window of `rows` (made odd, 11 at least); null near the ends, and throughout where the recording is no longer than the window."""
     half = max(11, rows | 1) // 2
     w = in_time().rowsBetween(-half, half)
-    return df.withColumn("variance", F.when(F.count("value").over(w) == 2 * half + 1, F.greatest(F.var_samp("value").over(w), F.lit(0.0))))
+    longer = F.count(F.lit(1)).over(by_recording()) > 2 * half + 1
+    return df.withColumn("variance", F.when(longer & (F.count("value").over(w) == 2 * half + 1), F.greatest(F.var_samp("value").over(w), F.lit(0.0))))
 
 
 def islands(df: DataFrame, on: Column, least_rows: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.shipping import shipped
+
 #: Sync bytes and the longest payload.
 SYNC, LONGEST = b"\xb5\x62", 8192
 
@@ -76,19 +78,118 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
                 rows = Framer().feed(bytes(content))
                 yield pd.DataFrame([(p, i, c, m, x) for i, (c, m, x) in enumerate(rows)], columns=["recording_id", "seq", "cls", "id", "payload"])
 
+    shipped(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "recording_id string, seq long, cls int, id int, payload binary")
 
 
 def field(payload: Column, at: int, size: int, signed: bool = False) -> Column:
-    """A little-endian integer of `size` bytes at an offset, null where the payload is too short."""
+    """A little-endian integer of `size` bytes at an offset, null where the payload is too short; of 8 bytes always signed."""
+    if size == 8:
+        return F.shiftleft(field(payload, at + 4, 4), 32).bitwiseOR(field(payload, at, 4))
     hexed = F.hex(F.substring(payload, at + 1, size))
     turned = F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(size))))
     value = F.conv(turned, 16, 10).cast("decimal(20,0)").cast("long")
     if signed:
-        value = F.when(value >= 2 ** (8 * size - 1), value - F.lit(2 ** (8 * size) if size < 8 else 0)).otherwise(value)
+        value = F.when(value >= 2 ** (8 * size - 1), value - F.lit(2 ** (8 * size))).otherwise(value)
     return F.when(F.length(payload) >= at + size, value)
 
 
+def real(payload: Column, at: int, size: int = 4) -> Column:
+    """A little-endian IEEE number of 4 or 8 bytes at an offset, null where the payload is too short."""
+    fraction, bias = (23, 127) if size == 4 else (52, 1023)
+    bits = field(payload, at, size)
+    part = F.shiftrightunsigned(bits, fraction).bitwiseAND(2 * bias + 1)
+    rest = bits.bitwiseAND((1 << fraction) - 1).cast("double") / float(1 << fraction)
+    sign = F.when(F.shiftrightunsigned(bits, 8 * size - 1).bitwiseAND(1) == 1, -1.0).otherwise(1.0)
+    value = F.when(part == 0, rest * 2.0 ** (1 - bias)).otherwise((1 + rest) * F.pow(F.lit(2.0), part - bias))
+    return sign * F.when(part == 2 * bias + 1, F.when(rest == 0, float("inf")).otherwise(float("nan"))).otherwise(value)
+
+
+def bit(flags: Column, n: int) -> Column:
+    return F.shiftrightunsigned(flags, n).bitwiseAND(1) == 1
+
+
+def nav_pvt(payload: Column) -> dict[str, Column]:
+    """The receiver's position and velocity message (class 0x01, id 0x07), null where shorter than 92 bytes."""
+    whole = F.when(F.length(payload) >= 92, payload)
+    u, i = lambda at, n=4: field(whole, at, n), lambda at: field(whole, at, 4, signed=True)
+    flags = u(21, 1)
+    return {
+        "fix_type": u(20, 1), "fix_ok": bit(flags, 0), "carr_soln": F.shiftright(flags, 6).bitwiseAND(3), "num_sv": u(23, 1),
+        "lon_deg": i(24) * 1e-7, "lat_deg": i(28) * 1e-7, "height_m": i(32) * 1e-3, "hacc_m": u(40) * 1e-3, "vacc_m": u(44) * 1e-3,
+        "vn": i(48) * 1e-3, "ve": i(52) * 1e-3, "vd": i(56) * 1e-3, "sacc_mps": u(68) * 1e-3,
+        "head_mot_deg": i(64) * 1e-5, "head_veh_deg": i(84) * 1e-5, "head_veh_valid": bit(flags, 5),
+    }
+
+
+def timesync(payload: Column) -> dict[str, Column]:
+    """A pulse's time on the device and, where it was announced, its GPS time (class 0x40, id 0x05, 28 bytes)."""
+    whole = F.when(F.length(payload) == 28, payload)
+    ms, part, week, flags = field(whole, 12, 4), field(whole, 16, 4), field(whole, 24, 2), field(whole, 26, 2)
+    q = field(whole, 20, 4, signed=True)
+    valid = bit(flags, 0)
+    tow = (ms + part * 2.0**-32) / 1e3
+    gps = week * 604800 + tow + F.when(bit(flags, 3), q * 1e-12).otherwise(0.0)
+    return {
+        "t_us": field(whole, 0, 8), "count": field(whole, 8, 4), "tow_ms": ms, "tow_sub_ms": part, "q_err_ps": q, "week": week, "flags": flags,
+        "gps_valid": valid, "utc_base": bit(flags, 1), "suspect": bit(flags, 4), "tow_s": F.when(valid, tow), "gps_s": F.when(valid, gps),
+    }
+
+
+def odometry(payload: Column) -> dict[str, Column]:
+    """A speed from a host (class 0x40, id 0x80, 30 bytes)."""
+    whole = F.when(F.length(payload) == 30, payload)
+    flags = field(whole, 26, 2)
+    return {
+        "t_unix_us": field(whole, 0, 8), "t_us": field(whole, 8, 8), "speed_mps": real(whole, 16), "stddev_mps": real(whole, 20), "delay_ms": field(whole, 24, 2),
+        "flags": flags, "kind": field(whole, 28, 2), "t_us_valid": bit(flags, 4), "reverse": bit(flags, 0) & bit(flags, 1),
+    }
+
+
+#: Axes by bit, names of the counters, bits of the solution's flags, names of modes and sources.
+AXES = ("acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z")
+STATUS = ("tx_dropped", "imu_overruns", "loop_count", "uart_errors", "cfg_fail_mask", "vcp_dropped", "gnss_rx_bytes", "gnss_tx_dropped", "gnss_rx_overflows", "gnss_crc_errors")
+HEALTH = ("stalls", "reinits", "reinit_fails", "spi_errors", "last_busy", "last_overruns", "last_spi_error", "last_spi_state", "last_exti_pend", "last_drdy_level", "last_fifo_used", "at_seq", "at_ms", "reg_whoami", "reg_pwr_mgmt0", "reg_int1_cfg0", "reg_read_rc", "sat_sticky", "sat_samples")
+FLAGS = ("ready", "rpy", "rpy_sigma", "yaw_sigma", "vel", "pos", "latlon", "height", "height_ell", "baro_alt", "baro_meas", "vz", "leverarm", "leverarm_bad", "zupt", "zaru", "vzupt", "mag_ref")
+MODES, SOURCES = ("none", "attitude", "coasting", "full"), ("none", "ins", "ahrs", "ars")
+
+
+def axes(mask: Column) -> Column:
+    """Names of the axes in a mask, in the order of the bits."""
+    return F.array_compact(F.array(*(F.when(bit(mask, i), n) for i, n in enumerate(AXES))))
+
+
+def counters(payload: Column, names: tuple[str, ...] = STATUS) -> dict[str, Column]:
+    """Counters of 4 bytes each by name (class 0x40, id 0x04 or 0x0D): null beyond the frame's end, `extra` what has no name."""
+    whole = F.when((F.length(payload) > 0) & (F.length(payload) % 4 == 0), payload)
+    n = len(names)
+    hexed = F.hex(whole)
+    word = lambda k: F.conv(F.concat(*(F.substring(hexed, k * 8 + 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0))), 16, 10).cast("long")
+    more = F.when(F.length(whole) > 4 * n, F.transform(F.sequence(F.lit(n), (F.length(whole) / 4).cast("int") - 1), word))
+    return {name: field(whole, 4 * i, 4) for i, name in enumerate(names)} | {"extra": more}
+
+
+def saturation(payload: Column) -> dict[str, Column]:
+    """A run of clipped samples (class 0x40, id 0x0E, 8 bytes)."""
+    whole = F.when(F.length(payload) == 8, payload)
+    return {"first_seq": field(whole, 0, 2), "last_seq": field(whole, 2, 2), "samples": field(whole, 4, 2), "mask": field(whole, 6, 1), "axes": axes(field(whole, 6, 1)), "flags": field(whole, 7, 1), "dropped_before": bit(field(whole, 7, 1), 0)}
+
+
+def solution(payload: Column) -> dict[str, Column]:
+    """The device's navigation solution (class 0x40, id 0x0F, 120 bytes); null where the value's bit is not set."""
+    whole = F.when(F.length(payload) == 120, payload)
+    flags = field(whole, 8, 4)
+    on = lambda name: bit(flags, FLAGS.index(name))
+    at = iter(range(16, 96, 4))
+    reals = {n: real(whole, next(at)) for n in ("roll", "pitch", "yaw", "roll_sigma", "pitch_sigma", "yaw_sigma", "vn", "ve", "vd", "pn", "pe", "pd", "height", "height_ell", "baro_alt", "baro_meas", "vz", "arm_f", "arm_r", "arm_d")}
+    flag = {"roll": "rpy", "pitch": "rpy", "yaw": "rpy", "roll_sigma": "rpy_sigma", "pitch_sigma": "rpy_sigma", "yaw_sigma": "yaw_sigma", "vn": "vel", "ve": "vel", "vd": "vel", "pn": "pos", "pe": "pos", "pd": "pos"}
+    named = lambda k, names: F.coalesce(F.get(F.array(*map(F.lit, names)), k.cast("int")), F.when(k.isNotNull(), "?"))
+    out = {"version": field(whole, 0, 1), "mode": named(field(whole, 1, 1), MODES), "att_src": named(field(whole, 2, 1), SOURCES), "cal_applied": field(whole, 3, 1), "sat_axes": axes(field(whole, 4, 1)), "cpu_pct": field(whole, 5, 1), "imu_hz": field(whole, 6, 2), "flags": flags, "update_wcet_us": field(whole, 12, 4)}
+    out |= {n: c if n.startswith("arm") else F.when(on(flag.get(n, n)), c) for n, c in reals.items()}
+    out |= {"lat_deg": F.when(on("latlon"), real(whole, 96, 8)), "lon_deg": F.when(on("latlon"), real(whole, 104, 8)), "mag_ref_ut": F.when(on("mag_ref"), real(whole, 112)), "mag_decl_deg": F.when(on("mag_ref"), real(whole, 116))}
+    return out | {n: on(n) for n in ("ready", "leverarm", "leverarm_bad", "zupt", "zaru", "vzupt")}
+
+
 def imu_status(status: Column) -> tuple[Column, Column]:
     """Temperature count (11 bits, signed) and the flags above."""
     low = status.bitwiseAND(0x7FF)

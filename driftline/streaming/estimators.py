@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftline.operators.filters import Offset
+from driftline.shipping import shipped
 
 RESTART_US = 500_000
 
@@ -37,7 +38,8 @@ def offset_stream(df: DataFrame, walk_var: float, noise_var: float, threshold: f
         state.update((k.value, k.var, k.t_us, late))
         yield pd.DataFrame(out, columns=["recording_id", "t_us", "seq", "estimate", "late"])
 
-    return df.select("recording_id", "t_us", "seq", "value").groupBy("recording_id").applyInPandasWithState(run, "recording_id long, t_us long, seq long, estimate double, late long", "value double, var double, t_us long, late long", "append", GroupStateTimeout.NoTimeout)
+    shipped(df.sparkSession)
+    return df.select("recording_id", "t_us", "seq", "value").groupBy("recording_id").applyInPandasWithState(run, f"recording_id {df.schema['recording_id'].dataType.simpleString()}, t_us long, seq long, estimate double, late long", "value double, var double, t_us long, late long", "append", GroupStateTimeout.NoTimeout)
 
 
 def rates(df: DataFrame, bucket: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
