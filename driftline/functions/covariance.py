@@ -17,11 +17,17 @@ def valid(c: Cov) -> Column:
 
 
 def within(c: Cov, horizontal: float | None, vertical: float | None) -> Column:
-    """Whether the horizontal and vertical sigmas are inside their limits; None: no limit."""
-    out = F.lit(True)
+    """Whether each axis's sigma is inside its limit (None: no limit); a diagonal that is not positive never is."""
+    out = valid(c)
     if horizontal is not None:
-        out = out & (F.sqrt(c[0] + c[3]) <= horizontal)
-    return out & (F.sqrt(c[5]) <= vertical) if vertical is not None else out
+        out = out & (c[0] <= horizontal * horizontal) & (c[3] <= horizontal * horizontal)
+    return out & (c[5] <= vertical * vertical) if vertical is not None else out
+
+
+def rows_of(c: Cov) -> list[list[Column]]:
+    """The symmetric matrix as rows."""
+    nn, ne, nd, ee, ed, dd = c
+    return [[nn, ne, nd], [ne, ee, ed], [nd, ed, dd]]
 
 
 def conditioned(c: Cov, scale: float = 1.0, down_scale: float = 1.0, floor: float = 0.0, cap: float | None = None) -> Cov:

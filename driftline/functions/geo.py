@@ -42,6 +42,24 @@ def ned_to_ecef_matrix(lat: Column, lon: Column) -> list[list[Column]]:
     return [[-sl * co, -so, -cl * co], [-sl * so, co, -cl * so], [cl, F.lit(0.0), -sl]]
 
 
+def position_error(estimate: tuple[Column, Column, Column], attitude: list[list[Column]], velocity: tuple[Column, Column, Column], truth: tuple[Column, Column, Column], lever_arm: tuple[Column, Column, Column], dt_s: Column) -> tuple[Column, Column, Column]:
+    """Estimate less truth in ECEF, in m.
+
+    estimate: ECEF; attitude: body to local; truth: latitude, longitude, height of the point that lever_arm (body) leads to;
+    the estimate is carried back by its own velocity over dt_s, the time by which it is younger than the truth.
+    """
+    at = llh_to_ecef(*truth)
+    local = [sum((attitude[i][k] * lever_arm[k] for k in range(1, 3)), attitude[i][0] * lever_arm[0]) - velocity[i] * dt_s for i in range(3)]
+    m = ned_to_ecef_matrix(truth[0], truth[1])
+    return tuple(estimate[i] - at[i] + m[i][0] * local[0] + m[i][1] * local[1] + m[i][2] * local[2] for i in range(3))
+
+
+def to_local(truth: tuple[Column, Column, Column], origin: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """North, east and down of a point from an origin (both latitude, longitude, height), by the origin's curvature radii."""
+    n, e, d = (truth[0] - origin[0]) * (meridian_radius(origin[0]) + origin[2]), wrap_pi(truth[1] - origin[1]) * (transverse_radius(origin[0]) + origin[2]) * F.cos(origin[0]), origin[2] - truth[2]
+    return n, e, d
+
+
 def dned_to_dllh(dn: Column, de: Column, dd: Column, lat: Column, h: Column) -> tuple[Column, Column, Column]:
     return dn / (meridian_radius(lat) + h), de / ((transverse_radius(lat) + h) * F.greatest(F.cos(lat), F.lit(1e-6))), -dd
 

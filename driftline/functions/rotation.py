@@ -96,3 +96,29 @@ def baseline_yaw(heading: Column, roll: Column, pitch: Column, baseline: Vector)
     right = cr * baseline[1] - sr * baseline[2]
     whole = F.sqrt(sum((b * b for b in baseline[1:]), baseline[0] * baseline[0]))
     return F.when(F.sqrt(ahead * ahead + right * right) >= 0.1 * whole, angle_diff(heading, F.atan2(right, ahead)))
+
+
+def from_matrix(r: list[list[Column]]) -> Quaternion:
+    """The quaternion of a rotation matrix, from the largest of its four squares; its sign makes that part positive."""
+    squares = [1 + r[0][0] + r[1][1] + r[2][2], 1 + r[0][0] - r[1][1] - r[2][2], 1 - r[0][0] + r[1][1] - r[2][2], 1 - r[0][0] - r[1][1] + r[2][2]]  # 4 times each
+    both = {(0, 1): r[2][1] - r[1][2], (0, 2): r[0][2] - r[2][0], (0, 3): r[1][0] - r[0][1], (1, 2): r[0][1] + r[1][0], (1, 3): r[0][2] + r[2][0], (2, 3): r[1][2] + r[2][1]}
+    forms = [[squares[k] / (2 * F.sqrt(squares[k])) if i == k else both[min(i, k), max(i, k)] / (2 * F.sqrt(squares[k])) for i in range(4)] for k in range(4)]
+    pivot = [(squares[0] > 1), (r[0][0] > r[1][1]) & (r[0][0] > r[2][2]), r[1][1] > r[2][2]]
+    return tuple(F.when(pivot[0], forms[0][i]).when(pivot[1], forms[1][i]).when(pivot[2], forms[2][i]).otherwise(forms[3][i]) for i in range(4))
+
+
+def rotation_vector(q: Quaternion) -> Vector:
+    """The rotation vector of a quaternion, of at most half a turn."""
+    s = F.when(q[0] < 0, -1.0).otherwise(1.0)
+    n = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    k = F.when(n > 1e-12, 2 * F.atan2(n, s * q[0]) / n).otherwise(2.0) * s
+    return q[1] * k, q[2] * k, q[3] * k
+
+
+def turned(m: list[list[Column]], v: Vector) -> Vector:
+    return tuple(m[i][0] * v[0] + m[i][1] * v[1] + m[i][2] * v[2] for i in range(3))
+
+
+def within(v: Vector, most: float) -> Column:
+    """Whether all parts are at most `most` in magnitude; null and NaN are not."""
+    return F.coalesce(F.greatest(*(F.when(F.isnan(x), float("inf")).otherwise(F.abs(x)) for x in v)) <= most, F.lit(False)) & v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import atmosphere, covariance, geo, rotation
-from driftline.operators import calibration, gates
+from driftline.operators import calibration, gates, quality
 from driftline.plans.streams import rounded
 from driftline.sources import frames
 
@@ -196,7 +196,7 @@ def gate_codes(spark: SparkSession, d: str) -> DataFrame:
 GATE_CODES = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN 'carrier' WHEN NOT ((o_orderkey % 23) / 2.0 > 0 AND (o_orderkey % 23) / 2.0 <= 10) THEN 'sigma' WHEN (o_orderkey % 11) / 10.0 < 0.1 THEN 'geometry' END AS heading_reason,
   CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4000 <= 2000 THEN 3 WHEN o_orderkey % 2 = 0 THEN 2 WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS mode,
-  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 NOT IN (3, 4) THEN 0 WHEN o_orderkey % 3 = 2 THEN 1 WHEN o_orderkey % 3 = 1 THEN 2 WHEN o_orderkey % 2 = 1 THEN 4 ELSE 5 END AS quality,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 NOT IN (2, 3, 4) THEN 0 WHEN o_orderkey % 3 = 2 THEN 1 WHEN o_orderkey % 3 = 1 THEN 2 WHEN o_orderkey % 2 = 1 THEN 4 ELSE 5 END AS quality,
   CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 2 = o_orderkey % 3 THEN 'same' WHEN o_orderkey % 3 = 0 THEN 'score_unset' WHEN o_orderkey % 2 = 0 THEN 'gnss_unset' ELSE 'differ' END AS lever_arms FROM orders
 """
 
@@ -221,5 +221,97 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 GRAM_MATRIX = "WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings) SELECT label, count(*) AS n, " + ", ".join(f"round(sum({x} * {y}), 6) AS {x}_{y}" for i, x in enumerate("abcd") for y in "abcd"[i:]) + " FROM e GROUP BY 1"
 
-WITH_SQL = (geodesy_ecef, geodesy_radii, geodesy_distance, map_tiles, isa_altitude, attitude_roundtrip, attitude_rate, levelling, covariance_conditioned, error_ellipses, growth_rate, gate_codes, fletcher_checksum, gram_matrix)
+
+def fix_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each epoch may be fused, counts for entry and is good enough to stay, with some covariances that are broken."""
+    c = _covs(spark, d).withColumn("ee", F.when(F.col("k") % 13 == 0, -1.0).otherwise(F.col("ee")))
+    names = ("nn", "ne", "nd", "ee", "ed", "dd")
+    pos, vel = tuple(map(F.col, names)), tuple(F.col(n) / 100 for n in names)
+    has_pos, has_vel = F.col("k") % 5 != 0, F.col("k") % 3 != 0
+    limits = (2.0, 2.8, 0.21, 0.3)
+    return c.select(
+        "k", gates.usable(has_pos, pos, 2.2, 3.0).alias("fused"), gates.entry_quality(has_pos, pos, has_vel, vel, limits).alias("enters"),
+        gates.stay_quality(has_pos, pos, has_vel, vel, limits).alias("stays"), gates.stay_quality(has_pos, pos, has_vel, vel, limits, F.col("k") % 17 == 0, True).alias("stays_by_baro"),
+    )
+
+
+FIX_GATES = f"""
+WITH {COVS}, c AS (SELECT k, nn, CASE WHEN k % 13 = 0 THEN -1.0 ELSE ee END AS ee, dd, k % 5 <> 0 AS p, k % 3 <> 0 AS v FROM cv),
+g AS (SELECT *, nn > 0 AND ee > 0 AND dd > 0 AS ok, nn / 100 <= 0.21 * 0.21 AND ee / 100 <= 0.21 * 0.21 AND dd / 100 <= 0.3 * 0.3 AS vel FROM c)
+SELECT k, p AND ok AND nn <= 2.2 * 2.2 AND ee <= 2.2 * 2.2 AND dd <= 9 AS fused, p AND ok AND nn <= 4 AND ee <= 4 AND dd <= 2.8 * 2.8 AND (NOT v OR ok AND vel) AS enters,
+  (NOT p OR ok AND nn <= 4 AND ee <= 4 AND dd <= 2.8 * 2.8) AND (NOT v OR ok AND vel) AS stays,
+  k % 17 = 0 OR (NOT p OR ok AND nn <= 4 AND ee <= 4) AND (NOT v OR ok AND vel) AS stays_by_baro FROM g
+"""
+
+
+def truth_error(spark: SparkSession, d: str) -> DataFrame:
+    """Error in ECEF of an estimate 3 m north, 4 m east of the truth, level, with a lever arm and a moving platform; and the truth from an origin."""
+    p = _points(spark, d)
+    dlat, dlon, dh = geo.dned_to_dllh(F.lit(3.0), F.lit(4.0), F.lit(0.0), F.col("lat"), F.col("h"))
+    est = geo.llh_to_ecef(F.col("lat") + dlat, F.col("lon") + dlon, F.col("h") + dh)
+    one = lambda i, k: F.lit(1.0 if i == k else 0.0)
+    err = geo.position_error(est, [[one(i, k) for k in range(3)] for i in range(3)], (F.lit(10.0), F.lit(0.0), F.lit(0.0)), (F.col("lat"), F.col("lon"), F.col("h")), (F.lit(1.0), F.lit(-2.0), F.lit(0.5)), F.lit(0.1))
+    size = F.sqrt(sum((e * e for e in err[1:]), err[0] * err[0]))
+    n, e, dd = geo.to_local((F.col("lat"), F.col("lon"), F.col("h")), (F.col("lat") - 0.001, F.col("lon") + 0.002, F.lit(100.0)))
+    return p.select("k", *((F.round(x, 3) + 0.0).alias(a) for x, a in ((size, "error"), (n, "north"), (e, "east"), (dd, "down"))))
+
+
+#: Level, so that the error is 3 + 1 - 1 north, 4 - 2 east, 0.5 down.
+TRUTH_ERROR = f"""
+WITH {POINTS}, o AS (SELECT *, lat - 0.001 AS la FROM pt), r AS (SELECT *, 6378137.0 * (1 - 0.00669437999014) / pow(1 - 0.00669437999014 * sin(la) ** 2, 1.5) AS m, 6378137.0 / sqrt(1 - 0.00669437999014 * sin(la) ** 2) AS n FROM o)
+SELECT k, round(sqrt(9 + 4 + 0.25), 3) + 0e0 AS error, round(0.001 * (m + 100), 3) + 0e0 AS north, round(-0.002 * (n + 100) * cos(la), 3) + 0e0 AS east, round(100 - h, 3) + 0e0 AS down FROM r
+"""
+
+
+def _packed(x, size: int):
+    """An integer column as little-endian bytes in hexadecimal."""
+    hexed = F.lpad(F.right(F.hex(x.cast("long")), F.lit(2 * size)), 2 * size, "0")
+    return F.concat(*(F.substring(hexed, 2 * i + 1, 2) for i in reversed(range(size))))
+
+
+def position_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Position and velocity messages packed from keys and read again; every seventh is cut short."""
+    k = F.col("o_orderkey")
+    zero = lambda n: F.lit("00" * n)
+    body = F.concat(zero(20), _packed(k % 6, 1), _packed(k % 256, 1), zero(1), _packed(k % 40, 1), _packed((k * 79190) % 3600000000 - 1800000000, 4), _packed((k * 1047290) % 1800000000 - 900000000, 4), _packed(k % 90000 - 400, 4), zero(4),
+                    _packed(k % 5000, 4), _packed(k % 7000, 4), _packed(k % 3000 - 1500, 4), _packed(-(k % 2000), 4), _packed(k % 77, 4), zero(4), _packed((k * 31) % 36000000, 4), _packed(k % 900, 4), zero(12), _packed((k * 17) % 36000000 - 100, 4), zero(4))
+    payload = F.unhex(F.when(k % 7 == 0, F.left(body, F.lit(100))).otherwise(body))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", payload.alias("payload"))
+    return rounded(o.select("o_orderkey", *(c.alias(n) for n, c in frames.nav_pvt(F.col("payload")).items())))
+
+
+POSITION_MESSAGES = """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS k FROM orders)
+SELECT o_orderkey, k % 6 AS fix_type, (k % 256) & 1 = 1 AS fix_ok, ((k % 256) >> 6) & 3 AS carr_soln, k % 40 AS num_sv, round(((k * 79190) % 3600000000 - 1800000000) * 1e-7, 6) AS lon_deg, round(((k * 1047290) % 1800000000 - 900000000) * 1e-7, 6) AS lat_deg,
+  round((k % 90000 - 400) * 1e-3, 6) AS height_m, round((k % 5000) * 1e-3, 6) AS hacc_m, round((k % 7000) * 1e-3, 6) AS vacc_m, round((k % 3000 - 1500) * 1e-3, 6) AS vn, round(-(k % 2000) * 1e-3, 6) AS ve, round((k % 77) * 1e-3, 6) AS vd, round((k % 900) * 1e-3, 6) AS sacc_mps,
+  round(((k * 31) % 36000000) * 1e-5, 6) AS head_mot_deg, round(((k * 17) % 36000000 - 100) * 1e-5, 6) AS head_veh_deg, ((k % 256) >> 5) & 1 = 1 AS head_veh_valid FROM o
+"""
+
+
+def rotation_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Quaternions through their matrices and back, and the vector of a turn about the down axis."""
+    a = _angles(spark, d).select("*", *(c.alias(n) for c, n in zip(rotation.from_rpy(F.col("roll"), F.col("pitch"), F.col("yaw")), "wxyz", strict=True)))
+    m = rotation.to_matrix(tuple(map(F.col, "wxyz")))
+    a = a.select("*", *(m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    b = a.select("*", *(c.alias(f"q{i}") for i, c in enumerate(rotation.from_matrix([[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]))))
+    same = F.abs(sum((F.col(x) * F.col(f"q{i}") for i, x in enumerate("wxyz")), F.lit(0.0)))
+    down = rotation.rotation_vector(rotation.from_rpy(F.lit(0.0), F.lit(0.0), F.col("yaw")))[2]
+    inside = rotation.within((F.col("roll"), F.col("pitch"), F.col("yaw")), 1.5)
+    return rounded(b.select("k", same.alias("same"), down.alias("down"), inside.alias("inside")))
+
+
+ROTATION_VECTORS = f"WITH {ANGLES} SELECT k, 1.0 AS same, round(atan2(sin(yaw), cos(yaw)), 6) AS down, abs(roll) <= 1.5 AND abs(pitch) <= 1.5 AND abs(yaw) <= 1.5 AS inside FROM an"
+
+
+def fix_latency(spark: SparkSession, d: str) -> DataFrame:
+    """Latency of orders as fixes, by a clock that runs 20 ppm fast."""
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (k * 1000 + 50_000).alias("t_us"), F.when(k % 4 != 0, 2000).otherwise(0).alias("gps_week"), (k * 1e-3).alias("gps_tow_s"))
+    return rounded(quality.latency(o, F.lit(2000 * 604800.0), F.lit(1.00002e-6)).select("o_orderkey", "latency_ms"))
+
+
+FIX_LATENCY = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN round((o_orderkey * 1000 + 50000 - (2000 * 604800e0 + o_orderkey * 1e-3 - 2000 * 604800e0) / 1.00002e-6) / 1e3, 6) END AS latency_ms FROM orders"
+
+
+WITH_SQL = (fix_gates, truth_error, position_messages, rotation_vectors, fix_latency, geodesy_ecef, geodesy_radii, geodesy_distance, map_tiles, isa_altitude, attitude_roundtrip, attitude_rate, levelling, covariance_conditioned, error_ellipses, growth_rate, gate_codes, fletcher_checksum, gram_matrix)
 WITHOUT_SQL = ()

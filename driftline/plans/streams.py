@@ -443,19 +443,32 @@ SELECT recording_id, t_us, seq, round(value, 6) AS value FROM k WHERE keep
 
 
 def tumbling_variance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(filters.tumbling_variance(events(spark, d), 86_400_000_000))
+    return filters.tumbling_variance(events(spark, d), 86_400_000_000).withColumn("variance", F.round("variance", 3))
 
 
 def vertical_filter(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).withColumns({"acc": F.lit(0.0), "height": F.when(F.col("stream") == "view", F.col("value"))})
+    e = events(spark, d).withColumns({"acc": (F.col("value") - 50) * 1e-9, "height": F.when(F.col("stream") == "view", F.col("value"))})
     return rounded(filters.vertical_filter(e, "acc", "height"))
 
 
 def vertical_smoother(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).withColumns({"acc": F.lit(0.0), "height": F.when(F.col("stream") == "view", F.col("value"))})
+    e = events(spark, d).withColumns({"acc": (F.col("value") - 50) * 1e-9, "height": F.when(F.col("stream") == "view", F.col("value"))})
     return rounded(filters.vertical_filter(e, "acc", "height", smooth=True))
 
 
+TUMBLING_VARIANCE = f"""
+WITH RECURSIVE {EVENTS}, r AS (SELECT recording_id, t_us, value, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i FROM ev),
+k AS (
+  SELECT recording_id, i, t_us AS t0, t_us AS t1, CAST(1 AS BIGINT) AS n, value AS s, value * value AS q, false AS done FROM r WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, t0, t_us, n, s, q, n >= 8 AND t_us - t0 >= 86400000000 FROM (
+    SELECT r.recording_id, r.i, r.t_us, CASE WHEN k.done THEN r.t_us ELSE k.t0 END AS t0, CASE WHEN k.done THEN 1 ELSE k.n + 1 END AS n,
+      r.value + CASE WHEN k.done THEN 0 ELSE k.s END AS s, r.value * r.value + CASE WHEN k.done THEN 0 ELSE k.q END AS q FROM k JOIN r ON r.recording_id = k.recording_id AND r.i = k.i + 1)
+)
+SELECT recording_id, t0 AS t0_us, t1 AS t1_us, n, round((q - s * s / n) / (n - 1), 3) AS variance FROM k WHERE done
+"""
+
+
 def doctor_findings(spark: SparkSession, d: str) -> DataFrame:
     m = gap_statistics(spark, d)
     rules = [("few_samples", 2, F.col("n") < 50), ("long_gap", 2, F.col("max_gap_s") > 3 * 86400), ("late_gap", 1, F.col("max_gap_at_s") > 0.8 * F.col("duration_s")), ("low_rate", 0, F.col("avg_hz") < 3.2e-5)]
@@ -474,6 +487,6 @@ UNION ALL SELECT recording_id, 'low_rate', 0 FROM m WHERE avg_hz < 3.2e-5
 WITH_SQL = (
     gap_statistics, bucketed_rate, difference_noise, newest_only_attach, asof_backward, nearest_join, interpolated_join, fifo_capacity, outage_cut, coast_gaps, session_split, block_decimate,
     rolling_variance, static_intervals, state_spans, restart_segments, unwrapped_angle, score_statistics, order_statistics, pooled_phase_std, quality_shares, start_mean, lag_correlation, correlation_peak,
-    allan_deviation, bias_instability, asymptote_fit, weighted_scale, robust_spread, clock_fit, min_max_thinned, first_per_period, offset_filter, greedy_thinned, doctor_findings,
+    allan_deviation, bias_instability, asymptote_fit, weighted_scale, robust_spread, clock_fit, min_max_thinned, first_per_period, offset_filter, greedy_thinned, tumbling_variance, doctor_findings,
 )
-WITHOUT_SQL = (tumbling_variance, vertical_filter, vertical_smoother)
+WITHOUT_SQL = (vertical_filter, vertical_smoother)

@@ -44,6 +44,8 @@ def read_stream(spark: SparkSession, path: str, stream: str) -> DataFrame:
     need = [f.name for f in fields[: LEAST[stream]]]
     for c in need:
         rows = rows.where(F.col(c).isNotNull())  # NaN stays, and becomes null below
+    if stream == "gnss":  # what a row leaves out at its end is 0
+        rows = rows.withColumns({f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in fields[LEAST[stream] :]})
     doubles = [f.name for f in fields if isinstance(f.dataType, T.DoubleType)]
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     if stream == "ranges":

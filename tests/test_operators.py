@@ -1,5 +1,7 @@
 import json
 import random
+import struct
+import time
 
 import numpy as np
 import pytest
@@ -157,3 +159,71 @@ def test_faults_are_the_same_for_any_partitioning(spark):
     assert one == two
     moved = [r for r in one if r.lat_deg != 48.0 or r.lon_deg != 11.0]
     assert len(moved) == 4 * 5 + 49 - 5  # five fixes have both
+
+
+def test_long_recording_joins_in_linear_time(spark):
+    """One recording of 500,000 rows: running windows both ways, no frame that is gone through again for each row."""
+    n = 500_000
+    base = spark.range(n).select(F.lit("r").alias("recording_id"), (F.col("id") * 10_000).alias("t_us"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
+    aux = spark.range(n // 100).select(F.lit("r").alias("recording_id"), (F.col("id") * 1_000_000 + 3_000).alias("t_us"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
+    began = time.perf_counter()
+    assert align.nearest(base, aux, 10**9).where("aux_t_us is not null").count() == n
+    assert align.interpolated(base, aux, 10**9).where("aux_value is not null").count() == n - 100
+    assert align.newest_only(base, aux).count() == n // 100
+    assert time.perf_counter() - began < 60
+
+
+def test_filters_take_the_ids_of_a_stream_that_was_read(spark, tmp_path):
+    folder = tmp_path / "run7"
+    folder.mkdir()
+    (folder / "baro.csv").write_text("# t_us,pressure\n" + "".join(f"{k * 10_000},{101325 - k}\n" for k in range(60)))
+    s = streams.read_stream(spark, str(folder / "baro.csv"), "baro").withColumnRenamed("pressure_pa", "value").withColumn("acc", F.lit(0.1))
+    for out in (filters.offset_filter(s, 1e-4, 1.0), filters.vertical_filter(s, "acc", "value", smooth=True), filters.greedy_thinned(s, 50_000), filters.tumbling_variance(s, 100_000)):
+        rows = out.collect()
+        assert rows and {r.recording_id for r in rows} == {"run7"}
+
+
+def test_messages_of_packed_structures(spark):
+    v = [1, 3, 1, 1, 0b100001, 37, 200, (1 << 18) - 1 - (1 << 9), 812, *(np.arange(20) * 1.25 - 7).tolist(), 48.1234567, -11.7654321, 49.5, -3.25]
+    packed = {
+        "solution": struct.pack("<BBBBBBHII6f3f3f5f3fdd2f", *v),
+        "odometry": struct.pack("<QQffHHH", 1 << 50, 77, 12.5, 0.25, 40, 0b10011, 1),
+        "timesync": struct.pack("<QIIIiHH", 123456789, 5, 345600000, 1 << 31, -250, 2300, 0b11001),
+        "counters": struct.pack("<12I", *range(4_000_000_000, 4_000_000_012)),
+        "saturation": struct.pack("<3H2B", 65535, 3, 5, 0b001010, 1),
+    }
+    for name, body in packed.items():
+        df = spark.createDataFrame([(bytearray(body),), (bytearray(body[:-1]),), (None,)], "p binary")
+        got = [r.asDict() for r in df.select(*(c.alias(n) for n, c in getattr(frames, name)(F.col("p")).items())).collect()]
+        assert all(x is None or x == [] for r in got[1:] for x in r.values())
+        packed[name] = got[0]
+    s = packed["solution"]
+    assert (s["mode"], s["att_src"], s["sat_axes"], s["imu_hz"], s["cpu_pct"]) == ("full", "ins", ["acc_x", "gyr_z"], 200, 37)
+    assert (s["roll"], s["vz"], s["arm_d"], s["lat_deg"], s["lon_deg"], s["mag_decl_deg"]) == (-7.0, 13.0, 16.75, 48.1234567, -11.7654321, -3.25)
+    assert s["baro_alt"] is None and s["baro_meas"] == 11.75 and s["ready"] and s["vzupt"]
+    o = packed["odometry"]
+    assert (o["t_unix_us"], o["t_us"], o["speed_mps"], o["stddev_mps"], o["delay_ms"], o["t_us_valid"], o["reverse"]) == (1 << 50, 77, 12.5, 0.25, 40, True, True)
+    t = packed["timesync"]
+    assert (t["t_us"], t["q_err_ps"], t["gps_valid"], t["utc_base"], t["suspect"]) == (123456789, -250, True, False, True)
+    assert t["gps_s"] == pytest.approx(2300 * 604800 + 345600.0005 - 250e-12, abs=1e-9)
+    c = packed["counters"]
+    assert c["tx_dropped"] == 4_000_000_000 and c["gnss_crc_errors"] == 4_000_000_009 and c["extra"] == [4_000_000_010, 4_000_000_011]
+    assert packed["saturation"] == {"first_seq": 65535, "last_seq": 3, "samples": 5, "mask": 10, "axes": ["acc_y", "gyr_x"], "flags": 1, "dropped_before": True}
+
+
+def test_rotation_fit_counts_directions_only(spark):
+    rng = np.random.default_rng(4)
+    r = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    r *= np.sign(np.linalg.det(r))
+    a = rng.normal(size=(40, 3))
+    b = a @ r.T * rng.uniform(0.1, 9, size=(40, 1))
+    df = spark.createDataFrame([tuple(map(float, [*x, *y])) for x, y in zip(a, b)], "a double, b double, c double, d double, e double, f double")
+    assert calibration.wahba(df, ("a", "b", "c"), ("d", "e", "f")) == pytest.approx(r, abs=1e-9)
+
+
+def test_left_out_columns_of_a_fix_are_zero(spark, tmp_path):
+    folder = tmp_path / "run8"
+    folder.mkdir()
+    (folder / "gnss.csv").write_text("5," + ",".join(["1.5"] * 18) + ",1\n")
+    r = streams.read_stream(spark, str(folder / "gnss.csv"), "gnss").first()
+    assert (r.quality, r.gps_week, r.gps_tow_s, r.num_sv, r.nav_auth) == (0, 0, 0.0, 0, 0)
