@@ -1,11 +1,13 @@
 """Line deduplication with built-in functions only.
 
-Method: each line's key is hashed to 128 bits, and the (key, document, position)
-triples, not the texts, are dealt by ranges of (hash, salt of the document). A
-key that stands in a third of all lines so takes many ranges. Inside a range the
-rows are sorted by document and position, and one pass marks the first
+Method: each line's key is hashed to 128 bits, and the hashes with document and
+position, not the texts, are range-partitioned by (hash, salt of the document),
+so that a key that stands in a third of all lines takes many ranges. Inside a
+range the rows are sorted by document and position, and one pass marks the first
 occurrence in each document. Counts of the salts of a key are added up; the
-decisions go back to the documents as run-length compressed bitmaps of lines.
+verdict goes back to the salts first and then to their lines, so that a frequent
+key never meets it in one task. The decisions go back to the documents as
+run-length compressed bitmaps of the lines that stay.
 
 Cases: a null or empty text is one empty line; a row repeated with the same
 doc_id and text counts as one document; rows that share an id but not the text
@@ -24,7 +26,6 @@ from driftline.llm.common import keyed, table
 #: White space stripped from a key.
 BLANK = " \t\n\x0b\x0c\r"
 SALTS = 256
-RANGE_BITS = 12
 
 
 def ascii_lower(s: Column) -> Column:
@@ -34,36 +35,42 @@ def ascii_lower(s: Column) -> Column:
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int | None = 10, min_chars: int = 1) -> DataFrame:
-    """doc_id, th, drop_runs (array of [first, last] positions of lines to drop): documents that lose lines.
+    """doc_id, th, keep_runs (array of [first, last] positions of lines that stay): documents that lose lines.
 
     min_docs: keys of at least min_chars code points found in so many documents lose all their lines;
     None: every line but a key's first, by document and position, goes.
     """
+    split = keyed(docs).select("doc_id", "th", F.split("text", "\n").alias("lines"))
     lines = (
-        keyed(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "th", "pos", F.btrim("line", F.lit(BLANK)).alias("line"))
+        split.select("doc_id", "th", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+        .select("doc_id", "th", "n", "pos", F.btrim("line", F.lit(BLANK)).alias("line"))
         .where(F.length("line") >= min_chars).withColumn("key", ascii_lower(F.col("line")))
-        .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-        .withColumn("range", F.shiftright("h1", 64 - RANGE_BITS).cast("int"))
+        .select("doc_id", "th", "n", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0)).alias("salt"))
     )
-    # Hashes are even, so that equal ranges of them need no sample of the rows.
-    ranged = lines.repartition("range", "salt")
-    by_doc = W.partitionBy("range", "salt", "h1", "h2").orderBy("doc_id", "th", "pos")
+    # Neither hash nor salt can be null, which keeps a null test of the join below from standing in only one of both readers.
+    ranged = lines.repartitionByRange("h1", "salt", "h2")
+    place = F.struct("doc_id", "th", "pos")
+    # n takes no part in the order, but so both readers of `ranged` read the same columns and Spark makes it once.
+    by_doc = W.partitionBy("h1", "salt", "h2").orderBy("doc_id", "th", "pos", "n")
     marked = ranged.withColumn("first", F.coalesce(~F.lag("doc_id").over(by_doc).eqNullSafe(F.col("doc_id")), F.lit(True)) | (F.row_number().over(by_doc) == 1))
+    salted = marked.groupBy("h1", "salt", "h2").agg(F.sum(F.col("first").cast("int")).alias("docs"), F.min(place).alias("place"))
+    of_key = W.partitionBy("h1", "h2")  # SALTS rows at most
     if min_docs is None:
-        keys = marked.where("first").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("kept"))
-        hit = ranged.join(keys, ["h1", "h2"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("kept")))
+        verdict = salted.select("h1", "salt", "h2", F.min("place").over(of_key).alias("kept"))
     else:
-        salted = marked.groupBy("range", "salt", "h1", "h2").agg(F.sum(F.col("first").cast("int")).alias("n"))
-        keys = salted.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
-        hit = ranged.join(keys, ["h1", "h2"])
-    d = F.col("d")
-    starts = F.filter(d, lambda p, i: (i == 0) | (F.try_element_at(d, i) != p - 1))
-    ends = F.filter(d, lambda p, i: F.coalesce(F.try_element_at(d, i + 2) != p + 1, F.lit(True)))
-    return (
-        hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("d"))
-        .select("doc_id", "th", F.transform(F.arrays_zip(starts.alias("first"), ends.alias("last")), lambda r: F.array(r["first"], r["last"])).alias("drop_runs"))
-    )
+        verdict = salted.select("h1", "salt", "h2", F.sum("docs").over(of_key).alias("n_docs")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    hit = ranged.join(verdict, ["h1", "salt", "h2"])
+    if min_docs is None:
+        hit = hit.where(~place.eqNullSafe(F.col("kept")))
+    return hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.max("n").alias("n")).select("doc_id", "th", keep_runs("gone", "n").alias("keep_runs"))
+
+
+def keep_runs(gone: str, n: str) -> Column:
+    """Runs [first, last] of the positions below n that are not in the sorted array `gone`: what lies between two that are."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
+    ends = F.concat(F.transform(gone, lambda p: p - 1), F.array(F.col(n) - 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.array(a, b))
+    return F.filter(runs, lambda r: r[0] <= r[1])
 
 
 def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -71,14 +78,13 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = docs.select(*(F.col(c).alias(f"in_{c}") for c in names))
     own = own.withColumn("__th", F.xxhash64(F.coalesce("in_text", F.lit(""))))
-    runs = bitmaps.select("doc_id", "th", F.col("drop_runs").alias("__runs"))
+    runs = bitmaps.select("doc_id", "th", F.col("keep_runs").alias("__runs"))
     joined = own.join(runs, own["in_doc_id"].eqNullSafe(runs["doc_id"]) & (own["__th"] == runs["th"]), "left")
     # A column that lambdas name is one of the step before: an expression would be evaluated again for each element.
     split = joined.withColumn("__lines", F.split(F.coalesce("in_text", F.lit("")), "\n")).withColumn("__n", F.size("__lines"))
-    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r[0], r[1])))
-    left = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), gone)
+    left = F.flatten(F.transform("__runs", lambda r: F.sequence(r[0], r[1])))
     text = F.when(F.col("__runs").isNull(), F.col("in_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    dropped = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r[1] - r[0] + 1), F.lit(0))
+    dropped = F.coalesce(F.col("__n") - F.aggregate("__runs", F.lit(0), lambda n, r: n + r[1] - r[0] + 1), F.lit(0))
     return split.select(*(text.alias(c) if c == "text" else F.col(f"in_{c}").alias(c) for c in names), F.col("__n").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
