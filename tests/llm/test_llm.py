@@ -424,3 +424,46 @@ def test_pipeline_quality_without_labels_keeps_all(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert corpus_pipeline.good_documents(spark, df, str(tmp_path)).count() == df.count()
+
+
+@pytest.mark.parametrize("labels_", [2000, 20_000, 200_000])
+def test_long_domains_are_found(spark, labels_):
+    text = "x a@b" + ".b" * labels_ + " y (at) b.c [dot] d 12"
+    found = pii.find(spark.createDataFrame([(1, text)], SCHEMA)).first().found
+    assert [(s.kind, s.start, s.end) for s in found if s.base] == [("email", 2, 5 + 2 * labels_)]
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    texts = [" ".join(f"wort{k * 31 + i}" for i in range(40)) + " " + "z" * 300 for k in range(60)]
+    want = bpe.Encoder(vocabulary).encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    small = bpe.Encoder(vocabulary)
+    got = [x for t in texts for x in small.encode([t])]
+    assert got == want
+    assert len(small.chunks) <= 20_000 // bpe.ENTRY + 50 and all(len(w) <= bpe.KEPT for w in small.chunks)
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    import public_tokenizers
+
+    rows = spark.createDataFrame([(1, "one two three", "mine", 5, 6), (2, None, None, None, None)], "doc_id long, text string, __text string, __node long, __th long")
+    none = spark.createDataFrame([], "doc_id long, quality int, label int")
+    for out in (
+        crf.classify(rows, rows.select("doc_id", "text"), none.select("doc_id", "quality")),
+        toxicity.score_toxicity(rows, none.select("doc_id", "label")),
+        bpe.encode_decode(rows, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN),
+        lines.kept_lines(rows, lines.line_bitmaps(rows)),
+        neardup.one_of_each(rows),
+    ):
+        got = {r.doc_id: (r["__text"], r["__node"], r["__th"]) for r in out.collect()}
+        assert got == {1: ("mine", 5, 6), 2: (None, None, None)}
+
+
+def test_keep_runs_are_what_is_not_dropped(spark):
+    rng = random.Random(6)
+    rows = [(n, sorted(rng.sample(range(n), rng.randint(1, n)))) for n in (1, 2, 5, 9, 30) for _ in range(4)]
+    got = spark.createDataFrame(rows, "n int, gone array<int>").select("n", "gone", lines.keep_runs("gone", "n").alias("k")).collect()
+    assert all(sorted({*range(r.n)} - {*r.gone}) == [i for a, b in r.k for i in range(a, b + 1)] for r in got)
