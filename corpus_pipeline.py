@@ -7,6 +7,7 @@ stages like others; their text counts as empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -47,8 +48,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that hold a benchmark item go."""
     row = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     hit = contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id.*").distinct().toDF("__d", "__t")
-    own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(hit, own["doc_id"].eqNullSafe(hit["__d"]) & (own["__th"] == hit["__t"]), "left_anti").select(*docs.columns)
+    th = f"__th_{uuid.uuid4().hex}"  # no column of docs is called so
+    own = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(hit, own["doc_id"].eqNullSafe(hit["__d"]) & (own[th] == hit["__t"]), "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
