@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+#: Fixed value: sqrt(2 ln 2 / pi), the ratio of a curve's floor to the bias instability.
+FLOOR_FACTOR = 0.6642824702679600
+
 
 def by_recording() -> WindowSpec:
     return W.partitionBy("recording_id")
@@ -36,8 +39,8 @@ def allan_deviation(df: DataFrame, tau0: float, factors: list[int]) -> DataFrame
 
 
 def bias_instability(adev: DataFrame) -> DataFrame:
-    """Least deviation / 0.664 and its tau, of equals the first."""
-    return adev.groupBy("recording_id").agg((F.min("adev") / 0.664).alias("bias_instability"), F.min_by("tau_s", F.struct("adev", "tau_s")).alias("tau_s"))
+    """Least deviation / sqrt(2 ln 2 / pi) and its tau, of equals the first."""
+    return adev.groupBy("recording_id").agg((F.min("adev") / FLOOR_FACTOR).alias("bias_instability"), F.min_by("tau_s", F.struct("adev", "tau_s")).alias("tau_s"))
 
 
 def asymptote(adev: DataFrame, slope: float, tau_ref: float) -> DataFrame:

@@ -342,7 +342,7 @@ def bias_instability(spark: SparkSession, d: str) -> DataFrame:
 
 BIAS_INSTABILITY = f"""
 WITH {EVENTS}, {_ALLAN}, o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY adev, tau) AS k FROM al)
-SELECT recording_id, round(adev / 0.664, 6) AS bias_instability, round(tau, 6) AS tau_s FROM o WHERE k = 1
+SELECT recording_id, round(adev / sqrt(2 * ln(2) / 3.141592653589793), 6) AS bias_instability, round(tau, 6) AS tau_s FROM o WHERE k = 1
 """
 
 
