@@ -9,12 +9,13 @@ feature rows with their counts, a bounded table of at most the product of the
 bins, are what gradient boosting of depth-2 trees is trained on. Labels are
 weak: a span that passes a base format's checks, or that a naming word
 announces, is private; the features that decide a span's label are not inputs
-for its generator. Documents of one hash fold calibrate: the threshold is the
-lowest score from which on at least PRECISION of the fold's spans are private.
-The trees are applied as column expressions.
+for its generator. Documents of one hash fold calibrate: a generator's threshold
+is the lowest score from which on at least PRECISION of the fold's spans by this
+generator are private; one without such a score adds nothing. The trees are applied as column expressions.
 
 Spans that pass the base checks always stay; spans that the trees add overlap
-none of them, and the higher score wins among those that overlap each other.
+none of them, and the higher score wins among those that overlap each other: by
+falling score, a span is added unless it overlaps one that is.
 
 Cases: a null or empty text has no spans; offsets count code points; repeated
 rows each get the same result; other columns are not read.
@@ -142,8 +143,8 @@ def expression(tree: Tree | float) -> Column:
     return F.when(F.col(f"f_{FEATURES[f]}") <= cut, expression(a)).otherwise(expression(b))
 
 
-def trained(spans: DataFrame) -> tuple[list[Tree], float]:
-    """Trees and threshold (of the sum of their leaves) from described spans."""
+def trained(spans: DataFrame) -> tuple[list[Tree], dict[int, float]]:
+    """Trees, and for each generator that adds spans the threshold of the sum of their leaves, from described spans."""
     fold = held_out(F.col("doc_id"))
     cells = spans.where(F.col("gen").isNotNull()).groupBy(fold.alias("fold"), *(f"f_{f}" for f in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum(F.col("weak").cast("int")).alias("y"))
     rows = cells.collect()  # at most a row for each combination of bins
@@ -151,13 +152,17 @@ def trained(spans: DataFrame) -> tuple[list[Tree], float]:
     y, w, apart = (np.array([r[c] for r in rows], float) for c in ("y", "w", "fold"))
     fit, check = apart == 0, apart == 1
     if not y[fit].any():
-        return [], np.inf
+        return [], {}
     trees = boost(x[fit], y[fit], w[fit])
-    score = sum(evaluated(t, x[check]) for t in trees)
+    return trees, {g: calibrated(sum(evaluated(t, x[own]) for t in trees), y[own], w[own]) for g in range(len(BASE), len(GENERATORS)) for own in [check & (x[:, 0] == g)]}
+
+
+def calibrated(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The lowest score from which on at least PRECISION of the spans (w, of which y are private) are private; infinite if there is none."""
     order = np.argsort(-score, kind="stable")
-    private, every = np.cumsum(y[check][order]), np.cumsum(w[check][order])
-    ok = np.flatnonzero((private >= PRECISION * every) & np.append(score[order][1:] < score[order][:-1], True)) if len(order) else []
-    return trees, float(score[order][ok[-1]]) - 1e-9 if len(ok) else np.inf
+    private, every, falls = np.cumsum(y[order]), np.cumsum(w[order]), np.append(np.diff(score[order]) < 0, True)[: len(order)]
+    ok = np.flatnonzero((private >= PRECISION * every) & falls)
+    return float(score[order][ok[-1]]) - 1e-9 if len(ok) else np.inf
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -169,20 +174,26 @@ def find(docs: DataFrame) -> DataFrame:
     copies = own.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
     repeated = not copies.where("copies > 1").isEmpty()
     spans = checkpoint(described(proposals(own.dropDuplicates(["doc_id", "th"]) if repeated else own)).drop("m", "before", "after"))
-    trees, threshold = trained(spans)
+    trees, thresholds = trained(spans)
     score = sum((expression(t) for t in trees), F.lit(0.0))
     names = list(GENERATORS)
     kind = F.lit(len(KINDS) - 1)
     for i, name in enumerate(names):
         kind = F.when(F.col("gen") == i, KINDS.index(KIND.get(name, name))).otherwise(kind)
-    added = (F.col("gen") >= len(BASE)) & (score >= threshold) if trees else F.lit(False)
+    added = F.lit(False)
+    for g, threshold in thresholds.items():
+        added = added | ((F.col("gen") == g) & (score >= threshold))
     span = F.struct(kind.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("base").alias("base"), score.alias("score"))
     both = spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("sure"), F.array_sort(F.collect_list(F.when(added & ~F.col("base"), span))).alias("more"))
     meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     free = F.filter("more", lambda a: ~F.exists("sure", lambda b: meet(a, b)))
     both = both.withColumn("free", F.when(F.size("sure") > 0, free).otherwise(F.col("more")))
-    better = lambda a, b: (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (F.struct(b["start"], b["k"], b["end"]) < F.struct(a["start"], a["k"], a["end"])))
-    chosen = F.filter("free", lambda a: ~F.exists("free", lambda b: meet(a, b) & better(a, b)))
+    both = both.withColumn("order", F.array_sort(F.transform("free", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end")))))
+    neighbours = F.zip_with(F.slice("order", 2, F.size("order")), F.slice("order", 1, F.greatest(F.size("order") - 1, F.lit(0))), lambda b, a: b["start"] < a["end"])
+    ranked = F.array_sort(F.transform("free", lambda a: F.struct((-a["score"]).alias("rank"), a["start"].alias("start"), a["k"].alias("k"), a["end"].alias("end"), a.alias("span"))))
+    both = both.withColumn("ranked", F.when(F.exists(neighbours, lambda x: x), ranked))
+    greedy = F.aggregate("ranked", F.slice("free", 1, 0), lambda taken, a: F.when(F.exists(taken, lambda b: meet(a, b)), taken).otherwise(F.concat(taken, F.array(a["span"]))))
+    chosen = F.when(F.col("ranked").isNotNull(), greedy).otherwise(F.col("free"))
     out = both.select("doc_id", "th", F.array_sort(F.concat("sure", chosen)).alias("found"))
     if repeated:
         out = own.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).join(out, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
