@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -467,3 +468,83 @@ def test_keep_runs_are_what_is_not_dropped(spark):
     rows = [(n, sorted(rng.sample(range(n), rng.randint(1, n)))) for n in (1, 2, 5, 9, 30) for _ in range(4)]
     got = spark.createDataFrame(rows, "n int, gone array<int>").select("n", "gone", lines.keep_runs("gone", "n").alias("k")).collect()
     assert all(sorted({*range(r.n)} - {*r.gone}) == [i for a, b in r.k for i in range(a, b + 1)] for r in got)
+
+
+def test_rules_query_equals_a_loop(spark, sf_dir, docs, labels):
+    """Cutoffs by the holdouts' exact tails, and every verdict."""
+    got = {r.doc_id: r for r in rules.op5_quality_rules(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    ratios = {}
+    for i, t in zip(docs.doc_id, docs.text):
+        r, t = got[i], t or ""
+        full = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        upper = len(re.findall("[A-Z]", t))
+        ratios[i] = {"symbols": r.n_symbols / max(r.word_chars, 1), "upper": upper / max(r.word_chars, 1), "dup_lines": r.n_dup_lines / max(full, 1), "repeats": r.n_repeat_words / max(r.n_words, 1), "word_chars": r.word_chars / max(r.n_words, 1)}
+    stratum = {i: sum(got[i].n_words > e for e in rules.STRATA) for i in ratios}
+    good = {i for i, q in zip(labels.doc_id, labels.quality) if q == 1 and not held_out(i)} & ratios.keys()
+    tests = 4 * sum(len(g) for g in rules.GRID.values())
+    for i, r in got.items():
+        base = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert r.base_failed == base
+        same_ = [j for j in good if stratum[j] == stratum[i]]
+        bad = False
+        for name, grid in rules.GRID.items():
+            for c in grid:
+                k, n, p = sum(ratios[j][name] > c for j in same_), len(same_), rules.ALPHA / len(rules.RATIOS)
+                if k < n * p and sum(math.comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(k + 1)) <= rules.DELTA / tests:
+                    bad |= ratios[i][name] > c
+                    break
+        assert r.kept == (not base and not bad), i
+
+
+def test_encoding_query_digests(spark, sf_dir, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in bpe.op8_bpe(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
+def test_personal_data_query_digests_and_overlaps(spark, sf_dir, docs):
+    found = {r.doc_id: r.found for r in pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).collect()}
+    for r in pii.op10_pii(spark, sf_dir).collect():
+        spans = [(s["kind"], s["start"], s["end"], s["base"]) for s in found[r.doc_id]]
+        base = [s for s in spans if s[3]]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.BASE]
+        assert not any(x[1] < y[2] and y[1] < x[2] for x, y in itertools.combinations(spans, 2) if not (x[3] and y[3]))
+
+
+def test_a_generators_threshold_is_its_own():
+    score, y, w = np.array([3.0, 2.0, 2.0, 1.0]), np.array([50.0, 30.0, 18.0, 0.0]), np.array([50.0, 30.0, 20.0, 10.0])
+    assert pii.calibrated(score, y, w) == pytest.approx(2.0)
+    assert pii.calibrated(score, np.zeros(4), w) == np.inf
+    assert pii.calibrated(score[:0], y[:0], w[:0]) == np.inf
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    """Nulls, repeated rows, one id with two texts, empty tables and columns named like helpers pass through every stage."""
+    import corpus_pipeline
+
+    def columns(df):
+        return df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "th": F.lit(1), "score": F.lit(0.0), "node": F.lit("n")})
+
+    spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "two words"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start in (columns(odd), columns(none)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, start, str(tmp_path))
+            rows = out.collect()
+            assert len(rows) <= start.count(), name
+            if name != "bpe":
+                assert out.columns == start.columns, name
+            if name in ("line_dedup", "bpe"):
+                assert len(rows) == start.count(), name
+            if name == "decontamination":
+                assert not any(r.text == "two words" for r in rows)
