@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.plans import diagnostics, scalars, streams
+from driftline.plans import diagnostics, navigation, scalars, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "gap_statistics"
-MODULES = (streams, scalars, diagnostics)
+MODULES = (streams, scalars, diagnostics, navigation)
 
 
 def queries() -> dict[str, Query]:

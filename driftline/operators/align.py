@@ -71,6 +71,30 @@ def interpolated(base: DataFrame, aux: DataFrame, max_gap_us: int) -> DataFrame:
     return _bracketed(base, aux).select("recording_id", "b.t_us", "b.seq", "b.value", F.when(exact, F.col("p.value")).otherwise(value).alias("aux_value"))
 
 
+def at_validity(measured: DataFrame, states: DataFrame, span_us: int, near_us: int, oldest_us: int) -> DataFrame:
+    """Each measured row (with an age_us) with the state at its time of validity: recording_id, t_us, seq, value, state, rest_us, how.
+
+    how: 'between' where states at or before and after the time of validity, the latter not later than the row itself, lie
+    within span_us; else 'held', the nearer of the two, if it is within near_us, with rest_us from it to the time of
+    validity; else 'none', as for an age over oldest_us.
+    """
+    state, own = "struct<t_us:bigint,value:double>", "struct<t_us:bigint,age_us:bigint,value:double>"
+    one = states.select("recording_id", "t_us", "seq", F.struct("t_us", "value").alias("a"), F.lit(None).cast(own).alias("b"), F.lit(0).alias("side"))
+    two = measured.select("recording_id", (F.col("t_us") - F.col("age_us")).alias("t_us"), "seq", F.lit(None).cast(state).alias("a"), F.struct("t_us", F.col("age_us").cast("long").alias("age_us"), "value").alias("b"), F.lit(1).alias("side"))
+    u = one.unionByName(two).withColumn("p", F.last("a", ignorenulls=True).over(_order())).withColumn("n", F.last("a", ignorenulls=True).over(_turned())).where(F.col("b").isNotNull())
+    u = u.withColumn("n", F.when(F.col("n.t_us") <= F.col("b.t_us"), F.col("n")))
+    back, ahead = F.col("t_us") - F.col("p.t_us"), F.col("n.t_us") - F.col("t_us")
+    near = F.when(F.col("n").isNull() | (back < ahead), F.col("p")).otherwise(F.col("n"))
+    fresh = F.col("b.age_us") <= oldest_us
+    how = F.when(fresh & (back + ahead <= span_us), "between").when(fresh & (F.abs(F.col("t_us") - F.col("c.t_us")) <= near_us), "held").otherwise("none")
+    u = u.withColumn("c", near).withColumn("how", how)
+    between = F.col("p.value") + F.when(back + ahead > 0, back / (back + ahead)).otherwise(0.0) * (F.col("n.value") - F.col("p.value"))
+    return u.select(
+        "recording_id", F.col("b.t_us").alias("t_us"), "seq", F.col("b.value").alias("value"), F.when(F.col("how") == "between", between).when(F.col("how") == "held", F.col("c.value")).alias("state"),
+        F.when(F.col("how") == "between", F.lit(0)).when(F.col("how") == "held", F.col("t_us") - F.col("c.t_us")).cast("long").alias("rest_us"), "how",
+    )
+
+
 def fifo(base: DataFrame, aux: DataFrame, capacity: int = 4) -> DataFrame:
     """aux rows with the epoch that takes each: first come first served, `capacity` to an epoch, the rest carried on.
 

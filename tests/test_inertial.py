@@ -80,3 +80,117 @@ def test_standstill_finds_gyro_bias():
             k.standstill(0.01, bias, 1e-4)
     assert k.bg == pytest.approx(bias, abs=1e-4)
     assert np.abs(k.v).max() < 0.05
+
+
+def late(df, frames, by_s):
+    """The same drive with its fixes and velocities by_s late, and their age."""
+    steps = round(by_s * 50)
+    out = df.copy()
+    names = [*inertial.FIX, *inertial.FIX_VAR, *inertial.VEL, *inertial.VEL_VAR]
+    out[names] = df[names].shift(steps)
+    out["fix_age_s"] = np.where(out[inertial.FIX[0]].notna(), by_s, np.nan)
+    return out
+
+
+def as_frame(spark, df):
+    return spark.createDataFrame(df.astype(object).where(df.notna(), None), "recording_id string, t_us long, seq long, " + ", ".join(f"{c} double" for c in df.columns[3:]))
+
+
+@pytest.mark.parametrize("every", [50, 4])  # the next fix comes after the last one is in, and before
+def test_late_fixes_give_the_track_of_fixes_on_time(spark, every):
+    df, pos, vel, _ = drive(40)
+    names = [*inertial.FIX, *inertial.VEL]
+    rng = np.random.default_rng(5)
+    noise = np.concatenate([rng.normal(0, 0.5, (len(df), 3)), rng.normal(0, 0.05, (len(df), 3))], 1)
+    on = np.arange(len(df)) % every == 0
+    df[names] = np.where(on[:, None], np.concatenate([pos, vel], 1) + noise, np.nan)
+    df[inertial.FIX_VAR], df[inertial.VEL_VAR] = np.where(on, 0.25, np.nan)[:, None].repeat(3, 1), np.where(on, 0.0025, np.nan)[:, None].repeat(3, 1)
+    track = lambda frame: inertial.inertial_filter(as_frame(spark, frame)).orderBy("seq").toPandas()[["n", "e", "d", "vn", "ve", "vd"]].to_numpy()
+    shifted = late(df, None, 0.2)
+    on_time, in_time, no_age = track(df), track(shifted), track(shifted.drop(columns="fix_age_s"))
+    off = np.linalg.norm((in_time - on_time)[500:, :3], axis=1)
+    # While a fix is under way, the track on time has a correction that the other one cannot have yet; once it is in, they agree.
+    settled = off[np.arange(len(off)) % every >= 10] if every > 10 else off
+    print(every, settled.max(), settled.mean(), np.linalg.norm((no_age - on_time)[500:, :3], axis=1).mean())
+    assert settled.max() < (0.15 if every > 10 else 0.3) and off.mean() < 0.1
+    # Without ages the track is a metre behind (5 m/s).
+    assert np.linalg.norm((no_age - on_time)[500:, :3], axis=1).mean() > 0.8
+
+
+def test_states_of_the_past():
+    h = inertial.History()
+    for k in range(200):  # 5 ms apart: the ring keeps every fourth
+        h.push(k * 5000, np.r_[k * 5000.0, np.zeros(5), 1, np.zeros(6)])
+    assert len(h.times) == inertial.RING and np.all(np.diff(h.times) == inertial.RING_US)
+    now = np.r_[1e6, np.zeros(5), 1, np.zeros(6)]
+    assert h.at(813_000, 1_000_000, now).p[0] == pytest.approx(813_000)
+    assert h.at(995_000, 1_000_000, now).p[0] == pytest.approx(995_000)  # between the newest entry and now
+    held = h.at(h.times[0] - 30_000, 1_000_000, now)
+    assert held.rest_s == pytest.approx(-0.03) and held.p[0] == h.times[0]
+    assert h.at(h.times[0] - 60_000, 1_000_000, now) is None
+    h.push(10, now)
+    assert h.times == [10]  # the clock went back
+
+
+def test_too_old_measurements_change_nothing():
+    k = inertial.Inertial()
+    for i in range(100):
+        k.predict(i * 10_000, np.zeros(3), np.array([0, 0, -9.8]))
+    p = k.p.copy()
+    k.position(np.ones(3) * 100, np.ones(3), age_s=0.6)
+    assert k.late == 1 and np.array_equal(k.p, p)
+
+
+def test_correlated_rows_equal_one_vector_update():
+    rng = np.random.default_rng(3)
+    k = inertial.Inertial(threshold=0)
+    a = rng.normal(size=(15, 15))
+    k.cov = p = a @ a.T
+    r = np.array([[2.0, 0.5, -0.3], [0.5, 1.0, 0.2], [-0.3, 0.2, 3.0]])
+    h = np.zeros((3, 15))
+    h[:, :3] = np.eye(3)
+    measured = rng.normal(size=3)
+    z = k.p - measured
+    k.position(measured, r)
+    gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+    assert k.p == pytest.approx(-(gain @ z)[:3], abs=1e-9)
+    assert k.cov == pytest.approx((np.eye(15) - gain @ h) @ p, abs=1e-8)
+
+
+def test_columns_of_speed_range_and_sideways_reach_the_filter(spark):
+    df, pos, vel, _ = drive(30)
+    df.loc[df.index > 500, [*inertial.FIX, *inertial.VEL]] = np.nan  # an outage
+    on = np.arange(len(df)) % 10 == 5
+    df["speed"], df["speed_var"] = np.where(on, 5.0, np.nan), np.where(on, 0.0025, np.nan)
+    df["sideways"] = on * 1.0
+    anchors = np.array([[200.0, 0, -10], [-100, 200, -20], [0, -150, -5]])
+    base = as_frame(spark, df)
+    ranges = [(i, [[*a.tolist(), float(np.linalg.norm(pos[i] - a)), 0.04, 0.0] for a in anchors]) for i in np.flatnonzero(on).tolist()]
+    both = base.join(spark.createDataFrame(ranges, "seq long, ranges array<array<double>>"), "seq", "left")
+    off = lambda f: np.linalg.norm(inertial.inertial_filter(f).orderBy("seq").toPandas()[["n", "e", "d"]].to_numpy() - pos, axis=1)[-1]
+    free = off(base.drop("speed", "speed_var", "sideways"))
+    assert off(both) < 1.0 < free
+    assert off(base) < free  # speed and the constraint alone
+
+
+def test_late_fix_track_equals_a_loop(spark, sf_dir):
+    from driftline.plans import navigation
+
+    got = {(r.recording_id, r.seq): (r.n, r.e, r.d, r.yaw) for r in navigation.late_fix_track(spark, sf_dir).collect()}
+    rows = navigation.drives(spark, sf_dir).toPandas().sort_values(["recording_id", "t_us", "seq"])
+    assert len(got) == len(rows)
+    for _, own in list(rows.groupby("recording_id"))[:5]:
+        k = inertial.Inertial()
+        for first, r in enumerate(own.to_dict("records")):
+            fix = np.array([r[c] for c in inertial.FIX])
+            if not first:
+                k.level(np.array([r[c] for c in inertial.IMU[3:]]), 0.0)
+                k.p = fix if not np.isnan(fix).any() else k.p
+            k.predict(r["t_us"], np.array([r[c] for c in inertial.IMU[:3]]), np.array([r[c] for c in inertial.IMU[3:]]))
+            if not np.isnan(fix).any():
+                k.position(fix, np.full(3, 0.25), age_s=r["fix_age_s"])
+            if r["baro_h"] == r["baro_h"]:
+                k.baro(r["baro_h"], 1.0)
+            if r["speed"] == r["speed"]:
+                k.speed(r["speed"], 0.04)
+            assert got[r["recording_id"], r["seq"]] == pytest.approx((*k.p, k.rpy()[2]), abs=2e-6)
