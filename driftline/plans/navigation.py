@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.operators import align, inertial
+from driftline.operators import align, inertial, modes, stillness
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -53,6 +53,91 @@ def late_fix_track(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inertial.inertial_filter(drives(spark, d)))
 
 
+DAY = 86_400
+#: Events as epochs: views and clicks bring aiding, whose quality is their value; all but errors are samples.
+GATE = {"dwell_s": 1.0 * DAY, "gap_s": 3.0 * DAY, "stop_s": 1.0 * DAY, "stop_step_s": 0.5 * DAY, "coast_s": 1.5 * DAY, "fresh_s": 0.25 * DAY, "imu_s": 3.0 * DAY, "least_hz": 2.0 / DAY}
+
+
+def mode_track(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumns({"offered": F.col("stream").isin("view", "click"), "entry": F.col("value") < 25, "stay": F.col("value") < 35, "sample": F.col("stream") != "error"})
+    return modes.mode_track(e, **GATE)
+
+
+_S = {k: int(v * 1e6) for k, v in GATE.items()}
+MODE_TRACK = f"""
+WITH RECURSIVE {EVENTS}, r AS (
+  SELECT recording_id, t_us, seq, stream IN ('view', 'click') AS offered, value < 25 AS entry, value < 35 AS stay, stream <> 'error' AS sample,
+    row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i FROM ev
+), k AS (
+  SELECT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS t_us, CAST(NULL AS BIGINT) AS seq, false AS running, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS n,
+    CAST(0 AS BIGINT) AS bad, CAST(NULL AS BIGINT) AS bad_last, CAST(NULL AS BIGINT) AS used, CAST(NULL AS BIGINT) AS imu, CAST(NULL AS VARCHAR) AS event FROM r WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, t_us, seq,
+    CASE WHEN give_up THEN false ELSE running OR enter END,
+    CASE WHEN give_up THEN NULL ELSE since END, CASE WHEN give_up THEN NULL ELSE last END, CASE WHEN give_up THEN 0 ELSE n END,
+    CASE WHEN give_up OR enter THEN 0 ELSE bad END, CASE WHEN give_up OR enter THEN NULL ELSE bad_last END,
+    CASE WHEN enter OR (running AND offered AND stay) THEN t_us ELSE used END, imu,
+    CASE WHEN enter THEN 'enter' WHEN give_up THEN 'quality_loss' WHEN running AND offered AND stay AND t_us - used > {_S["coast_s"]} THEN 'reacquire' WHEN lost THEN 'imu_loss' END
+  FROM (
+    SELECT *, NOT running AND offered AND entry AND t_us - since >= {_S["dwell_s"]} AND n >= 2 AS enter, running AND offered AND NOT stay AND bad >= {_S["stop_s"]} AS give_up FROM (
+      SELECT recording_id, i, t_us, seq, running, offered, entry, stay, lost, used, imu,
+        CASE WHEN running OR NOT offered THEN since WHEN NOT entry THEN NULL WHEN fresh THEN t_us ELSE since END AS since,
+        CASE WHEN running OR NOT offered THEN last WHEN NOT entry THEN NULL ELSE t_us END AS last,
+        CASE WHEN running OR NOT offered THEN n WHEN NOT entry THEN 0 WHEN fresh THEN 1 ELSE n + 1 END AS n,
+        CASE WHEN NOT (running AND offered) THEN bad WHEN stay OR bad_last IS NULL THEN 0 ELSE bad + least(t_us - bad_last, {_S["stop_step_s"]}) END AS bad,
+        CASE WHEN NOT (running AND offered) THEN bad_last WHEN stay THEN NULL ELSE t_us END AS bad_last
+      FROM (
+        SELECT recording_id, i, t_us, seq, offered, entry, stay, lost, used, CASE WHEN sample THEN t_us ELSE imu END AS imu, running AND NOT lost AS running,
+          CASE WHEN lost THEN NULL ELSE since END AS since, CASE WHEN lost THEN NULL ELSE last END AS last, CASE WHEN lost THEN 0 ELSE n END AS n,
+          CASE WHEN lost THEN 0 ELSE bad END AS bad, CASE WHEN lost THEN NULL ELSE bad_last END AS bad_last,
+          coalesce(lost OR since IS NULL OR t_us - last > {_S["gap_s"]}, true) AS fresh
+        FROM (SELECT k.recording_id, r.i, r.t_us, r.seq, r.offered, r.entry, r.stay, r.sample, k.running, k.since, k.last, k.n, k.bad, k.bad_last, k.used, k.imu,
+            coalesce(k.running AND r.t_us - k.imu > {_S["imu_s"]}, false) AS lost FROM k JOIN r ON r.recording_id = k.recording_id AND r.i = k.i + 1)
+      )
+    )
+  )
+)
+SELECT recording_id, t_us, seq, event, CAST(CASE WHEN running AND t_us - used <= {_S["fresh_s"]} THEN 3 WHEN running AND t_us - used <= {_S["coast_s"]} THEN 2 ELSE 1 END AS INTEGER) AS mode FROM k WHERE i > 0
+"""
+
+#: Stillness of events: what a value does to rate and force, and limits in days.
+STILL = {"window_s": 0.5 * DAY, "least": 2, "dwell_s": 0.5 * DAY, "every_s": 1.0 * DAY, "speed_age_s": 1.0 * DAY}
+
+
+def stillness_track(spark: SparkSession, d: str) -> DataFrame:
+    speed = F.when(F.col("stream") == "purchase", F.col("value") * 0.1)
+    x = {"gyr_x": F.col("value") * 1e-4, "gyr_y": F.lit(0.0), "gyr_z": F.lit(0.0), "acc_x": F.lit(0.0), "acc_y": F.lit(0.0), "acc_z": -9.80665 - F.col("value") * 0.01, "speed": speed}
+    return stillness.stillness_track(events(spark, d).withColumns(x), **STILL)
+
+
+STILLNESS_TRACK = f"""
+WITH RECURSIVE {EVENTS}, r AS (
+  SELECT recording_id, t_us, seq, value AS x, CASE WHEN stream = 'purchase' THEN value * 0.1 END AS v, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i FROM ev
+), k AS (
+  SELECT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS t_us, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS t0, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q, false AS verdict,
+    CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS fired, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS BIGINT) AS v_at, false AS active, false AS due FROM r WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, t_us, seq, t0, n, s, q, verdict, since, CASE WHEN due THEN t_us ELSE fired END, v, v_at, active, due FROM (
+    SELECT *, active AND (fired IS NULL OR t_us - fired >= {1 * DAY}000000) AS due FROM (
+      SELECT *, coalesce(t_us - since >= {DAY // 2}000000, false) AS active FROM (
+        SELECT recording_id, i, t_us, seq, t0, CASE WHEN closed THEN 0 ELSE n END AS n, s, q, now_ok AS verdict, v, v_at, fired,
+          CASE WHEN now_ok AND abs(x) * 1e-4 <= radians(5.0) AND abs(x) * 0.01 <= 0.5 AND (v_at IS NULL OR t_us - v_at > {DAY}000000 OR v <= 1.5) THEN coalesce(since, t_us) END AS since
+        FROM (
+          SELECT *, CASE WHEN closed THEN m2 > 1e-9 AND sqrt(m2 * 1e-8 / (3 * (n - 1))) <= radians(0.1) AND sqrt(m2 * 1e-4 / (3 * (n - 1))) <= 0.15 ELSE verdict END AS now_ok FROM (
+            SELECT *, n >= 2 AND t_us - t0 >= {DAY // 2}000000 AS closed, CASE WHEN n > 1 THEN q - s * s / n ELSE 0 END AS m2 FROM (
+              SELECT k.recording_id, r.i, r.t_us, r.seq, r.x, CASE WHEN k.n = 0 THEN r.t_us ELSE k.t0 END AS t0, k.n + 1 AS n, CASE WHEN k.n = 0 THEN 0 ELSE k.s END + r.x AS s, CASE WHEN k.n = 0 THEN 0 ELSE k.q END + r.x * r.x AS q,
+                k.verdict, k.since, k.fired, coalesce(r.v, k.v) AS v, CASE WHEN r.v IS NOT NULL THEN r.t_us ELSE k.v_at END AS v_at
+              FROM k JOIN r ON r.recording_id = k.recording_id AND r.i = k.i + 1)
+          )
+        )
+      )
+    )
+  )
+)
+SELECT recording_id, t_us, seq, active, due FROM k WHERE i > 0
+"""
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity,)
+WITH_SQL = (state_at_validity, mode_track, stillness_track)
 WITHOUT_SQL = (late_fix_track,)
