@@ -136,9 +136,39 @@ class Attitude:
         self.q = self.product(self.exponential(dx[:3]), self.q)
         self.q /= np.linalg.norm(self.q)
         self.bias = self.bias + dx[3:]
+        return self.rpy()
+
+    def rpy(self) -> np.ndarray:
         r = self.matrix()
         return np.array([np.arctan2(r[2, 1], r[2, 2]), np.arcsin(np.clip(-r[2, 0], -1, 1)), np.arctan2(r[1, 0], r[0, 0])])
 
+    def correct(self, rows: list[tuple[float, np.ndarray, float]]) -> None:
+        """rows: measured minus predicted, its derivative by the error state, variance."""
+        dx = np.zeros(6)
+        for z, h, var in rows:
+            k = self.p @ h / (h @ self.p @ h + var)
+            dx = dx + k * (z - h @ dx)
+            m = np.eye(6) - np.outer(k, h)
+            self.p = m @ self.p @ m.T + np.outer(k, k) * var
+        self.q = self.product(self.exponential(dx[:3]), self.q)
+        self.q /= np.linalg.norm(self.q)
+        self.bias = self.bias + dx[3:]
+
+    def heading(self, yaw: float, var: float) -> None:
+        self.correct([((yaw - self.rpy()[2] + np.pi) % (2 * np.pi) - np.pi, np.array([0, 0, 1.0, 0, 0, 0]), var)])
+
+    def magnetic(self, field: np.ndarray, var: float, declination: float = 0.0, strength: float = 0.0, tolerance: float = 0.3) -> None:
+        """Yaw by the field's horizontal part; a strength that is off by more than its tolerance weakens the measurement."""
+        roll, pitch, _ = self.rpy()
+        off = abs(float(np.linalg.norm(field)) / strength - 1) if strength > 0 else 0.0
+        x = field[0] * np.cos(pitch) + (field[1] * np.sin(roll) + field[2] * np.cos(roll)) * np.sin(pitch)
+        y = field[1] * np.cos(roll) - field[2] * np.sin(roll)
+        self.heading(float(np.arctan2(-y, x)) + declination, var * max(1.0, off / tolerance) ** 2)
+
+    def rest(self, gyr_mean: np.ndarray, sigma: float = 1e-3) -> None:
+        """No rotation: what the gyros show is their bias."""
+        self.correct([(gyr_mean[i] - self.bias[i], np.eye(6)[3 + i], sigma**2) for i in range(3)])
+
 
 def smoothed(f: np.ndarray, before: np.ndarray, after: np.ndarray, x_before: np.ndarray, x_after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rauch-Tung-Striebel pass over n steps: f[k] leads from k to k + 1; (x_)before[k] and after[k] are k's prediction and update."""

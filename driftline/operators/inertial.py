@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from driftline.functions.geo import A, E2, FLATTENING, G1, G2, G3, GAMMA_E, M, OMEGA_E
 from driftline.operators.filters import Attitude, smoothed
+from driftline.operators.modes import inflated
 from driftline.shipping import shipped
 
 P, V, T, BA, BG = (slice(k, k + 3) for k in (0, 3, 6, 9, 12))
@@ -137,6 +138,11 @@ class Inertial:
         roll, pitch = np.arctan2(-acc[1], -acc[2]), np.arctan2(acc[0], np.hypot(acc[1], acc[2]))
         self.q = product(product(exponential(np.array([0, 0, yaw])), exponential(np.array([0, pitch, 0]))), exponential(np.array([roll, 0, 0])))
 
+    def begin(self, m: Measured) -> None:
+        """Level and position of a first row."""
+        self.level(m.imu[3:], 0.0 if np.isnan(m.yaw[0]) else m.yaw[0])
+        self.p = m.fix if not np.isnan(m.fix).any() else self.p
+
     def predict(self, t_us: int, gyr: np.ndarray, acc: np.ndarray) -> None:
         """One sample; the first, and one over longest_step late, moves nothing."""
         dt = 0.0 if self.t_us is None else (t_us - self.t_us) / 1e6
@@ -238,6 +244,34 @@ class Inertial:
         if abs(sin_pitch) <= 0.99:
             self.fuse([((yaw - measured + np.pi) % (2 * np.pi) - np.pi, self.row(t=np.array([0, 0, 1.0])), var)])
 
+    def magnetic(self, measured: np.ndarray, reference: np.ndarray, var: float, tolerance: float = 0.3) -> None:
+        """A field vector in the body's axes that turns yaw only: dip and disturbances must not tilt the attitude.
+
+        reference: the field in north-east-down; a strength off by more than its tolerance weakens the measurement.
+        """
+        r = self.matrix()
+        off = abs(float(np.linalg.norm(measured)) / max(float(np.linalg.norm(reference)), 1e-9) - 1)
+        z, by_yaw = r.T @ reference - measured, r.T @ np.cross(reference, [0, 0, 1.0])
+        self.fuse([(z[i], self.row(t=np.array([0, 0, by_yaw[i]])), var * max(1.0, off / tolerance) ** 2) for i in range(3)])
+
+    def course(self, vel: np.ndarray, sigma: float, least: float = 2.0, floor: float = np.radians(5.0)) -> None:
+        """Yaw of a vehicle that moves the way it points."""
+        n = float(np.hypot(vel[0], vel[1]))
+        if n >= least:
+            self.yaw(float(np.arctan2(vel[1], vel[0])), max(sigma / n, floor) ** 2)
+
+    def anchored(self, p: np.ndarray, v: np.ndarray | None, p_var: np.ndarray, v_var: np.ndarray, frozen_s: float, yaw: float | None = None, yaw_sigma: float = np.pi) -> None:
+        """Position and velocity from a fix after a time without prediction; the rest is kept and aged, yaw is as given or unknown."""
+        first = np.diagonal(Inertial().cov)
+        psd = np.repeat([0.0, 0.0, self.gyr_psd, self.acc_walk, self.gyr_walk], 3)
+        var = inflated(np.diagonal(self.cov), psd, frozen_s, np.maximum(first, np.diagonal(self.cov)))
+        var[P], var[V] = p_var, v_var
+        self.p, self.v = p.copy(), self.v if v is None else v.copy()
+        if yaw is not None:
+            self.q = product(exponential(np.array([0, 0, yaw - self.rpy()[2]])), self.q)
+        var[8] = yaw_sigma**2
+        self.cov, self.history = np.diag(var), History()
+
     def baro(self, height: float, var: float) -> None:
         self.fuse([(-self.p[2] - height, self.row(p=np.array([0, 0, -1.0])), var)])
 
@@ -350,8 +384,7 @@ def inertial_filter(df: DataFrame, smooth: bool = False, fix_arm: tuple = (0.0,
         for i, t in enumerate(frame["t_us"]):
             m = rows(i)
             if i == 0:
-                k.level(m.imu[3:], 0.0 if np.isnan(m.yaw[0]) else m.yaw[0])
-                k.p = m.fix if not np.isnan(m.fix).any() else k.p
+                k.begin(m)
             k.predict(int(t), m.imu[:3], m.imu[3:])
             phi.append(k.phi)
             before.append(k.cov)
