@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +68,19 @@ def shortest_rotation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.eye(3) + k + k @ k / (1 + c)
 
 
-def levenberg(fun, x0: np.ndarray, rounds: int = 200, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
-    """Least squares of fun's residuals by damped Gauss-Newton with forward differences."""
+def levenberg(fun, x0: np.ndarray, rounds: int = 200, tolerance: float = 1e-12, free: Iterable[int] | None = None) -> tuple[np.ndarray, float]:
+    """Least squares of fun's residuals by damped Gauss-Newton with forward differences; parameters that are not free stay."""
     x, damp = np.asarray(x0, float), 1e-3
+    if free is not None:
+        own, whole = list(free), x.copy()
+
+        def placed(part: np.ndarray) -> np.ndarray:
+            out = whole.copy()
+            out[own] = part
+            return out
+
+        part, cost = levenberg(lambda part: fun(placed(part)), x[own], rounds, tolerance)
+        return placed(part), cost
     r = fun(x)
     for _ in range(rounds):
         jac = np.stack([(fun(x + np.eye(len(x))[k] * (h := 1e-7 * max(1.0, abs(x[k])))) - r) / h for k in range(len(x))], 1)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.operators import align, inertial, modes, stillness
+from driftline.functions import magnetics
+from driftline.functions.geo import A, E2
+from driftline.functions.magnetics import RADIUS
+from driftline.operators import align, inertial, modes, poses, stillness, suite, thinning
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -138,6 +141,85 @@ SELECT recording_id, t_us, seq, active, due FROM k WHERE i > 0
 """
 
 
+def pose_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Runs at rest for each multiple of the quiet variance: values as a sensor of one axis."""
+    return rounded(poses.pose_sweep(events(spark, d), ("value",), (), 3, 15.0 * DAY, tuple(range(2, 11)), 2), multiple="int")
+
+
+POSE_SWEEP = f"""
+WITH {EVENTS}, v AS (
+  SELECT *, CASE WHEN count(*) OVER b = 3 THEN var_samp(value) OVER b END AS v, row_number() OVER w AS k, min(t_us) OVER (PARTITION BY recording_id) AS t0 FROM ev
+  WINDOW w AS (PARTITION BY recording_id ORDER BY t_us, seq), b AS (PARTITION BY recording_id ORDER BY t_us, seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
+), q AS (SELECT recording_id, quantile_cont(v, 0.1) AS quiet FROM v WHERE t_us <= t0 + {15 * DAY}000000 GROUP BY 1),
+e AS (SELECT v.*, m.multiple FROM v JOIN q USING (recording_id), (SELECT unnest(range(2, 11)) AS multiple) m WHERE quiet > 0 AND v / quiet < m.multiple),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY recording_id, multiple ORDER BY k) AS run FROM e)
+SELECT recording_id, CAST(multiple AS INTEGER) AS multiple, min(t_us) AS t0_us, max(t_us) AS t1_us, count(*) AS n, round(avg(value), 6) AS value FROM r GROUP BY recording_id, multiple, run HAVING count(*) >= 2
+"""
+
+
+def track_thinned(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of days and values without the points within 20 of their chord."""
+    e = events(spark, d)
+    day = (F.col("t_us") - F.min("t_us").over(W.partitionBy("recording_id"))) / (DAY * 1e6)
+    return rounded(thinning.thinned_track(e.withColumn("day", day), "day", "value", tolerance=20.0))
+
+
+TRACK_THINNED = f"""
+WITH RECURSIVE {EVENTS}, p AS (
+  SELECT recording_id, t_us, seq, (t_us - min(t_us) OVER (PARTITION BY recording_id)) / {DAY}e6 AS x, value AS y,
+    row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM ev
+), s AS (
+  SELECT recording_id, CAST(1 AS BIGINT) AS lo, n AS hi, 'infinity'::DOUBLE AS most FROM p WHERE i = 1
+  UNION ALL
+  SELECT recording_id, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END, worth FROM (
+    SELECT recording_id, lo, hi, arg_max(i, (d, -i)) AS mid, least(max(d), most) AS worth FROM (
+      SELECT s.recording_id, s.lo, s.hi, s.most, p.i, abs((b.y - a.y) * (p.x - a.x) - (b.x - a.x) * (p.y - a.y)) / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d
+      FROM s JOIN p a ON a.recording_id = s.recording_id AND a.i = s.lo JOIN p b ON b.recording_id = s.recording_id AND b.i = s.hi JOIN p ON p.recording_id = s.recording_id AND p.i > s.lo AND p.i < s.hi
+    ) GROUP BY recording_id, lo, hi, most
+  ), (VALUES (0), (1)) side(side) WHERE worth > 20
+), k AS (SELECT recording_id, i, max(most) AS worth FROM (SELECT recording_id, lo AS i, most FROM s UNION ALL SELECT recording_id, hi, most FROM s) GROUP BY 1, 2)
+SELECT recording_id, t_us, seq, round(x, 6) AS day, round(y, 6) AS value, CASE WHEN isfinite(worth) THEN round(worth, 6) END AS worth FROM p JOIN k USING (recording_id, i)
+"""
+
+#: Degree, order, g, h and their yearly changes of the first two degrees of the world magnetic model of 2020, in nT.
+FIELD = [(1, 0, -29404.5, 0.0, 6.7, 0.0), (1, 1, -1450.7, 4652.9, 7.7, -25.1), (2, 0, -2500.0, 0.0, -11.5, 0.0), (2, 1, 2982.0, -2991.6, -7.1, -30.2), (2, 2, 1676.8, -734.8, -2.2, -23.9)]
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", ((F.col("c_custkey") * 37 % 1700 - 850) / 10.0).alias("lat_deg"), ((F.col("c_custkey") * 91 % 3600 - 1800) / 10.0).alias("lon_deg"), (F.col("c_custkey") % 9000 * 1.0).alias("height"), (2020 + F.col("c_custkey") % 5 + 0.25).alias("year"))
+
+
+def magnetic_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The field of the first two degrees at places of customers."""
+    at = _places(spark, d).withColumns({"lat": F.radians("lat_deg"), "lon": F.radians("lon_deg")})
+    out = magnetics.magnetic_elements(at, magnetics.model(FIELD, 2020.0))
+    return out.select("c_custkey", *(F.round(c, 3).alias(c) for c in ("north", "east", "down", "strength", "horizontal", "declination", "inclination")))
+
+
+MAGNETIC_ELEMENTS = f"""
+WITH p AS (
+  SELECT c_custkey, radians((c_custkey * 37 % 1700 - 850) / 10.0::DOUBLE) AS lat, radians((c_custkey * 91 % 3600 - 1800) / 10.0::DOUBLE) AS lon, c_custkey % 9000 * 1.0::DOUBLE AS height, c_custkey % 5 + 0.25::DOUBLE AS dt FROM customer
+), q AS (SELECT *, {A!r} / sqrt(1 - {E2!r} * pow(sin(lat), 2)) AS nn FROM p),
+c AS (SELECT *, sqrt(pow((nn + height) * cos(lat), 2) + pow((nn * (1 - {E2!r}) + height) * sin(lat), 2)) AS r, atan2((nn * (1 - {E2!r}) + height) * sin(lat), (nn + height) * cos(lat)) AS gc FROM q),
+k AS (SELECT *, sin(gc) AS c, cos(gc) AS s, pow({RADIUS} / r, 3) AS r3, pow({RADIUS} / r, 4) AS r4, cos(lon) AS cl, sin(lon) AS sl, cos(2 * lon) AS c2, sin(2 * lon) AS s2,
+  -29404.5 + 6.7 * dt AS g10, -1450.7 + 7.7 * dt AS g11, 4652.9 - 25.1 * dt AS h11, -2500.0 - 11.5 * dt AS g20, 2982.0 - 7.1 * dt AS g21, -2991.6 - 30.2 * dt AS h21, 1676.8 - 2.2 * dt AS g22, -734.8 - 23.9 * dt AS h22 FROM c),
+f AS (SELECT c_custkey, lat, gc,
+  r3 * (-s * g10 + c * (g11 * cl + h11 * sl)) + r4 * (-3 * s * c * g20 + sqrt(3) * (c * c - s * s) * (g21 * cl + h21 * sl) + sqrt(3) * s * c * (g22 * c2 + h22 * s2)) AS x,
+  r3 * (g11 * sl - h11 * cl) + r4 * (sqrt(3) * c * (g21 * sl - h21 * cl) + sqrt(3) * s * (g22 * s2 - h22 * c2)) AS east,
+  -2 * r3 * (c * g10 + s * (g11 * cl + h11 * sl)) - 3 * r4 * ((3 * c * c - 1) / 2 * g20 + sqrt(3) * s * c * (g21 * cl + h21 * sl) + sqrt(3) / 2 * s * s * (g22 * c2 + h22 * s2)) AS z FROM k),
+b AS (SELECT c_custkey, x * cos(gc - lat) - z * sin(gc - lat) AS north, east, x * sin(gc - lat) + z * cos(gc - lat) AS down FROM f)
+SELECT c_custkey, round(north, 3) AS north, round(east, 3) AS east, round(down, 3) AS down, round(sqrt(north * north + east * east + down * down), 3) AS strength, round(sqrt(north * north + east * east), 3) AS horizontal,
+  round(degrees(atan2(east, north)), 3) AS declination, round(degrees(atan2(down, sqrt(north * north + east * east))), 3) AS inclination FROM b
+"""
+
+
+def suite_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Mode, event and sources of the whole suite over drives with fixes, speeds and pressure from events."""
+    df = drives(spark, d).withColumn("pressure", F.when(F.col("seq") % 3 == 0, 101_325.0 - F.col("acc_x") * 100))
+    return rounded(suite.suite_track(df, {"dwell_s": 0.2, "gap_s": 0.5, "coast_s": 0.2, "fresh_s": 0.05, "least_hz": 5.0}, level={"window_s": 0.06}))
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity, mode_track, stillness_track)
-WITHOUT_SQL = (late_fix_track,)
+WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements)
+WITHOUT_SQL = (late_fix_track, suite_modes)
