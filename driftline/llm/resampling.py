@@ -48,12 +48,14 @@ def ngram_buckets(texts: DataFrame, keys: list[str], orders: int = 1, buckets: i
     by_text = W.partitionBy(*keys, "copy").orderBy("pos")
     # Rows that repeat all keys are told apart by a number among equal positions; both windows live on one shuffle by the keys.
     at = at.repartition(*keys).withColumn("copy", F.row_number().over(W.partitionBy(*keys, "pos").orderBy("pos")))
+    next_words = [f"next_{k}" for k in range(1, orders)]
+    led = at.select(*keys, first.alias("first"), "word", *(F.lead("word", k).over(by_text).alias(c) for k, c in enumerate(next_words, 1)))
     grams, gram = [F.struct(F.lit(1).alias("words"), F.col("word").alias("gram"))], F.col("word")
-    for k in range(1, orders):
-        gram = F.concat(gram, F.lit(" "), F.lead("word", k).over(by_text))
-        grams.append(F.struct(F.lit(k + 1).alias("words"), gram.alias("gram")))
-    each = at.select(*keys, first.alias("first"), F.explode(F.array(*grams)).alias("g"))
-    return each.where("g.words = 1 OR g.gram IS NOT NULL").select(*keys, (F.col("first") & (F.col("g.words") == 1)).alias("first"), F.col("g.words").alias("words"), hashed(F.col("g.gram")).alias("bucket"))
+    for k, c in enumerate(next_words, 2):
+        gram = F.concat(gram, F.lit(" "), F.col(c))  # null where the text ends before
+        grams.append(F.struct(F.lit(k).alias("words"), gram.alias("gram")))
+    each = led.select(*keys, "first", F.explode(F.array(*grams)).alias("g")).where("g.words = 1 OR g.gram IS NOT NULL")
+    return each.select(*keys, (F.col("first") & (F.col("g.words") == 1)).alias("first"), F.col("g.words").alias("words"), hashed(F.col("g.gram")).alias("bucket"))
 
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:

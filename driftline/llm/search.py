@@ -189,6 +189,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     found = None
     for block in range(blocks):
         rows = sorted(set(map(tuple, asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())), key=lambda r: (str(r[0]), r[1]))
+        if not rows:
+            continue
         known = Vocabulary([text for _, text in rows])
         index = stored(shards(own, spark.sparkContext.broadcast(known)))
         sums = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
@@ -228,6 +230,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         names = spark.createDataFrame([(n, r[0]) for n, r in enumerate(rows)], T.StructType([T.StructField("item", T.IntegerType()), asked.schema["item_id"]]))
         listed = listed.join(F.broadcast(names), "item").select("item_id", "rank", F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "score")
         found = listed if found is None else found.unionByName(listed)
+    if found is None:  # no item at all
+        found = spark.createDataFrame([], T.StructType([asked.schema["item_id"], *T._parse_datatype_string("rank int, doc_id long, score long").fields]))
     return found
 
 
