@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import magnetics
 from driftline.functions.geo import A, E2
 from driftline.functions.magnetics import RADIUS
-from driftline.operators import align, inertial, modes, poses, stillness, suite, thinning
+from driftline.operators import align, faults, inertial, modes, poses, scoring, stillness, suite, thinning
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -220,6 +220,65 @@ def suite_modes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(suite.suite_track(df, {"dwell_s": 0.2, "gap_s": 0.5, "coast_s": 0.2, "fresh_s": 0.05, "least_hz": 5.0}, level={"window_s": 0.06}))
 
 
+def _axes(df: DataFrame) -> DataFrame:
+    """Values as positions, velocities and angles."""
+    x = F.col("value")
+    return df.select("recording_id", "t_us", "seq", x.alias("n"), (x / 2).alias("e"), (-x / 4).alias("d"), (x * 1e-5).alias("vn"), (x * 2e-5).alias("ve"), (x * 0.0).alias("vd"), (x * 0.02).alias("roll"), (x * 0.01).alias("pitch"), (x * 0.05).alias("yaw"))
+
+
+def track_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and the like as truth of a track of views, scored after two days, against limits."""
+    found = scoring.score(scoring.errors(_axes(_base(spark, d)), _axes(_aux(spark, d)), 12 * HOUR, 1000), 2.0 * DAY)
+    limits = events(spark, d).select("recording_id").distinct().join(F.broadcast(spark.createDataFrame([("pos_rms_m", 60.0), ("yaw_bias_deg", 20.0), ("no_such", 1.0)], "metric string, limit double")))
+    return rounded(scoring.judged(found, limits))
+
+
+_OFF = "CASE WHEN x.t_us - p.t_us > 0 AND x.t_us - p.t_us <= {span} THEN (x.t_us - t.t_us) / (x.t_us - p.t_us) ELSE 0 END"
+TRACK_SCORES = f"""
+WITH {BASE}, t AS (SELECT recording_id, t_us - 1000 AS t_us, seq, value FROM aux),
+m AS (SELECT t.recording_id, t.t_us, t.value AS b, x.value AS x, (x.t_us - t.t_us) / 1e6 AS age, p.value AS p,
+    {_OFF.format(span=12 * HOUR)} AS back FROM t
+  ASOF JOIN base x ON t.recording_id = x.recording_id AND t.t_us <= x.t_us ASOF LEFT JOIN base p ON t.recording_id = p.recording_id AND t.t_us > p.t_us),
+w AS (SELECT *, x - x * 1e-5 * age - b AS n, x / 2 - x * 2e-5 * age - b / 2 AS e, -x / 4 + b / 4 AS d, 0.05 * (p - x) AS step, (t_us - min(t_us) OVER (PARTITION BY recording_id)) / 1e6 AS s FROM m),
+y AS (SELECT *, x * 0.05 + back * coalesce(step - 2 * pi() * floor((step + pi()) / (2 * pi())), 0) - b * 0.05 AS raw FROM w WHERE s >= {2 * DAY}),
+z AS (SELECT recording_id, sqrt(avg(n * n + e * e + d * d)) AS pos_rms_m, abs(avg(degrees(raw - 2 * pi() * floor((raw + pi()) / (2 * pi()))))) AS yaw_bias_deg FROM y GROUP BY 1),
+v AS (SELECT recording_id, 'pos_rms_m' AS metric, pos_rms_m AS value FROM z UNION ALL SELECT recording_id, 'yaw_bias_deg', yaw_bias_deg FROM z),
+l AS (SELECT * FROM (SELECT DISTINCT recording_id FROM ev), (VALUES ('pos_rms_m', 60.0::DOUBLE), ('yaw_bias_deg', 20.0), ('no_such', 1.0)) q(metric, "limit"))
+SELECT recording_id, metric, round(value, 6) AS value, "limit", coalesce(value <= "limit", false) AS passed FROM l LEFT JOIN v USING (recording_id, metric)
+"""
+
+
+def _fixes(spark: SparkSession, d: str) -> DataFrame:
+    """Events with an hour as a second, so that a month is twelve minutes."""
+    return events(spark, d).select("recording_id", F.floor(F.col("t_us") / 3600).cast("long").alias("t_us"), "seq", (F.col("value") * 0.01).alias("vn"), F.lit(0.0).alias("ve"))
+
+
+def fault_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Fixes that each event of the faults with fixed times changes."""
+    fixes = _fixes(spark, d)
+    out = None
+    for kind in ("spike", "vel_spike", "step", "big_step", "degraded"):
+        own = faults.fault_events(faults.fault_mods(fixes, fixes, kind)).select("recording_id", "kind", "event", "t0_us", "t1_us", "fixes")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+FAULT_COUNTS = f"""
+WITH {EVENTS}, f AS (SELECT recording_id, CAST(floor(t_us / 3600) AS BIGINT) AS t_us, seq, value * 0.01 AS vn FROM ev),
+m AS (SELECT recording_id, coalesce(min(t_us) FILTER (WHERE abs(vn) > {faults.STILL_MPS}), min(t_us)) AS from_us, max(t_us) AS t1 FROM f GROUP BY 1),
+o AS (SELECT f.*, (f.t_us - from_us) / 1e6 - {faults.AFTER_S} AS s, lag((f.t_us - from_us) / 1e6 - {faults.AFTER_S}) OVER (PARTITION BY f.recording_id ORDER BY f.t_us, seq) AS before, (t1 - from_us) / 1e6 - {faults.AFTER_S + faults.TAIL_S} AS stop FROM f JOIN m USING (recording_id)),
+k AS (
+  SELECT recording_id, t_us, kind, CAST(floor(s / period) AS BIGINT) AS event, stop, period FROM o, (VALUES ('step', {faults.STEP_PERIOD_S}, {faults.STEP_S}), ('big_step', {faults.STEP_PERIOD_S}, {faults.STEP_S}), ('degraded', {faults.PERIOD_S}, {faults.DEGRADED_S})) q(kind, period, length)
+  WHERE s >= 0 AND s - floor(s / period) * period < length
+  UNION ALL
+  SELECT recording_id, t_us, kind, max(event), stop, {faults.PERIOD_S} FROM (
+    SELECT o.recording_id, o.t_us, o.stop, n.event, n.event * {faults.PERIOD_S} + dt AS x, s, before FROM o, (SELECT unnest(range(0, 12)) AS event) n, (VALUES (0.0), (3.0), (6.0)) q(dt) WHERE s >= 0
+  ), (VALUES ('spike'), ('vel_spike')) z(kind) WHERE x <= s AND coalesce(before < x, true) AND event * {faults.PERIOD_S} < stop GROUP BY ALL
+)
+SELECT recording_id, kind, event, min(t_us) AS t0_us, max(t_us) AS t1_us, count(DISTINCT t_us) AS fixes FROM k WHERE event * period < stop GROUP BY 1, 2, 3
+"""
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements)
+WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts)
 WITHOUT_SQL = (late_fix_track, suite_modes)

@@ -196,6 +196,54 @@ def imu_status(status: Column) -> tuple[Column, Column]:
     return F.when(low >= 1024, low - 2048).otherwise(low), F.shiftright(status, 11)
 
 
+def imu_sample(payload: Column) -> dict[str, Column]:
+    """An inertial sample (class 0x40, id 0x01, 38 bytes), in m/s2 and rad/s."""
+    whole = F.when(F.length(payload) == 38, payload)
+    status = field(whole, 32, 4)
+    temperature, flags = imu_status(status)
+    out = {"t_us": field(whole, 0, 8)} | {f"acc_{a}": real(whole, 8 + 4 * k) * 9.80665 for k, a in enumerate("xyz")}
+    return out | {f"gyr_{a}": real(whole, 20 + 4 * k) * 0.017453292519943295 for k, a in enumerate("xyz")} | {"status_temp": temperature, "status_flags": flags, "seq16": field(whole, 36, 2)}
+
+
+def mag_sample(payload: Column) -> dict[str, Column]:
+    """A magnetometer sample (class 0x40, id 0x06, 24 bytes), in uT and degrees Celsius."""
+    whole = F.when(F.length(payload) == 24, payload)
+    return {"t_us": field(whole, 0, 8)} | {f"mag_{a}": real(whole, 8 + 4 * k) for k, a in enumerate("xyz")} | {"temp_c": real(whole, 20)}
+
+
+#: Bytes of a value by bits 28 to 30 of its key; -1: the bytes stand before it.
+WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: -1}
+
+
+def value_items(payload: Column) -> dict[str, Column]:
+    """Items of keys and values (class 0x40, id 0x0A): layer, more, and items, an array of key and value; null items where the payload is malformed.
+
+    A walk over the payload as a fold: each step reads a key of 4 bytes, from it or from 2 bytes more the width, and the value.
+    """
+    hexed, n = F.hex(payload), F.length(payload)
+    byte = lambda at, size: F.substring(hexed, at * 2 + 1, size * 2)
+    number = lambda at, size: F.conv(F.concat(*(byte(at + k, F.lit(1)) for k in reversed(range(size)))), 16, 10).cast("long")
+    kinds = F.create_map(*(F.lit(x) for pair in WIDTHS.items() for x in pair))
+
+    def step(s: Column, _: Column) -> Column:
+        here, key = s["at"], number(s["at"], 4)
+        # A kind that is not in the table has its width before the value, too.
+        kind = F.coalesce(F.element_at(kinds, F.shiftright(key, 28).bitwiseAND(7).cast("int")), F.lit(-1))
+        head = F.when(kind < 0, 6).otherwise(4)
+        width = F.when(kind < 0, number(here + 4, 2).cast("int")).otherwise(kind)
+        fits = (here + head <= n) & (here + head + width <= n)
+        item = F.struct(key.alias("key"), F.unhex(byte(here + head, width)).alias("value"))
+        done = F.struct((here + head + width).cast("int").alias("at"), F.concat(s["items"], F.array(item)).alias("items"), F.lit(True).alias("ok"))
+        bad = F.struct(n.cast("int").alias("at"), s["items"].alias("items"), F.lit(False).alias("ok"))
+        return F.when((here >= n) | ~s["ok"], s).when(fits, done).otherwise(bad)
+
+    start = F.struct(F.lit(4).alias("at"), F.array().cast("array<struct<key:bigint,value:binary>>").alias("items"), F.lit(True).alias("ok"))
+    # No item takes fewer than 5 bytes.
+    walked = F.aggregate(F.sequence(F.lit(0), F.greatest((n - 4) / 5, F.lit(0.0)).cast("int")), start, step)
+    whole = n >= 4
+    return {"layer": F.when(whole, field(payload, 1, 1)), "more": F.when(whole, field(payload, 2, 1) > 0), "items": F.when(whole & walked["ok"], walked["items"])}
+
+
 def datagrams(frames: list[bytes], most: int = 1400) -> list[bytes]:
     """Frames packed one after another into datagrams of at most `most` bytes."""
     out: list[bytes] = []
