@@ -9,19 +9,17 @@ is an empty text.
 from __future__ import annotations
 
 import gc
-import os
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from driftline.shipping import shipped as shipped
+
 #: White space between words, as bytes.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
@@ -29,15 +27,6 @@ IS_SPACE[list(SPACE)] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shipped(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package if it is not installed."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep) + os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    if ROOT not in sys.path:
-        sys.path.insert(0, ROOT)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
