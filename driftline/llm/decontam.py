@@ -98,8 +98,12 @@ class Index:
         out = []
         for n, ps in by_size.items():
             span = min(n, len(h)) - g + 1  # shingles of a window
-            at = np.unique((np.array(ps)[:, None] - np.arange(span)).ravel())
-            at = at[(at >= 0) & (at <= len(shingles) - span)]
+            # Windows that hold one of the shingles, as ranges that are opened and closed.
+            last, ps = len(shingles) - span, np.array(ps)
+            change = np.zeros(last + 2, np.int32)
+            np.add.at(change, np.clip(ps - span + 1, 0, last + 1), 1)
+            np.add.at(change, np.minimum(ps, last) + 1, -1)
+            at = np.flatnonzero(np.cumsum(change)[: last + 1] > 0)
             if not len(at):
                 continue
             items = np.flatnonzero(self.sizes == n)
