@@ -184,17 +184,25 @@ def find(docs: DataFrame) -> DataFrame:
     for g, threshold in thresholds.items():
         added = added | ((F.col("gen") == g) & (score >= threshold))
     span = F.struct(kind.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("base").alias("base"), score.alias("score"))
-    both = spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("sure"), F.array_sort(F.collect_list(F.when(added & ~F.col("base"), span))).alias("more"))
+    # What meets a base span goes: one that began before and reaches over, or one that begins inside. Both are running
+    # values over the spans in order, as is where a run of spans that meet begins; only inside a run are they compared.
+    text = W.partitionBy("doc_id", "th")
+    rows = spans.select("doc_id", "th", F.col("start").alias("a"), F.col("end").alias("z"), "base", (added & ~F.col("base")).alias("more"), span.alias("span"))
+    reach = F.max(F.when(F.col("base"), F.col("z"))).over(text.orderBy("a").rangeBetween(W.unboundedPreceding, W.currentRow))
+    follows = F.min(F.when(F.col("base"), F.col("a"))).over(text.orderBy(F.desc("a")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    blocked = F.coalesce(reach > F.col("a"), F.lit(False)) | F.coalesce(follows < F.col("z"), F.lit(False))
+    rows = rows.withColumn("free", F.coalesce(F.col("more"), F.lit(False)) & ~blocked)
+    in_order = text.orderBy("a", "z", "span.k")
+    before = F.max(F.when(F.col("free"), F.col("z"))).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", F.col("free") & F.coalesce(F.col("a") >= before, F.lit(True)))
+    rows = rows.withColumn("run", F.when(F.col("free"), F.sum(F.col("opens").cast("long")).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))).otherwise(0))
     meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter("more", lambda a: ~F.exists("sure", lambda b: meet(a, b)))
-    both = both.withColumn("free", F.when(F.size("sure") > 0, free).otherwise(F.col("more")))
-    both = both.withColumn("order", F.array_sort(F.transform("free", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end")))))
-    neighbours = F.zip_with(F.slice("order", 2, F.size("order")), F.slice("order", 1, F.greatest(F.size("order") - 1, F.lit(0))), lambda b, a: b["start"] < a["end"])
-    ranked = F.array_sort(F.transform("free", lambda a: F.struct((-a["score"]).alias("rank"), a["start"].alias("start"), a["k"].alias("k"), a["end"].alias("end"), a.alias("span"))))
-    both = both.withColumn("ranked", F.when(F.exists(neighbours, lambda x: x), ranked))
-    greedy = F.aggregate("ranked", F.slice("free", 1, 0), lambda taken, a: F.when(F.exists(taken, lambda b: meet(a, b)), taken).otherwise(F.concat(taken, F.array(a["span"]))))
-    chosen = F.when(F.col("ranked").isNotNull(), greedy).otherwise(F.col("free"))
-    out = both.select("doc_id", "th", F.array_sort(F.concat("sure", chosen)).alias("found"))
+    runs = rows.groupBy("doc_id", "th", "run").agg(F.collect_list(F.when(F.col("base"), F.col("span"))).alias("sure"), F.collect_list(F.when(F.col("free"), F.col("span"))).alias("ones"))
+    ranked = F.array_sort(F.transform("ones", lambda a: F.struct((-a["score"]).alias("rank"), a["start"].alias("start"), a["k"].alias("k"), a["end"].alias("end"), a.alias("span"))))
+    runs = runs.withColumn("ranked", F.when(F.size("ones") > 1, ranked))
+    greedy = F.aggregate("ranked", F.slice("ones", 1, 0), lambda taken, a: F.when(F.exists(taken, lambda b: meet(a, b)), taken).otherwise(F.concat(taken, F.array(a["span"]))))
+    runs = runs.withColumn("kept", F.concat("sure", F.when(F.col("ranked").isNotNull(), greedy).otherwise(F.col("ones"))))
+    out = runs.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("found"))
     if repeated:
         out = own.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).join(out, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
     named = F.transform("found", lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
