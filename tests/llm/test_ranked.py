@@ -183,3 +183,52 @@ def test_terms_of_equal_hashes_are_told_apart(monkeypatch):
 def test_texts_do_not_run_into_each_other():
     data, starts, ends, first = search.words_of(np.frombuffer("abCdé".encode(), np.uint8), np.array([0, 2, 2, 6]))
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["ab", "cdé"] and first.tolist() == [0, 1, 1, 2]
+
+
+# ---- long texts, and workers that only have what Spark ships
+
+
+def test_spans_of_a_long_text_take_linear_work(spark):
+    from driftline.llm import pii
+
+    piece = "Mail joe@example.com or write to jane (at) example.org. "
+    rows = [(0, piece * 4000), *((i, f"contact me at user{i}@example.com or jo{i} (at) example.org") for i in range(1, 39))]
+    (long,) = [r for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id == 0]
+    assert len(long.found) == 8000  # each plain and each spelled-out address
+    ends = [(s.start, s.end) for s in long.found]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_windows_of_an_item_in_a_text_that_repeats_it():
+    from driftline.llm.decontam import Index
+
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(10_000)}" for _ in range(400))
+    pair = " ".join(item.split()[:6])
+    index = Index([1], [item])
+    text = (f"{pair} and " * 40_000).encode()  # 280,000 words: the product of hits and the item's words would be 32 million
+    assert list(index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))) == []
+    both = f"{pair} and {item} {pair}".encode()
+    (found,) = index.search(np.frombuffer(both, np.uint8), np.array([0, len(both)]))
+    assert found[1] == 0 and found[2] == 1.0 and found[3] == 7
+
+
+def test_workers_need_no_path(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from driftline.llm import search
+docs, items = spark.createDataFrame([(1, "two words")], "doc_id long, text string"), spark.createDataFrame([(1, "words")], "item_id long, text string")
+print("FOUND", [tuple(r)[:3] for r in search.search(docs, items).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND [(1, 1, 1)]" in done.stdout, done.stderr[-2000:]
