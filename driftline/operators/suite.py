@@ -274,7 +274,7 @@ class Suite:
         mode = self.gate.mode(t_us, self.ars is not None or self.ahrs is not None)
         ready = self.ins is not None and mode >= COASTING
         out = {"mode": mode, "event": event, "attitude_source": None, "height_source": None, "ellipsoid_source": None}
-        out |= dict.fromkeys(("roll", "pitch", "yaw", "height", "ellipsoid", "n", "e", "d"), np.nan)
+        out |= dict.fromkeys(("roll", "pitch", "yaw", "height", "ellipsoid", "n", "e", "d", "vn", "ve", "vd"), np.nan)
         source = "ins" if ready else "ahrs" if self.ahrs else "ars" if self.ars else None
         if source:
             out["roll"], out["pitch"], out["yaw"] = getattr(self, source).rpy()
@@ -282,6 +282,7 @@ class Suite:
             out["attitude_source"], out["yaw"] = ("ars_carried", held[0]) if held else (source, out["yaw"])
         if ready:
             out["n"], out["e"], out["d"] = self.ins.p + np.array([0, 0, self.shift])
+            out["vn"], out["ve"], out["vd"] = self.ins.v
         if ready and mode == FULL:
             out["height_source"], out["height"] = "ins", -self.ins.p[2]
         elif self.vertical is not None:
@@ -297,7 +298,7 @@ class Suite:
         return out
 
 
-OUT = "mode int, event string, attitude_source string, height_source string, ellipsoid_source string, roll double, pitch double, yaw double, height double, ellipsoid double, n double, e double, d double"
+OUT = "mode int, event string, attitude_source string, height_source string, ellipsoid_source string, roll double, pitch double, yaw double, height double, ellipsoid double, n double, e double, d double, vn double, ve double, vd double"
 
 
 def epochs(frame: pd.DataFrame):

@@ -148,6 +148,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
         m(47, 80, 0.01).alias("gnss_hor_mps"), m(2, 5, 0.1).alias("gnss_max_hor_mps"), m(53, 40, 0.05).alias("baro_ratio"), m(59, 3, 1).alias("roll_exceeded"), m(61, 2, 1).alias("pitch_exceeded"), m(67, 4, 1).alias("yaw_exceeded"),
         m(71, 3, 1).alias("pos_exceeded"), (k % 50 == 0).alias("overconfident"), m(73, 100, 1).alias("fixes_seen"), (m(73, 100, 1) * 0.7).cast("long").alias("fixes_used"), m(3, 10, 1).alias("fixes_rejected"), m(5, 20, 1).alias("downweighted"),
         F.when(k % 3 == 0, "score_unset").when(k % 3 == 1, "differ").otherwise("same").alias("lever_arms"), m(79, 30, 0.7).alias("baro_offset_span"),
+        F.when(k % 2 == 0, "gnss").otherwise("none").alias("aiding_mode"), (k % 3 * 4.0).alias("satellites"), F.col("c_custkey").alias("least_satellites"),
     )
 
 
@@ -159,8 +160,9 @@ _METRICS = """m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 > 0 THEN (c_c
 g AS (
   SELECT k, CASE WHEN gap >= 0.5 THEN CASE WHEN gap_at - gap < 2 THEN '2imu_late_start' ELSE '2imu_dropout' END WHEN gap >= 0.1 THEN '1imu_minor_dropout' WHEN gap IS NOT NULL THEN '0imu_continuous' END AS r FROM m
   UNION ALL SELECT k, CASE WHEN spread > 0.25 THEN '2imu_rate_varies' WHEN spread > 0.05 THEN '1imu_rate_wobbles' END FROM m
-  UNION ALL SELECT k, CASE WHEN gn < 2 THEN '1gnss_few_fixes' WHEN ggap >= 10 THEN '3gnss_outage' WHEN ggap >= 2 THEN '2gnss_gap' ELSE '0gnss_coverage' END FROM m
+  UNION ALL SELECT k, CASE WHEN gn < 2 THEN CASE WHEN k % 2 = 0 THEN '1gnss_few_fixes' END WHEN ggap >= 10 THEN '3gnss_outage' WHEN ggap >= 2 THEN '2gnss_gap' ELSE '0gnss_coverage' END FROM m
   UNION ALL SELECT k, CASE WHEN lat < -50 OR lat > 2000 THEN '2latency_implausible' WHEN lat - delay > 20 THEN '2delay_below_latency' ELSE '0latency_covered' END FROM m WHERE lat IS NOT NULL
+  UNION ALL SELECT k, '1satellites' FROM m WHERE k % 3 > 0
   UNION ALL SELECT k, CASE jam WHEN 0 THEN '0no_jamming' ELSE '2jamming' END FROM m
   UNION ALL SELECT k, CASE spoof WHEN 0 THEN '0no_spoofing' ELSE '2spoofing' END FROM m WHERE spoof IS NOT NULL
   UNION ALL SELECT k, CASE WHEN bl THEN '1gyro_band_limited' WHEN gyr > 100 THEN '2gyro_noise_optimistic' WHEN gyr < 1 THEN '0gyro_noise_conservative' ELSE '0gyro_noise' END FROM m

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import magnetics
 from driftline.functions.geo import A, E2
 from driftline.functions.magnetics import RADIUS
-from driftline.operators import align, faults, inertial, modes, poses, scoring, stillness, suite, thinning
+from driftline.operators import align, diagnosis, doctor, faults, inertial, modes, poses, replay, scoring, stillness, suite, thinning
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -279,6 +279,66 @@ SELECT recording_id, kind, event, min(t_us) AS t0_us, max(t_us) AS t1_us, count(
 """
 
 
+def _streams(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Views as inertial samples, clicks as pressures, purchases as speeds, signups as fixes."""
+    e, x = events(spark, d), F.col("value")
+    own = lambda kind: e.where(F.col("stream") == kind)
+    zero = {c: F.lit(0.0) for c in ("gyr_y", "gyr_z", "acc_x", "acc_y")}
+    fix = {"lat_deg": x / 10, "lon_deg": x / 5, "h_m": x, "num_sv": F.lit(7), "vel_ok": F.lit(1)} | dict.fromkeys(("vn", "ve", "vd", "p_nn", "p_ee", "p_dd", "v_nn", "v_ee", "v_dd"), x * 0.01) | dict.fromkeys(("jamming", "spoofing", "sig_auth", "nav_auth"), F.lit(0))
+    return {"imu": own("view").withColumns({"gyr_x": x, "acc_z": -x, **zero}), "baro": own("click").withColumn("pressure_pa", x * 1000), "speed": own("purchase").withColumns({"speed_mps": x, "age_us": F.col("seq") % 5 * 1000}), "gnss": own("signup").withColumns(fix)}
+
+
+def joined_streams(spark: SparkSession, d: str) -> DataFrame:
+    """What each sample takes from two other streams, with its age."""
+    s = _streams(spark, d)
+    out = replay.joined({k: s[k] for k in ("imu", "baro", "speed")})
+    return rounded(out.select("recording_id", "t_us", "seq", F.col("baro.pressure_pa").alias("pressure_pa"), F.col("baro.age_us").alias("pressure_age_us"), F.col("speed.speed_mps").alias("speed_mps"), F.col("speed.age_us").alias("speed_age_us")))
+
+
+_MET = """{name} AS (
+  SELECT * FROM (SELECT a.recording_id, a.t_us AS at, a.seq AS s, a.value, b.t_us, row_number() OVER (PARTITION BY a.recording_id, b.t_us ORDER BY a.t_us DESC, a.seq DESC) AS k
+    FROM (SELECT * FROM ev WHERE stream = '{kind}') a ASOF JOIN (SELECT DISTINCT recording_id, t_us FROM ev WHERE stream = 'view') b ON a.recording_id = b.recording_id AND a.t_us <= b.t_us) WHERE k = 1
+)"""
+JOINED_STREAMS = f"""
+WITH {EVENTS}, i AS (SELECT *, row_number() OVER (PARTITION BY recording_id, t_us ORDER BY seq) AS r FROM ev WHERE stream = 'view'), {_MET.format(name="p", kind="click")}, {_MET.format(name="v", kind="purchase")}
+SELECT i.recording_id, i.t_us, i.seq, round(p.value * 1000, 6) AS pressure_pa, i.t_us - p.at AS pressure_age_us, round(v.value, 6) AS speed_mps, i.t_us - v.at + v.s % 5 * 1000 AS speed_age_us
+FROM i LEFT JOIN p ON p.recording_id = i.recording_id AND p.t_us = i.t_us AND r = 1 LEFT JOIN v ON v.recording_id = i.recording_id AND v.t_us = i.t_us AND r = 1
+"""
+
+
+def _stream_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return diagnosis.metrics(_streams(spark, d), {"aiding": "gnss", "gnss": {"delay_ms": 20.0}}, gyr_psd=1e7, max_gap_us=48 * HOUR, bucket_s=1.0 * DAY)
+
+
+def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of findings from streams."""
+    return rounded(_stream_metrics(spark, d).select("recording_id", "imu_max_gap", "imu_max_gap_at", "imu_rate_spread", "gyr_noise_ratio", "gyr_band_limited", "gravity_dev", "gnss_n", "gnss_max_gap", "gnss_hor_mps", "satellites", "jamming_bad"))
+
+
+STREAM_METRICS = f"""
+WITH {EVENTS}, u AS (SELECT *, lag(t_us) OVER w AS p FROM ev WINDOW w AS (PARTITION BY recording_id, stream ORDER BY t_us, seq)),
+s AS (SELECT recording_id, stream, count(*) AS n, min(t_us) AS t0, max(t_us) AS t1, max(t_us - p) AS gap, arg_max(t_us, (t_us - p, -t_us)) FILTER (WHERE p IS NOT NULL) AS at, avg(value) AS m FROM u GROUP BY 1, 2),
+b AS (SELECT recording_id, CAST(trunc((t_us - min(t_us) OVER (PARTITION BY recording_id)) / 1e6 / {DAY}.0) AS BIGINT) AS bucket FROM ev WHERE stream = 'view'),
+c AS (SELECT recording_id, bucket, count(*) AS n FROM b GROUP BY 1, 2), e AS (SELECT recording_id, unnest(generate_series(0, max(bucket))) AS bucket, max(bucket) AS last FROM c GROUP BY recording_id),
+h AS (SELECT recording_id, coalesce(n, 0) / {DAY}.0 AS hz, row_number() OVER (PARTITION BY recording_id ORDER BY coalesce(n, 0)) AS k, count(*) OVER (PARTITION BY recording_id) AS m FROM e LEFT JOIN c USING (recording_id, bucket) WHERE bucket < last OR last < 2),
+r AS (SELECT recording_id, CASE WHEN max(hz) FILTER (WHERE k = m // 2 + 1) > 0 THEN (max(hz) - min(hz)) / max(hz) FILTER (WHERE k = m // 2 + 1) ELSE 0 END AS spread FROM h GROUP BY 1),
+l AS (SELECT recording_id, value AS v0, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(value, 3) OVER w AS v3, t_us - lag(t_us, 1) OVER w AS g0, lag(t_us, 1) OVER w - lag(t_us, 2) OVER w AS g1, lag(t_us, 2) OVER w - lag(t_us, 3) OVER w AS g2
+  FROM ev WHERE stream = 'view' WINDOW w AS (PARTITION BY recording_id ORDER BY t_us, seq)),
+x AS (SELECT recording_id, g0 > 0 AND g0 < {48 * HOUR} AND g1 > 0 AND g1 < {48 * HOUR} AS two, g2 > 0 AND g2 < {48 * HOUR} AS three, v0 - 2 * v1 + v2 AS d2, v0 - 3 * v1 + 3 * v2 - v3 AS d3 FROM l),
+g AS (SELECT recording_id, count(*) FILTER (WHERE two) AS n2, count(*) FILTER (WHERE two AND three) AS n3, var_pop(d2) FILTER (WHERE two) AS s2, var_pop(d3) FILTER (WHERE two AND three) AS s3 FROM x GROUP BY 1)
+SELECT i.recording_id, round(CASE WHEN i.gap > 0 THEN i.gap / 1e6 ELSE 0.0 END, 6) AS imu_max_gap, round(CASE WHEN i.gap > 0 THEN (i.at - i.t0) / 1e6 ELSE 0.0 END, 6) AS imu_max_gap_at, round(spread, 6) AS imu_rate_spread,
+  round(CASE WHEN n2 > 1 THEN s2 / 6 END / nullif(CASE WHEN i.t1 > i.t0 THEN (i.n - 1) / ((i.t1 - i.t0) / 1e6) ELSE 0 END * 1e7, 0), 6) AS gyr_noise_ratio, CASE WHEN n3 > 1 AND s2 > 0 THEN s3 / s2 < 2.5 END AS gyr_band_limited, CAST(NULL AS DOUBLE) AS gravity_dev,
+  coalesce(f.n, 0) AS gnss_n, round(CASE WHEN f.gap > 0 THEN f.gap / 1e6 WHEN f.n > 0 THEN 0.0 END, 6) AS gnss_max_gap, round(z.hor, 6) AS gnss_hor_mps, CASE WHEN f.n > 0 THEN 7.0 END AS satellites, CAST(NULL AS BIGINT) AS jamming_bad
+FROM s i JOIN r USING (recording_id) JOIN g USING (recording_id) LEFT JOIN s f ON f.recording_id = i.recording_id AND f.stream = 'signup'
+LEFT JOIN (SELECT recording_id, avg(sqrt(value * 0.01)) AS hor FROM ev WHERE stream = 'signup' GROUP BY 1) z ON z.recording_id = i.recording_id WHERE i.stream = 'view'
+"""
+
+
+def stream_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on the streams, with their numbers."""
+    return doctor.told(_stream_metrics(spark, d), ["recording_id"])
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts)
-WITHOUT_SQL = (late_fix_track, suite_modes)
+WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts, joined_streams, stream_metrics)
+WITHOUT_SQL = (late_fix_track, suite_modes, stream_findings)

@@ -267,3 +267,81 @@ def test_a_folder_of_recordings_is_one_source(spark, tmp_path):
     assert sorted(r.t_us for r in out["ref"].collect()) == [-5_030_000, 970_000]
     with pytest.raises(ValueError):
         recordings.read_recordings(spark, str(tmp_path / "one"))
+
+
+# ---- from a folder to scores and findings
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    """A recording of a circle with all its streams, fixes 0.1 s late, as files."""
+    from tests.test_inertial import drive
+    from driftline.operators import inertial
+
+    df, pos, vel, yaw = drive(40, rate=50)
+    root = tmp_path_factory.mktemp("dataset")
+    d = root / "circle"
+    d.mkdir()
+    lat0, h0 = 0.8, 300.0
+    n = 6378137.0 / math.sqrt(1 - 0.00669437999014 * math.sin(lat0) ** 2)
+    m = n * (1 - 0.00669437999014) / (1 - 0.00669437999014 * math.sin(lat0) ** 2)
+    place = lambda p: (float(math.degrees(lat0 + p[0] / (m + h0))), float(math.degrees(0.2 + p[1] / ((n + h0) * math.cos(lat0)))), float(h0 - p[2]))
+    (d / "imu.csv").write_text("".join(",".join(map(repr, [int(r.t_us), r.gyr_x, r.gyr_y, r.gyr_z, r.acc_x, r.acc_y, r.acc_z])) + "\n" for r in df.itertuples()))
+    rows, truth, baro, heading = [], [], [], []
+    for i, r in enumerate(df.itertuples()):
+        at = ",".join(map(repr, place(pos[i])))
+        truth.append(f"{r.t_us},{at},0.0,0.0,{math.degrees(yaw[i])},{vel[i][0]},{vel[i][1]},0.0\n")
+        if i % 50 == 0:
+            fix = ",".join(map(repr, place([getattr(r, f) for f in inertial.FIX])))
+            rows.append(f"{r.t_us + 100_000},{fix},0.25,0,0,0.25,0,0.25,{r.vel_n},{r.vel_e},{r.vel_d},0.0025,0,0,0.0025,0,0.0025,1\n")
+            heading.append(f"{r.t_us},{math.degrees(yaw[i])},2.0,2,1.0,0\n")
+        if i % 10 == 0:
+            baro.append(f"{r.t_us},{101325 * (1 - h0 / 44330) ** 5.255!r}\n")
+    for name, lines in (("gnss", rows), ("ref", truth), ("baro", baro), ("heading", heading)):
+        (d / f"{name}.csv").write_text("".join(lines))
+    (d / "config.yaml").write_text("aiding: gnss\ngnss:\n  delay_ms: 100\nscore:\n  warmup_sec: 8.0\n  lim_pos_rms_m: 1.0\n  lim_yaw_bias_deg: 3.0\n  lim_att_std_deg: 0.001\n")
+    return str(root)
+
+
+def test_a_folder_goes_through_to_its_limits(spark, folder):
+    pytest.importorskip("yaml")
+    from driftline.operators import replay
+
+    config = recordings.settings(spark, f"{folder}/circle")
+    streams = recordings.read_recordings(spark, folder, config=config)
+    assert set(streams) == {"imu", "gnss", "ref", "baro", "heading"}
+    track, scores = replay.replayed(streams, config)
+    limits = spark.createDataFrame(recordings.limits(config, "circle"), "recording_id string, metric string, limit double")
+    out = {r.metric: r for r in scoring.judged(scores, limits).collect()}
+    assert out["pos_rms_m"].passed and 0.1 < out["pos_rms_m"].value < 1.0 and out["yaw_bias_deg"].passed
+    assert not out["att_std_deg"].passed  # a limit that no filter keeps
+    late = dict(config, gnss=dict(config["gnss"], delay_ms=0.0))
+    worse = {r.metric: r.value for r in replay.replayed(recordings.read_recordings(spark, folder, config=late), late)[1].collect()}
+    assert worse["pos_rms_m"] > out["pos_rms_m"].value  # 100 ms at 5 m/s
+    assert track.count() == 2000 and track.where("mode = 3").count() > 1000
+
+
+def test_findings_of_a_folder(spark, folder):
+    pytest.importorskip("yaml")
+    from driftline.operators import diagnosis, doctor
+
+    config = recordings.settings(spark, f"{folder}/circle")
+    found = {r.rule: (r.severity, r.text) for r in doctor.told(diagnosis.metrics(recordings.read_recordings(spark, folder, config=config), config), ["recording_id"]).collect()}
+    assert found["imu_continuous"] == (0, "samples at 50 Hz without a gap over 20 ms")
+    assert found["gnss_coverage"] == (0, "40 fixes, at most 1.0 s apart")
+    assert found["gnss_sigma_unchecked"][0] == 1 and "accel_scale" not in found and "gnss_few_fixes" not in found
+    assert all(text and "null" not in text for _, text in found.values())
+
+
+def test_every_rule_with_a_text_exists():
+    from driftline.operators import doctor
+
+    rules = {r for g in doctor.GROUPS for r, *_ in g}
+    assert set(doctor.TEXTS) <= rules
+
+
+def test_findings_query_has_numbers(spark, sf_dir):
+    from driftline.plans import navigation
+
+    rows = navigation.stream_findings(spark, sf_dir).collect()
+    assert {r.rule for r in rows} >= {"imu_dropout", "gnss_sigma_unchecked"} and all("null" not in r.text for r in rows)
