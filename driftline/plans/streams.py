@@ -448,7 +448,9 @@ def tumbling_variance(spark: SparkSession, d: str) -> DataFrame:
 
 def vertical_filter(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumns({"acc": (F.col("value") - 50) * 1e-9, "height": F.when(F.col("stream") == "view", F.col("value"))})
-    return rounded(filters.vertical_filter(e, "acc", "height"))
+    # Heights here run up to 10^7 with hours between rows: six digits after the point would be past what a double holds.
+    out = rounded(filters.vertical_filter(e, "acc", "height").withColumn("h", F.round("h", 3)))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("h", "v", "bias")})  # no negative zeros
 
 
 def vertical_smoother(spark: SparkSession, d: str) -> DataFrame:
@@ -469,6 +471,30 @@ SELECT recording_id, t0 AS t0_us, t1 AS t1_us, n, round((q - s * s / n) / (n - 1
 """
 
 
+VERTICAL_FILTER = f"""
+WITH RECURSIVE {EVENTS}, r AS (SELECT recording_id, t_us, seq, (value - 50) * 1e-9 AS a, CASE WHEN stream = 'view' THEN value END AS z, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i FROM ev),
+k AS (
+  SELECT recording_id, CAST(0 AS BIGINT) AS i, t_us, seq, 0.0::DOUBLE AS h, 0.0::DOUBLE AS v, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p13, 1.0::DOUBLE AS p22, 0.0::DOUBLE AS p23, 0.01::DOUBLE AS p33 FROM r WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, t_us, seq, h + coalesce(n11 / (n11 + noise) * d, 0), v + coalesce(n12 / (n11 + noise) * d, 0), b + coalesce(n13 / (n11 + noise) * d, 0),
+    coalesce(n11 * noise / (n11 + noise), n11), coalesce(n12 * noise / (n11 + noise), n12), coalesce(n13 * noise / (n11 + noise), n13),
+    n22 - coalesce(n12 * n12 / (n11 + noise), 0), n23 - coalesce(n12 * n13 / (n11 + noise), 0), n33 - coalesce(n13 * n13 / (n11 + noise), 0)
+  FROM (
+    SELECT *, CASE WHEN d * d > 10 * (n11 + 1) THEN d * d / 10 - n11 WHEN d IS NOT NULL THEN 1 END AS noise FROM (
+      SELECT recording_id, i, t_us, seq, h + v * dt + (a + b) * dt * dt / 2 AS h, v + (a + b) * dt AS v, b, z - (h + v * dt + (a + b) * dt * dt / 2) AS d,
+        c1 + dt * c2 + dt * dt / 2 * c3 AS n11, c2 + dt * c3 AS n12, c3 AS n13, p22 + dt * p23 + dt * (p23 + dt * p33) + 1e-2 * dt AS n22, p23 + dt * p33 AS n23, p33 + 1e-6 * dt AS n33
+      FROM (
+        SELECT *, p11 + dt * p12 + dt * dt / 2 * p13 AS c1, p12 + dt * p22 + dt * dt / 2 * p23 AS c2, p13 + dt * p23 + dt * dt / 2 * p33 AS c3 FROM (
+          SELECT r.recording_id, r.i, r.t_us, r.seq, r.a, r.z, CASE WHEN k.i = 0 THEN 0 ELSE greatest(r.t_us - k.t_us, 0) / 1e6 END AS dt, k.h, k.v, k.b, k.p11, k.p12, k.p13, k.p22, k.p23, k.p33
+          FROM k JOIN r ON r.recording_id = k.recording_id AND r.i = k.i + 1)
+      )
+    )
+  )
+)
+SELECT recording_id, t_us, seq, round(h, 3) + 0e0 AS h, round(v, 6) + 0e0 AS v, round(b, 6) + 0e0 AS bias FROM k WHERE i > 0
+"""
+
+
 def doctor_findings(spark: SparkSession, d: str) -> DataFrame:
     m = gap_statistics(spark, d)
     rules = [("few_samples", 2, F.col("n") < 50), ("long_gap", 2, F.col("max_gap_s") > 3 * 86400), ("late_gap", 1, F.col("max_gap_at_s") > 0.8 * F.col("duration_s")), ("low_rate", 0, F.col("avg_hz") < 3.2e-5)]
@@ -487,6 +513,6 @@ UNION ALL SELECT recording_id, 'low_rate', 0 FROM m WHERE avg_hz < 3.2e-5
 WITH_SQL = (
     gap_statistics, bucketed_rate, difference_noise, newest_only_attach, asof_backward, nearest_join, interpolated_join, fifo_capacity, outage_cut, coast_gaps, session_split, block_decimate,
     rolling_variance, static_intervals, state_spans, restart_segments, unwrapped_angle, score_statistics, order_statistics, pooled_phase_std, quality_shares, start_mean, lag_correlation, correlation_peak,
-    allan_deviation, bias_instability, asymptote_fit, weighted_scale, robust_spread, clock_fit, min_max_thinned, first_per_period, offset_filter, greedy_thinned, tumbling_variance, doctor_findings,
+    allan_deviation, bias_instability, asymptote_fit, weighted_scale, robust_spread, clock_fit, min_max_thinned, first_per_period, offset_filter, greedy_thinned, tumbling_variance, vertical_filter, doctor_findings,
 )
-WITHOUT_SQL = (vertical_filter, vertical_smoother)
+WITHOUT_SQL = (vertical_smoother,)
