@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import magnetics
 from driftline.functions.geo import A, E2
 from driftline.functions.magnetics import RADIUS
-from driftline.operators import align, diagnosis, doctor, faults, inertial, modes, poses, replay, scoring, stillness, suite, thinning
+from driftline.operators import align, conditioning, diagnosis, doctor, faults, inertial, modes, poses, replay, scoring, stillness, suite, thinning
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -339,6 +339,23 @@ def stream_findings(spark: SparkSession, d: str) -> DataFrame:
     return doctor.told(_stream_metrics(spark, d), ["recording_id"])
 
 
+def accuracy_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """Values as reported sigmas, and what is remembered of them over two days."""
+    e = events(spark, d).where(F.col("value") > 0)
+    return rounded(conditioning.accuracy_envelope(e, "value", 2.0 * DAY).select("recording_id", "t_us", "seq", "value", "envelope"))
+
+
+ACCURACY_ENVELOPE = f"""
+WITH RECURSIVE {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, seq) AS i FROM ev WHERE value > 0),
+k AS (
+  SELECT recording_id, i, t_us, seq, value, value AS envelope FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.recording_id, r.i, r.t_us, r.seq, r.value, greatest(r.value, k.envelope * greatest(1 - greatest(r.t_us - k.t_us, 0) / 1e6 / {2 * DAY}, 0)) FROM k JOIN r ON r.recording_id = k.recording_id AND r.i = k.i + 1
+)
+SELECT recording_id, t_us, seq, round(value, 6) AS value, round(envelope, 6) AS envelope FROM k
+"""
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts, joined_streams, stream_metrics)
+WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts, joined_streams, stream_metrics, accuracy_envelope)
 WITHOUT_SQL = (late_fix_track, suite_modes, stream_findings)

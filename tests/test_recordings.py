@@ -345,3 +345,85 @@ def test_findings_query_has_numbers(spark, sf_dir):
 
     rows = navigation.stream_findings(spark, sf_dir).collect()
     assert {r.rule for r in rows} >= {"imu_dropout", "gnss_sigma_unchecked"} and all("null" not in r.text for r in rows)
+
+
+# ---- conditioning and text sinks
+
+
+def test_blocks_that_cannot_be_go_as_a_whole(spark):
+    from driftline.operators import conditioning
+
+    good = {"gyr_x": 0.1, "gyr_y": 0.0, "gyr_z": 0.0, "acc_x": 0.0, "acc_y": 0.0, "acc_z": -9.8, "fix_n": 1.0, "fix_e": 2.0, "fix_d": 3.0, "fix_var_n": 1.0, "fix_var_e": 1.0, "fix_var_d": 1.0, "fix_age_s": 0.1, "yaw": 4.0, "yaw_var": 0.1, "pressure": 1e5, "fix_cov_ne": 0.1}
+    cases = [{}, {"gyr_x": math.nan}, {"acc_z": 2e4}, {"fix_e": math.inf}, {"fix_var_d": 0.0}, {"fix_age_s": 0.6}, {"yaw": 7.0}, {"yaw_var": math.nan}, {"pressure": 5.0}, {"fix_cov_ne": math.nan}, {"pressure": None}]
+    rows = [{**good, **c, "k": i} for i, c in enumerate(cases)]
+    out = [r.asDict() for r in conditioning.sanitized(spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} double" for c in good) + ", k long")).orderBy("k").collect()]
+    assert out[0]["yaw"] == pytest.approx(4.0 - 2 * math.pi) and {c: out[0][c] for c in good if c != "yaw"} == {c: v for c, v in good.items() if c != "yaw"}
+    gone = [{c for c in good if r[c] is None} for r in out]
+    imu, fix = {"gyr_x", "gyr_y", "gyr_z", "acc_x", "acc_y", "acc_z"}, {f"fix_{v}{a}" for a in "ned" for v in ("", "var_")}
+    assert gone == [set(), imu, imu, fix, fix, fix, {"yaw", "yaw_var"}, {"yaw", "yaw_var"}, {"pressure"}, set(), {"pressure"}]
+    assert out[9]["fix_cov_ne"] == 0.0
+
+
+def test_chi_square_thresholds():
+    from driftline.operators.conditioning import chi2_threshold
+
+    # Quantiles as tables print them.
+    for p, x in ((0.5, 0.4549), (0.9, 2.7055), (0.95, 3.8415), (0.99, 6.6349), (0.999, 10.8276), (0.99999, 19.5114)):
+        assert chi2_threshold(p) == pytest.approx(x, abs=1e-4)
+    assert chi2_threshold(0.1) == chi2_threshold(math.nan) == chi2_threshold(0.5) and chi2_threshold(1.0) == pytest.approx(29.396, abs=0.06)
+
+
+def test_acceleration_of_an_antenna_and_its_noise(spark):
+    from driftline.functions import rotation
+    from driftline.operators import conditioning
+
+    rng = np.random.default_rng(5)
+    a, w, l = rng.normal(size=3), rng.normal(size=3), rng.normal(size=3)
+    lit = lambda v: tuple(F.lit(float(x)) for x in v)
+    eye = [[F.lit(float(i == k)) for k in range(3)] for i in range(3)]
+    acc = conditioning.antenna_acceleration(lit(a), eye, lit(w), lit(l))
+    row = spark.range(1).select(*(c.alias(f"a{i}") for i, c in enumerate(acc)), *(c.alias(f"v{i}") for i, c in enumerate(conditioning.manoeuvre_variance(acc, 0.2, 0.5)))).first()
+    want = a + np.cross(w, np.cross(w, l))
+    assert [row[f"a{i}"] for i in range(3)] == pytest.approx(want.tolist())
+    flat = 0.04 * (want[0] ** 2 + want[1] ** 2)
+    assert [row[f"v{i}"] for i in range(3)] == pytest.approx([flat, flat, 0.25 * want[2] ** 2])
+
+
+def test_a_prior_that_rest_contradicts(spark):
+    from driftline.operators import conditioning
+
+    rows = [("r", p, p * 100_000_000 + k * 50_000, 0.001 if p else 0.02, 0.0, 0.0, 0.0, 0.0, -9.80665 - 0.3 * p) for p in (0, 1) for k in range(500)]
+    df = spark.createDataFrame(rows, "recording_id string, phase long, t_us long, gyr_x double, gyr_y double, gyr_z double, acc_x double, acc_y double, acc_z double")
+    out = {(r.phase, r.t0_us): (r.n, r.acc_exceeded, r.gyr_exceeded) for r in conditioning.bias_prior(df, 0.05, 0.002).collect()}
+    assert out == {(0, 0): (200, False, True), (0, 10_000_000): (200, False, True), (1, 100_000_000): (200, True, False), (1, 110_000_000): (200, True, False)}
+
+
+def test_streams_are_written_and_read_again(spark, runs, tmp_path):
+    from driftline.sources import sinks
+    from driftline.sources.streams import read_stream
+
+    # What a filter needs of fixes; the rest of the columns in between is 0.
+    some = runs.where("t_us < 50000000").withColumn("vel_ok", F.lit(1))
+    sinks.write_stream(some, str(tmp_path / "out"), "gnss")
+    back = read_stream(spark, str(tmp_path / "out" / "*"), "gnss")
+    names = ["t_us", "lat_deg", "lon_deg", "h_m", "p_nn", "p_dd", "vn", "vel_ok"]
+    got = sorted((r.recording_id.removeprefix("recording_id="), *(r[c] for c in names)) for r in back.collect())
+    assert got == sorted((r.recording_id, *(r[c] for c in names)) for r in some.collect())
+
+
+def test_tracks_are_written_row_by_row(spark, runs, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from driftline.sources import sinks
+
+    some = runs.where("t_us < 30000000")
+    for timed in (False, True):
+        sinks.write_track(some, str(tmp_path / str(timed)), timed)
+        for r in "ab":
+            (file,) = (tmp_path / str(timed) / f"recording_id={r}").glob("*.txt")
+            root = ET.fromstring(file.read_text())
+            if timed:
+                assert len(root.findall(".//{*}when")) == len(root.findall(".//{*}coord")) == 30
+                assert root.find(".//{*}when").text == "1970-01-01T00:00:00.000000Z"
+            else:
+                assert root.find(".//{*}coordinates").text.split() == ["8.00000000,48.00000000,100.000"] * 30
