@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions import geo
-from driftline.operators import quality, stillness
+from driftline.operators import clocks, quality, stillness
 
 #: States of a receiver's indicators from which on it warns, and of an authentication that failed.
 WARNED, FAILED = 2, 2
@@ -60,6 +60,8 @@ def metrics(streams: dict[str, DataFrame], config: dict, gyr_psd: float = 1e-7,
             F.when(F.max("nav_auth") > 0, F.sum((F.col("nav_auth") == FAILED).cast("long"))).alias("nav_auth_failed"), F.avg(F.when(F.col("vel_ok") > 0, F.sqrt((F.col("v_nn") + F.col("v_ee")) / 2))).alias("gnss_hor_mps"),
             F.percentile(F.when(F.col("num_sv") > 0, F.col("num_sv")), F.lit(0.5)).alias("satellites"), F.min(F.when(F.col("num_sv") > 0, F.col("num_sv"))).alias("least_satellites"),
         )
+        if "timesync" in streams:
+            out = out.join(clocks.median_latency(fixes, clocks.gps_clocks(streams["timesync"])), "recording_id", "left")
         out = out.join(coverage, "recording_id", "left").join(told, "recording_id", "left").withColumn("gnss_n", F.coalesce("gnss_n", F.lit(0)).cast("long"))
     else:
         out = out.withColumn("gnss_n", F.lit(0).cast("long"))

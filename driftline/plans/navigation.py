@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import magnetics
 from driftline.functions.geo import A, E2
 from driftline.functions.magnetics import RADIUS
-from driftline.operators import align, conditioning, diagnosis, doctor, faults, inertial, modes, poses, replay, scoring, stillness, suite, thinning
+from driftline.operators import align, clocks, conditioning, diagnosis, doctor, faults, inertial, modes, poses, replay, scoring, stillness, suite, thinning
 from driftline.plans.streams import BASE, EVENTS, _aux, _base, rounded
 from driftline.sources.streams import events
 
@@ -356,6 +356,26 @@ SELECT recording_id, t_us, seq, round(value, 6) AS value, round(envelope, 6) AS
 """
 
 
+def gps_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Events as pulse pairs: of two segments, a few in doubt, on UTC's grid or a part of a second off."""
+    e = events(spark, d)
+    tow = (F.col("t_us") - 1_700_000_000_000_000) / 1e6 * 1.00002 + 123.25 + F.col("value") * 1e-5 + F.when(F.col("seq") % 61 == 0, 0.9).otherwise(0.0)
+    pairs = e.select("recording_id", (F.col("t_us") - 1_700_000_000_000_000).alias("timesync_t_us"), F.lit(2200).alias("gps_week"), tow.alias("gps_tow_s"), F.when(F.col("seq") % 11 == 0, 16).when(F.col("seq") % 7 == 0, 2).otherwise(1).alias("flags"), (F.col("seq") % 3).cast("int").alias("mcu_restarts"))
+    out = clocks.gps_clocks(pairs)
+    return rounded(out.select("recording_id", F.round(F.col("a") - 2200 * 604_800, 4).alias("a"), "n", "rejected", "utc_pairs", "segments", F.round("ppm", 3).alias("ppm")))
+
+
+GPS_CLOCK = f"""
+WITH {EVENTS}, p AS (SELECT recording_id, seq % 3 AS part, t_us - 1700000000000000 AS t, (t_us - 1700000000000000) / 1e6 * 1.00002::DOUBLE + 123.25 + value * 1e-5 + CASE WHEN seq % 61 = 0 THEN 0.9 ELSE 0 END AS g, CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS utc FROM ev WHERE seq % 11 <> 0),
+s AS (SELECT recording_id, part, count(*) AS n0, sum(utc) AS utc_pairs, row_number() OVER (PARTITION BY recording_id ORDER BY count(*) DESC, part) AS r, count(*) OVER (PARTITION BY recording_id) AS segments FROM p GROUP BY 1, 2),
+c AS (SELECT p.*, n0, utc_pairs, segments FROM p JOIN s ON s.recording_id = p.recording_id AND s.part = p.part AND r = 1),
+f1 AS (SELECT recording_id, regr_slope(g, t) AS b, regr_intercept(g, t) AS a FROM c GROUP BY 1),
+c1 AS (SELECT c.* FROM c JOIN f1 USING (recording_id) WHERE abs(g - a - b * t) <= 0.5),
+f2 AS (SELECT recording_id, count(*) AS n, regr_slope(g, t) AS b, regr_intercept(g, t) AS a FROM c1 GROUP BY 1)
+SELECT recording_id, round(a, 4) AS a, n, max(n0) - n AS rejected, CAST(max(utc_pairs) AS BIGINT) AS utc_pairs, max(segments) AS segments, round((1 / (b * 1e6) - 1) * 1e6, 3) AS ppm FROM c JOIN f2 USING (recording_id) GROUP BY recording_id, a, n, b
+"""
+
+
 #: Queries that SQL expresses, by name in capitals above; the others are tested against loops.
-WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts, joined_streams, stream_metrics, accuracy_envelope)
+WITH_SQL = (state_at_validity, mode_track, stillness_track, pose_sweep, track_thinned, magnetic_elements, track_scores, fault_counts, joined_streams, stream_metrics, accuracy_envelope, gps_clock)
 WITHOUT_SQL = (late_fix_track, suite_modes, stream_findings)

@@ -427,3 +427,39 @@ def test_tracks_are_written_row_by_row(spark, runs, tmp_path):
                 assert root.find(".//{*}when").text == "1970-01-01T00:00:00.000000Z"
             else:
                 assert root.find(".//{*}coordinates").text.split() == ["8.00000000,48.00000000,100.000"] * 30
+
+
+# ---- clocks and the start
+
+
+def test_clocks_of_recordings(spark):
+    from driftline.operators import clocks
+
+    line = lambda t: 2200 * 604_800 + 100.0 + t * 1.00001e-6
+    pair = lambda r, t, off=0.0, flags=1, part=0: (r, t, 2200, line(t) + off - 2200 * 604_800, flags, part)
+    rows = [pair("a", k * 60_000_000) for k in range(30)] + [pair("a", 0)] + [pair("a", 60_000_000 * 31, 1.0), pair("a", 5, 50.0, 17)]  # repeated, slipped, in doubt
+    rows += [pair("a", k * 60_000_000, 9.0, 1, 1) for k in range(5)] + [pair("b", 7_000_000, 0.0, 3)] + [("c", None, 2200, 1.0, 1, 0)]
+    out = {r.recording_id: r for r in clocks.gps_clocks(spark.createDataFrame(rows, "recording_id string, timesync_t_us long, gps_week int, gps_tow_s double, flags int, mcu_restarts int")).collect()}
+    assert set(out) == {"a", "b"}
+    a, b = out["a"], out["b"]
+    assert (a.n, a.rejected, a.segments, a.utc_pairs) == (30, 1, 2, 0) and a.a + a.b * 6e8 == pytest.approx(line(6e8), abs=1e-4) and a.ppm == pytest.approx(-10.0, abs=0.01)
+    assert (b.n, b.rejected, b.utc_pairs) == (1, 0, 1) and b.b == 1e-6 and b.a + 7 == pytest.approx(line(7e6), abs=1e-6) and b.ppm == 0.0
+    fixes = spark.createDataFrame([("a", int(t * 1e6) + 80_000, 2200, line(t * 1e6) - 2200 * 604_800) for t in range(1, 6)] + [("a", 0, 0, 0.0)], "recording_id string, t_us long, gps_week int, gps_tow_s double")
+    assert clocks.median_latency(fixes, spark.createDataFrame([a, b])).first().latency_ms == pytest.approx(80.0, abs=0.2)
+
+
+def test_initial_gyro_bias_is_what_remains(spark):
+    from driftline.operators import clocks, inertial
+
+    lat, bias, turn = 0.8, np.array([0.001, -0.002, 0.003]), np.array([0.0, 0.0, 0.02])
+    k = inertial.Inertial(lat=lat)
+    k.level(np.array([1.0, 0.5, -9.7]), 0.7)
+    earth = inertial.OMEGA_E * np.array([math.cos(lat), 0, -math.sin(lat)])
+    imu, truth = [], []
+    for i in range(401):
+        t = i * 10_000
+        truth.append(("r", t, lat, 0.0, 0.0, 0.0, *map(float, k.rpy())))
+        imu.append(("r", t, i, *map(float, bias + turn + k.matrix().T @ earth)))
+        k.q = inertial.product(k.q, inertial.exponential(turn * 0.01))
+    out = clocks.initial_gyro_bias(spark.createDataFrame(imu, "recording_id string, t_us long, seq long, gyr_x double, gyr_y double, gyr_z double"), spark.createDataFrame(truth, "recording_id string, t_us long, lat double, h double, vn double, ve double, roll double, pitch double, yaw double")).first()
+    assert out.n == 301 and [out.bias_x, out.bias_y, out.bias_z] == pytest.approx(bias.tolist(), abs=2e-6)
