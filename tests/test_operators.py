@@ -227,3 +227,28 @@ def test_left_out_columns_of_a_fix_are_zero(spark, tmp_path):
     (folder / "gnss.csv").write_text("5," + ",".join(["1.5"] * 18) + ",1\n")
     r = streams.read_stream(spark, str(folder / "gnss.csv"), "gnss").first()
     assert (r.quality, r.gps_week, r.gps_tow_s, r.num_sv, r.nav_auth) == (0, 0, 0.0, 0, 0)
+
+
+def test_vertical_smoother_query_equals_a_loop(spark, sf_dir):
+    from driftline.plans import streams
+
+    got = {(r.recording_id, r.seq): (r.h, r.v, r.bias) for r in streams.vertical_smoother(spark, sf_dir).collect()}
+    rows = streams.events(spark, sf_dir).withColumns({"acc": (F.col("value") - 50) * 1e-9, "height": F.when(F.col("stream") == "view", F.col("value"))}).toPandas()
+    assert len(got) == len(rows)
+    for rec, own in list(rows.groupby("recording_id"))[:4]:
+        own = own.sort_values(["t_us", "seq"])
+        k, steps, last = filters.Vertical(), [], None
+        for t, a, z in zip(own.t_us, own.acc, own.height):
+            dt = 0.0 if last is None else (t - last) / 1e6
+            last = t
+            k.predict(int(t), float(a))
+            before = (k.x.copy(), k.p.copy())
+            if z == z:
+                k.height(float(z))
+            steps.append((np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]]), *before, k.x.copy(), k.p.copy()))
+        x, want = steps[-1][3], [steps[-1][3]]
+        for (_, _, _, xa, pa), (f, xb, pb, _, _) in zip(reversed(steps[:-1]), reversed(steps[1:])):
+            x = xa + pa @ f.T @ np.linalg.solve(pb, x - xb)
+            want.append(x)
+        for seq, w in zip(own.seq, reversed(want)):
+            assert got[rec, seq] == pytest.approx(tuple(w), rel=1e-5, abs=1e-4)
