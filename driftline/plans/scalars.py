@@ -30,7 +30,7 @@ def _angles(spark: SparkSession, d: str) -> DataFrame:
 
 def geodesy_ecef(spark: SparkSession, d: str) -> DataFrame:
     x, y, z = geo.llh_to_ecef(F.col("lat"), F.col("lon"), F.col("h"))
-    p = _points(spark, d).select("k", x.alias("x"), y.alias("y"), z.alias("z"))
+    p = _points(spark, d).select("k", x.alias("x"), y.alias("y"))
     lat, lon, h = geo.ecef_to_llh(F.col("x"), F.col("y"), F.col("z"))
     out = p.select("k", "x", "y", "z", F.degrees(lat).alias("lat_deg"), F.degrees(lon).alias("lon_deg"), h.alias("h"))
     return out.select("k", *((F.round(c, 4) + 0.0).alias(c) for c in out.columns[1:]))
@@ -313,5 +313,72 @@ def fix_latency(spark: SparkSession, d: str) -> DataFrame:
 FIX_LATENCY = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN round((o_orderkey * 1000 + 50000 - (2000 * 604800e0 + o_orderkey * 1e-3 - 2000 * 604800e0) / 1.00002e-6) / 1e3, 6) END AS latency_ms FROM orders"
 
 
-WITH_SQL = (fix_gates, truth_error, position_messages, rotation_vectors, fix_latency, geodesy_ecef, geodesy_radii, geodesy_distance, map_tiles, isa_altitude, attitude_roundtrip, attitude_rate, levelling, covariance_conditioned, error_ellipses, growth_rate, gate_codes, fletcher_checksum, gram_matrix)
+#: Numbers and their four bytes in IEEE form, the lowest first.
+REALS = ((0.0, "00000000"), (1.0, "0000803F"), (-2.5, "000020C0"), (0.125, "0000003E"), (1000.0, "00007A44"))
+
+
+def _real(k):
+    return F.element_at(F.array(*(F.lit(h) for _, h in REALS)), (k % len(REALS)).cast("int") + 1)
+
+
+def device_messages(spark: SparkSession, d: str) -> DataFrame:
+    """A pulse, a speed, counters, a run of clipped samples, an inertial and a magnetic sample of a device for each part, as bytes, decoded."""
+    k = F.col("p_partkey").cast("long")
+    n = lambda a, m: k * a % m
+    parts = {
+        "pulse": [_packed(k * 1_000_003, 8), _packed(k, 4), _packed(n(7919, 604_800_000), 4), _packed(n(65_537, 4_294_967_296), 4), _packed(n(31, 2000) - 1000, 4), _packed(2200 + n(3, 100), 2), _packed(n(5, 32), 2)],
+        "speed": [_packed(k * 1000, 8), _packed(k * 999, 8), _real(k), _real(k + 1), _packed(n(13, 500), 2), _packed(n(11, 32), 2), _packed(n(3, 4), 2)],
+        "counters": [_packed(k * (i + 3), 4) for i in range(11)],
+        "clipped": [_packed(n(101, 65_536), 2), _packed(n(103, 65_536), 2), _packed(n(7, 500), 2), _packed(n(1, 64), 1), _packed(n(1, 2), 1)],
+        "imu": [_packed(k * 5000, 8), *(_real(k + i) for i in range(6)), _packed(n(77, 4096), 4), _packed(n(9, 65_536), 2)],
+        "mag": [_packed(k * 5001, 8), *(_real(k + 2 * i) for i in range(3)), _real(k + 1)],
+    }
+    df = spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), *(F.unhex(F.concat(*p)).alias(name) for name, p in parts.items()))
+    pulse, speed, count = frames.timesync(F.col("pulse")), frames.odometry(F.col("speed")), frames.counters(F.col("counters"))
+    clip, imu, mag = frames.saturation(F.col("clipped")), frames.imu_sample(F.col("imu")), frames.mag_sample(F.col("mag"))
+    r = lambda c: F.round(c, 6)
+    return df.select(
+        "k", pulse["t_us"].alias("pulse_t_us"), pulse["week"].alias("week"), pulse["q_err_ps"].alias("q_err_ps"), pulse["suspect"].alias("suspect"), r(pulse["tow_s"]).alias("tow_s"), F.round(pulse["gps_s"], 3).alias("gps_s"),
+        r(speed["speed_mps"]).alias("speed_mps"), r(speed["stddev_mps"]).alias("stddev_mps"), speed["delay_ms"].alias("delay_ms"), speed["reverse"].alias("reverse"), speed["t_us_valid"].alias("t_us_valid"),
+        count["imu_overruns"].alias("imu_overruns"), count["gnss_crc_errors"].alias("gnss_crc_errors"), F.get(count["extra"], F.lit(0)).alias("extra"),
+        clip["samples"].alias("clipped"), F.array_join(clip["axes"], " ").alias("axes"), clip["dropped_before"].alias("dropped_before"),
+        imu["t_us"].alias("imu_t_us"), r(imu["acc_x"]).alias("acc_x"), r(imu["gyr_z"]).alias("gyr_z"), imu["status_temp"].alias("status_temp"), imu["status_flags"].alias("status_flags"), imu["seq16"].alias("seq16"),
+        mag["t_us"].alias("mag_t_us"), r(mag["mag_y"]).alias("mag_y"), r(mag["temp_c"]).alias("temp_c"),
+    )
+
+
+_R = "[" + ", ".join(f"{v}::DOUBLE" for v, _ in REALS) + "]"
+DEVICE_MESSAGES = f"""
+WITH p AS (SELECT p_partkey AS k, {_R} AS r, p_partkey * 5 % 32 AS pf, p_partkey * 11 % 32 AS sf, p_partkey % 64 AS mask, p_partkey * 77 % 4096 AS st,
+  (p_partkey * 7919 % 604800000 + (p_partkey * 65537 % 4294967296) / 4294967296.0::DOUBLE) / 1e3 AS tow FROM part)
+SELECT k, k * 1000003 AS pulse_t_us, 2200 + k * 3 % 100 AS week, k * 31 % 2000 - 1000 AS q_err_ps, pf & 16 > 0 AS suspect, CASE WHEN pf & 1 > 0 THEN round(tow, 6) END AS tow_s,
+  CASE WHEN pf & 1 > 0 THEN round((2200 + k * 3 % 100) * 604800 + tow + CASE WHEN pf & 8 > 0 THEN (k * 31 % 2000 - 1000) * 1e-12 ELSE 0 END, 3) END AS gps_s,
+  r[k % 5 + 1] AS speed_mps, r[(k + 1) % 5 + 1] AS stddev_mps, k * 13 % 500 AS delay_ms, sf & 3 = 3 AS reverse, sf & 16 > 0 AS t_us_valid, k * 4 AS imu_overruns, k * 12 AS gnss_crc_errors, k * 13 AS extra,
+  k * 7 % 500 AS clipped, concat_ws(' ', CASE WHEN mask & 1 > 0 THEN 'acc_x' END, CASE WHEN mask & 2 > 0 THEN 'acc_y' END, CASE WHEN mask & 4 > 0 THEN 'acc_z' END, CASE WHEN mask & 8 > 0 THEN 'gyr_x' END, CASE WHEN mask & 16 > 0 THEN 'gyr_y' END, CASE WHEN mask & 32 > 0 THEN 'gyr_z' END) AS axes,
+  k % 2 = 1 AS dropped_before, k * 5000 AS imu_t_us, round(r[k % 5 + 1] * 9.80665, 6) AS acc_x, round(r[(k + 5) % 5 + 1] * 0.017453292519943295, 6) AS gyr_z,
+  CASE WHEN st & 2047 >= 1024 THEN (st & 2047) - 2048 ELSE st & 2047 END AS status_temp, st >> 11 AS status_flags, k * 9 % 65536 AS seq16, k * 5001 AS mag_t_us, r[(k + 2) % 5 + 1] AS mag_y, r[(k + 1) % 5 + 1] AS temp_c FROM p
+"""
+
+
+def setting_items(spark: SparkSession, d: str) -> DataFrame:
+    """Three items of keys and values in one payload for each part: one byte, four bytes, and bytes that bring their width."""
+    k = F.col("p_partkey").cast("long")
+    one, four, more = (F.lit(kind << 28).cast("long") + k % 1000 for kind in (2, 4, 6))
+    width = k % 5
+    text = F.expr("repeat('AB', cast(p_partkey % 5 as int))")
+    payload = F.concat(F.lit("00010100"), _packed(one, 4), _packed(k % 256, 1), _packed(four, 4), _packed(k * 7, 4), _packed(more, 4), _packed(width, 2), text)
+    df = spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), F.unhex(F.when(k % 17 == 0, F.substring(payload, 1, 30)).otherwise(payload)).alias("payload"))
+    out = frames.value_items(F.col("payload"))
+    return df.select("k", out["layer"].alias("layer"), F.explode(F.coalesce(out["items"], F.array(F.struct(F.lit(-1).cast("long").alias("key"), F.unhex(F.lit("")).alias("value"))))).alias("i")).select("k", "layer", "i.key", F.hex("i.value").alias("value"))
+
+
+SETTING_ITEMS = """
+WITH p AS (SELECT p_partkey AS k FROM part), le AS (SELECT k, lpad(hex(k * 7), 8, '0') AS h, lpad(hex(k % 256), 2, '0') AS b FROM p)
+SELECT k, 1::BIGINT AS layer, (2::BIGINT << 28) + k % 1000 AS key, b AS value FROM le WHERE k % 17 > 0
+UNION ALL SELECT k, 1, (4::BIGINT << 28) + k % 1000, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) FROM le WHERE k % 17 > 0
+UNION ALL SELECT k, 1, (6::BIGINT << 28) + k % 1000, repeat('AB', CAST(k % 5 AS INT)) FROM le WHERE k % 17 > 0
+UNION ALL SELECT k, 1, -1, '' FROM le WHERE k % 17 = 0
+"""
+
+WITH_SQL = (device_messages, setting_items, fix_gates, truth_error, position_messages, rotation_vectors, fix_latency, geodesy_ecef, geodesy_radii, geodesy_distance, map_tiles, isa_altitude, attitude_roundtrip, attitude_rate, levelling, covariance_conditioned, error_ellipses, growth_rate, gate_codes, fletcher_checksum, gram_matrix)
 WITHOUT_SQL = ()
