@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 def test_all_rows_have_a_result(spark, sf_dir, docs):
     for name, query in queries.queries().items():
         out = query(spark, sf_dir)
-        if not name.startswith("op3"):
+        if not name.startswith(("op3", "op12")):  # these return pairs of a document and an item
             assert out.count() == len(docs), name
 
 
