@@ -63,13 +63,13 @@ class History:
     """Times and states [time, 13]: position, velocity, quaternion and rate, the oldest first."""
 
     times: list[int] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
+    states: np.ndarray = field(default_factory=lambda: np.zeros((0, 13)))
 
     def push(self, t_us: int, state: np.ndarray) -> None:
         if self.times and t_us < self.times[-1]:  # the clock went back
-            self.times, self.states = [], []
+            self.times, self.states = [], np.zeros((0, 13))
         if not self.times or t_us - self.times[-1] >= RING_US:
-            self.times, self.states = [*self.times[1 - RING :], t_us], [*self.states[1 - RING :], state]
+            self.times, self.states = [*self.times[1 - RING :], t_us], np.concatenate([self.states[1 - RING :], state[None]])
 
     def at(self, t_us: int, now_us: int, now: np.ndarray) -> Past | None:
         """The state at t_us, between the entries around it or the newest entry and the state of now."""
@@ -94,13 +94,17 @@ class History:
 
     def correct(self, dx: np.ndarray, now_us: int) -> None:
         """Takes the error of now, carried back over each entry's age, out of all entries."""
-        for k, (t, x) in enumerate(zip(self.times, self.states, strict=True)):
-            y = x.copy()
-            y[:3] -= dx[P] - dx[V] * (now_us - t) / 1e6
-            y[3:6] -= dx[V]
-            y[6:10] = product(exponential(-dx[T]), x[6:10])
-            y[10:] += dx[BG]
-            self.states[k] = y
+        if not self.times:
+            return
+        age = (now_us - np.array(self.times, float))[:, None] / 1e6
+        x = self.states.copy()
+        x[:, :3] -= dx[P] - dx[V] * age
+        x[:, 3:6] -= dx[V]
+        w, v = (turn := exponential(-dx[T]))[0], turn[1:]
+        q0, q = self.states[:, 6:7], self.states[:, 7:10]
+        x[:, 6:7], x[:, 7:10] = w * q0 - q @ v[:, None], w * q + q0 * v + np.cross(v, q)
+        x[:, 10:] += dx[BG]
+        self.states = x
 
 
 @dataclass

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from driftline.functions.atmosphere import EXPONENT, HIGH, LOW, P0, SCALE
 from driftline.operators.filters import Attitude, Offset, Vertical, per_recording
-from driftline.operators.inertial import FIX, FIX_VAR, IMU, VEL, VEL_VAR, Inertial, gravity
+from driftline.operators.inertial import FIX, FIX_VAR, IMU, VEL, VEL_VAR, History, Inertial, gravity
 from driftline.operators.modes import COASTING, FULL, Gate, healthy
 from driftline.operators.stillness import LevelWindow, Still
 
@@ -188,7 +188,7 @@ class Suite:
             dz = float(self.vertical.x[0] + self.ins.p[2])
             self.ins.p = self.ins.p - np.array([0, 0, dz])
             self.shift, self.ins.height = self.shift + dz, self.ins.height - dz
-            self.ins.history.times, self.ins.history.states = [], []
+            self.ins.history = History()
         self.aligned = True
 
     def local_offset(self, m: Epoch) -> None:

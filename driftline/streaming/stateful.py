@@ -164,7 +164,7 @@ def inertial_kernel(fix_arm: tuple = (0.0, 0.0, 0.0), range_arm: tuple = (0.0, 0
         k.p, k.v, k.q, k.ba, k.bg, k.rate = np.split(x[3:22], [3, 6, 10, 13, 16])
         k.cov, rest = x[22:247].reshape(15, 15), x[247:]
         n = len(rest) // 14  # a time and 13 numbers each
-        k.history = inertial.History([int(v) for v in rest[:n]], list(rest[n:].reshape(n, 13)))
+        k.history = inertial.History([int(v) for v in rest[:n]], rest[n:].reshape(n, 13))
         return k
 
     return Kernel(lambda: inertial.Inertial(**settings), run, ", ".join(f"{n} double" for n in names), pack, unpack)
