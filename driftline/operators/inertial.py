@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from driftline.functions.geo import A, E2, FLATTENING, G1, G2, G3, GAMMA_E, M, OMEGA_E
 from driftline.operators.filters import Attitude, smoothed
+from driftline.operators.lockstep import in_blocks
 from driftline.operators.modes import inflated
 from driftline.shipping import shipped
 
@@ -414,5 +415,9 @@ def inertial_filter(df: DataFrame, smooth: bool = False, fix_arm: tuple = (0.0,
         names = [c.split()[0] for c in OUT.format(id="x").split(", ")][3:]
         return pd.concat([frame[["recording_id", "t_us", "seq"]].reset_index(drop=True), pd.DataFrame(x, columns=names)], axis=1)
 
+    if not smooth and "ranges" not in df.columns:  # the recordings of a block step together
+        from driftline.operators.fleet import filtered
+
+        return in_blocks(df, lambda frame, start: filtered(frame, start, arm, settings), ", ".join(OUT.split(", ")[3:]))
     shipped(df.sparkSession)
     return df.groupBy("recording_id").applyInPandas(run, OUT.format(id=df.schema["recording_id"].dataType.simpleString()))
