@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from driftline.shipping import shipped
 
 #: Rows of a block, at least; a recording is never cut.
-ROWS = 1 << 16
+ROWS = 1 << 18
 
 
 def starts(ids: pa.ChunkedArray) -> np.ndarray:

@@ -107,9 +107,9 @@ def mode_track(df: DataFrame, **settings: float) -> DataFrame:
     return per_recording(df.select("recording_id", "t_us", "seq", "offered", "entry", "stay", "sample"), run, "event string, mode int")
 
 
-def inflated(var: np.ndarray, psd: np.ndarray, seconds: float, cap: np.ndarray) -> np.ndarray:
+def inflated(var: np.ndarray, psd: np.ndarray, seconds: float | np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Variances after a time in which nothing was predicted: they grow with the noise, up to what a cold start has."""
-    return np.where(var < cap, np.minimum(var + psd * max(seconds, 0.0), cap), var)
+    return np.where(var < cap, np.minimum(var + psd * np.maximum(seconds, 0.0), cap), var)
 
 
 def healthy(x: np.ndarray, cov: np.ndarray, limit: float = 1e12) -> bool:

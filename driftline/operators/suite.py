@@ -18,15 +18,17 @@ height.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import deque
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from driftline.functions.atmosphere import EXPONENT, HIGH, LOW, P0, SCALE
-from driftline.operators.filters import Attitude, Offset, Vertical, per_recording
+from driftline.operators.filters import Attitude, Offset, Vertical
 from driftline.operators.inertial import FIX, FIX_VAR, IMU, VEL, VEL_VAR, History, Inertial, gravity
+from driftline.operators.lockstep import in_blocks
 from driftline.operators.modes import COASTING, FULL, Gate, healthy
 from driftline.operators.stillness import LevelWindow, Still
 
@@ -105,7 +107,7 @@ class Suite:
             self.ins = None
         if sample and self.last_imu is not None and m.t_us - self.last_imu > self.gate.imu_s * 1e6:
             self.ars = self.ahrs = self.vertical = None  # the zero of heights stays
-            self.boot, self.carry, self.level = [], None, LevelWindow()
+            self.boot, self.carry, self.level = [], None, replace(self.level, samples=deque())
         self.position(m, event, sample, offered)
         self.align()
         if offered:
@@ -316,10 +318,7 @@ def suite_track(df: DataFrame, gate: dict | None = None, still: dict | None = No
     pressure (Pa), MAG, yaw and yaw_var. gate, still, level: settings of the parts.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t_us", "seq"])
-        k = Suite(gate=Gate(**gate or {}), still=Still(**still or {}), level=LevelWindow(**level or {}), **settings)
-        out = pd.DataFrame([k.step(m) for m in epochs(frame)])
-        return pd.concat([frame[["recording_id", "t_us", "seq"]].reset_index(drop=True), out], axis=1)
+    from driftline.operators.suites import tracked
 
-    return per_recording(df, run, OUT)
+    one = Suite(gate=Gate(**gate or {}), still=Still(**still or {}), level=LevelWindow(**level or {}), **settings)
+    return in_blocks(df, lambda frame, start: tracked(frame, start, one), OUT)

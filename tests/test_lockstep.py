@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from driftline.operators import fleet, inertial, lockstep
+from driftline.operators import fleet, inertial, lockstep, modes, stillness, suite, suites
 
 
 def drives(lengths, seed=1):
@@ -58,3 +58,38 @@ def test_blocks_are_whole_recordings():
     seen = [set(t["recording_id"].to_pylist()) for t, _ in out]
     assert sum(map(len, seen)) == 4 and all(t["recording_id"][int(k)].as_py() != t["recording_id"][int(k) - 1].as_py() for t, start in out for k in start[1:])
     assert [(j.tolist(), i.tolist()) for j, i in lockstep.steps(np.array([0, 1, 4]), 6)] == [([1, 2, 0], [1, 4, 0]), ([1, 2], [2, 5]), ([1], [3])]
+
+
+def test_suites_that_step_together_equal_single_ones(monkeypatch):
+    """Pressures, fields, losses of samples and of quality, outages, yaws and an arm: each recording as by the suite alone."""
+    df = drives([400, 3, 900, 700, 900], seed=4)
+    rng = np.random.default_rng(6)
+    n, rec = len(df), df["recording_id"].to_numpy()
+    df["t_us"] = df.groupby("recording_id").cumcount() * 20_000
+    df[inertial.IMU] = rng.normal(0, 0.002, (n, 6)) + np.array([0, 0, 0, 0, 0, -9.81])
+    for c in (*inertial.FIX, *inertial.VEL):
+        df[c] *= 0.1
+    df["pressure"] = np.where(rng.random(n) < 0.4, 101_325 + rng.normal(0, 3, n), np.where(rng.random(n) < 0.05, 1.0, np.nan))
+    df[["mag_x", "mag_y", "mag_z"]] = np.where(((rec % 2 == 0) & (rng.random(n) < 0.3))[:, None], np.array([20.0, 1.0, 45.0]) + rng.normal(0, 0.5, (n, 3)), np.nan)
+    k = df.groupby("recording_id").cumcount()
+    df.loc[(rec == 2) & k.between(300, 330), inertial.IMU] = np.nan  # samples are lost
+    df.loc[(rec == 3) & k.between(200, 290), [*inertial.FIX, *inertial.VEL]] = np.nan  # an outage
+    df.loc[(rec == 4) & k.between(400, 700), inertial.FIX_VAR] = 400.0  # bad aiding
+    df.loc[(rec == 2) & (k > 500), "yaw"] = np.nan
+    df.loc[rec >= 3, "yaw"] = np.nan
+    make = lambda: suite.Suite(arm=(0.5, -0.2, 0.1), gate=modes.Gate(dwell_s=0.4, gap_s=1.0, coast_s=0.5, fresh_s=0.1, stop_s=1.0, least_hz=2.0), level=stillness.LevelWindow(window_s=0.08))
+    start, calls = np.flatnonzero(np.r_[True, rec[1:] != rec[:-1]]), []
+    step = suites.Suites.step
+    monkeypatch.setattr(suites.Suites, "step", lambda self, *a: (calls.append(1), step(self, *a))[1])
+    got = suites.tracked(df.drop(columns="recording_id"), start, make())
+    assert len(calls) == 900
+    seen, names = set(), [c.split()[0] for c in suite.OUT.split(", ")]
+    for _, own in df.groupby("recording_id"):
+        one = make()
+        for at, m in zip(own.index, suite.epochs(own), strict=True):
+            want = one.step(m)
+            seen |= {want["event"], want["attitude_source"], want["height_source"], want["ellipsoid_source"]}
+            assert [got[c][at] for c in names[:5]] == [want[c] for c in names[:5]], (at, want)
+            assert np.array([got[c][at] for c in names[5:]], float) == pytest.approx(np.array([want[c] for c in names[5:]], float), rel=1e-6, abs=1e-6, nan_ok=True)
+    print(seen)
+    assert seen >= {"imu_loss", "enter", "quality_loss", "reacquire", "ars", "ahrs", "ins", "vertical", "offset"}
