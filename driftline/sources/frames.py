@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,45 +107,66 @@ def real(payload: Column, at: int, size: int = 4) -> Column:
     return sign * F.when(part == 2 * bias + 1, F.when(rest == 0, float("inf")).otherwise(float("nan"))).otherwise(value)
 
 
+#: Arrow types of the integers and numbers of a layout.
+_ARROW = {"i": (np.int64, pa.int64()), "u": (np.int64, pa.int64()), "f": (np.float64, pa.float64())}
+
+
+def unpacked(payload: Column, size: int, longer: bool = False, **layout: tuple[int, str]) -> Column:
+    """A struct of numbers from payloads of `size` bytes (or more, with `longer`), null where they have another size: a batch at a time.
+
+    layout: name -> (offset, numpy's type, as "<u4"); integers become long, numbers double.
+    """
+    record = np.dtype({"names": list(layout), "offsets": [at for at, _ in layout.values()], "formats": [kind for _, kind in layout.values()], "itemsize": size})
+    kinds = [_ARROW[np.dtype(kind).kind] for _, kind in layout.values()]
+    schema = ", ".join(f"{n}: {'double' if arrow == pa.float64() else 'bigint'}" for n, (_, arrow) in zip(layout, kinds, strict=True))
+
+    def run(batch: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+        whole = n >= size if longer else n == size
+        rows = np.zeros(len(batch), record)
+        rows[whole] = np.frombuffer(b"".join(pc.binary_slice(batch.filter(pa.array(whole)), 0, size).to_pylist()), record)
+        return pa.StructArray.from_arrays([pa.array(rows[c].astype(kind), arrow) for c, (kind, arrow) in zip(layout, kinds, strict=True)], list(layout), mask=pa.array(~whole))
+
+    shipped(SparkSession.active())
+    return F.arrow_udf(run, f"struct<{schema}>")(payload)
+
+
 def bit(flags: Column, n: int) -> Column:
     return F.shiftrightunsigned(flags, n).bitwiseAND(1) == 1
 
 
 def nav_pvt(payload: Column) -> dict[str, Column]:
     """The receiver's position and velocity message (class 0x01, id 0x07), null where shorter than 92 bytes."""
-    whole = F.when(F.length(payload) >= 92, payload)
-    u, i = lambda at, n=4: field(whole, at, n), lambda at: field(whole, at, 4, signed=True)
-    flags = u(21, 1)
+    longs = {"lon": (24, "<i4"), "lat": (28, "<i4"), "h": (32, "<i4"), "hacc": (40, "<u4"), "vacc": (44, "<u4"), "vn": (48, "<i4"), "ve": (52, "<i4"), "vd": (56, "<i4"), "sacc": (68, "<u4"), "mot": (64, "<i4"), "veh": (84, "<i4")}
+    m = unpacked(payload, 92, True, fix_type=(20, "u1"), flags=(21, "u1"), num_sv=(23, "u1"), **longs)
+    flags = m["flags"]
     return {
-        "fix_type": u(20, 1), "fix_ok": bit(flags, 0), "carr_soln": F.shiftright(flags, 6).bitwiseAND(3), "num_sv": u(23, 1),
-        "lon_deg": i(24) * 1e-7, "lat_deg": i(28) * 1e-7, "height_m": i(32) * 1e-3, "hacc_m": u(40) * 1e-3, "vacc_m": u(44) * 1e-3,
-        "vn": i(48) * 1e-3, "ve": i(52) * 1e-3, "vd": i(56) * 1e-3, "sacc_mps": u(68) * 1e-3,
-        "head_mot_deg": i(64) * 1e-5, "head_veh_deg": i(84) * 1e-5, "head_veh_valid": bit(flags, 5),
+        "fix_type": m["fix_type"], "fix_ok": bit(flags, 0), "carr_soln": F.shiftright(flags, 6).bitwiseAND(3), "num_sv": m["num_sv"],
+        "lon_deg": m["lon"] * 1e-7, "lat_deg": m["lat"] * 1e-7, "height_m": m["h"] * 1e-3, "hacc_m": m["hacc"] * 1e-3, "vacc_m": m["vacc"] * 1e-3,
+        "vn": m["vn"] * 1e-3, "ve": m["ve"] * 1e-3, "vd": m["vd"] * 1e-3, "sacc_mps": m["sacc"] * 1e-3,
+        "head_mot_deg": m["mot"] * 1e-5, "head_veh_deg": m["veh"] * 1e-5, "head_veh_valid": bit(flags, 5),
     }
 
 
 def timesync(payload: Column) -> dict[str, Column]:
     """A pulse's time on the device and, where it was announced, its GPS time (class 0x40, id 0x05, 28 bytes)."""
-    whole = F.when(F.length(payload) == 28, payload)
-    ms, part, week, flags = field(whole, 12, 4), field(whole, 16, 4), field(whole, 24, 2), field(whole, 26, 2)
-    q = field(whole, 20, 4, signed=True)
+    m = unpacked(payload, 28, t_us=(0, "<i8"), count=(8, "<u4"), ms=(12, "<u4"), part=(16, "<u4"), q=(20, "<i4"), week=(24, "<u2"), flags=(26, "<u2"))
+    ms, part, week, flags, q = m["ms"], m["part"], m["week"], m["flags"], m["q"]
     valid = bit(flags, 0)
     tow = (ms + part * 2.0**-32) / 1e3
     gps = week * 604800 + tow + F.when(bit(flags, 3), q * 1e-12).otherwise(0.0)
     return {
-        "t_us": field(whole, 0, 8), "count": field(whole, 8, 4), "tow_ms": ms, "tow_sub_ms": part, "q_err_ps": q, "week": week, "flags": flags,
+        "t_us": m["t_us"], "count": m["count"], "tow_ms": ms, "tow_sub_ms": part, "q_err_ps": q, "week": week, "flags": flags,
         "gps_valid": valid, "utc_base": bit(flags, 1), "suspect": bit(flags, 4), "tow_s": F.when(valid, tow), "gps_s": F.when(valid, gps),
     }
 
 
 def odometry(payload: Column) -> dict[str, Column]:
     """A speed from a host (class 0x40, id 0x80, 30 bytes)."""
-    whole = F.when(F.length(payload) == 30, payload)
-    flags = field(whole, 26, 2)
-    return {
-        "t_unix_us": field(whole, 0, 8), "t_us": field(whole, 8, 8), "speed_mps": real(whole, 16), "stddev_mps": real(whole, 20), "delay_ms": field(whole, 24, 2),
-        "flags": flags, "kind": field(whole, 28, 2), "t_us_valid": bit(flags, 4), "reverse": bit(flags, 0) & bit(flags, 1),
-    }
+    m = unpacked(payload, 30, t_unix_us=(0, "<i8"), t_us=(8, "<i8"), speed_mps=(16, "<f4"), stddev_mps=(20, "<f4"), delay_ms=(24, "<u2"), flags=(26, "<u2"), kind=(28, "<u2"))
+    flags = m["flags"]
+    same = ("t_unix_us", "t_us", "speed_mps", "stddev_mps", "delay_ms", "flags", "kind")
+    return {n: m[n] for n in same} | {"t_us_valid": bit(flags, 4), "reverse": bit(flags, 0) & bit(flags, 1)}
 
 
 #: Axes by bit, names of the counters, bits of the solution's flags, names of modes and sources.
@@ -161,32 +184,40 @@ def axes(mask: Column) -> Column:
 
 def counters(payload: Column, names: tuple[str, ...] = STATUS) -> dict[str, Column]:
     """Counters of 4 bytes each by name (class 0x40, id 0x04 or 0x0D): null beyond the frame's end, `extra` what has no name."""
-    whole = F.when((F.length(payload) > 0) & (F.length(payload) % 4 == 0), payload)
-    n = len(names)
-    hexed = F.hex(whole)
-    word = lambda k: F.conv(F.concat(*(F.substring(hexed, k * 8 + 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0))), 16, 10).cast("long")
-    more = F.when(F.length(whole) > 4 * n, F.transform(F.sequence(F.lit(n), (F.length(whole) / 4).cast("int") - 1), word))
-    return {name: field(whole, 4 * i, 4) for i, name in enumerate(names)} | {"extra": more}
+
+    def run(batch: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+        whole = (n > 0) & (n % 4 == 0)
+        words = np.frombuffer(b"".join(batch.filter(pa.array(whole)).to_pylist()), "<u4").astype(np.int64)
+        ends = np.append(0, np.cumsum(np.where(whole, n // 4, 0))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(words), mask=pa.array(~whole))
+
+    shipped(SparkSession.active())
+    words, n = F.arrow_udf(run, "array<bigint>")(payload), len(names)
+    more = F.when(F.size(words) > n, F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0))))
+    return {name: F.get(words, F.lit(i)) for i, name in enumerate(names)} | {"extra": more}
 
 
 def saturation(payload: Column) -> dict[str, Column]:
     """A run of clipped samples (class 0x40, id 0x0E, 8 bytes)."""
-    whole = F.when(F.length(payload) == 8, payload)
-    return {"first_seq": field(whole, 0, 2), "last_seq": field(whole, 2, 2), "samples": field(whole, 4, 2), "mask": field(whole, 6, 1), "axes": axes(field(whole, 6, 1)), "flags": field(whole, 7, 1), "dropped_before": bit(field(whole, 7, 1), 0)}
+    m = unpacked(payload, 8, first_seq=(0, "<u2"), last_seq=(2, "<u2"), samples=(4, "<u2"), mask=(6, "u1"), flags=(7, "u1"))
+    return {"first_seq": m["first_seq"], "last_seq": m["last_seq"], "samples": m["samples"], "mask": m["mask"], "axes": axes(m["mask"]), "flags": m["flags"], "dropped_before": bit(m["flags"], 0)}
 
 
 def solution(payload: Column) -> dict[str, Column]:
     """The device's navigation solution (class 0x40, id 0x0F, 120 bytes); null where the value's bit is not set."""
-    whole = F.when(F.length(payload) == 120, payload)
-    flags = field(whole, 8, 4)
-    on = lambda name: bit(flags, FLAGS.index(name))
     at = iter(range(16, 96, 4))
-    reals = {n: real(whole, next(at)) for n in ("roll", "pitch", "yaw", "roll_sigma", "pitch_sigma", "yaw_sigma", "vn", "ve", "vd", "pn", "pe", "pd", "height", "height_ell", "baro_alt", "baro_meas", "vz", "arm_f", "arm_r", "arm_d")}
+    names = ("roll", "pitch", "yaw", "roll_sigma", "pitch_sigma", "yaw_sigma", "vn", "ve", "vd", "pn", "pe", "pd", "height", "height_ell", "baro_alt", "baro_meas", "vz", "arm_f", "arm_r", "arm_d")
+    numbers = {n: (next(at), "<f4") for n in names} | {"lat_deg": (96, "<f8"), "lon_deg": (104, "<f8"), "mag_ref_ut": (112, "<f4"), "mag_decl_deg": (116, "<f4")}
+    m = unpacked(payload, 120, **{n: (k, "u1") for k, n in enumerate(("version", "mode", "att_src", "cal_applied", "sat_axes", "cpu_pct"))}, imu_hz=(6, "<u2"), flags=(8, "<u4"), update_wcet_us=(12, "<u4"), **numbers)
+    flags = m["flags"]
+    on = lambda name: bit(flags, FLAGS.index(name))
+    reals = {n: m[n] for n in names}
     flag = {"roll": "rpy", "pitch": "rpy", "yaw": "rpy", "roll_sigma": "rpy_sigma", "pitch_sigma": "rpy_sigma", "yaw_sigma": "yaw_sigma", "vn": "vel", "ve": "vel", "vd": "vel", "pn": "pos", "pe": "pos", "pd": "pos"}
     named = lambda k, names: F.coalesce(F.get(F.array(*map(F.lit, names)), k.cast("int")), F.when(k.isNotNull(), "?"))
-    out = {"version": field(whole, 0, 1), "mode": named(field(whole, 1, 1), MODES), "att_src": named(field(whole, 2, 1), SOURCES), "cal_applied": field(whole, 3, 1), "sat_axes": axes(field(whole, 4, 1)), "cpu_pct": field(whole, 5, 1), "imu_hz": field(whole, 6, 2), "flags": flags, "update_wcet_us": field(whole, 12, 4)}
+    out = {"version": m["version"], "mode": named(m["mode"], MODES), "att_src": named(m["att_src"], SOURCES), "cal_applied": m["cal_applied"], "sat_axes": axes(m["sat_axes"]), "cpu_pct": m["cpu_pct"], "imu_hz": m["imu_hz"], "flags": flags, "update_wcet_us": m["update_wcet_us"]}
     out |= {n: c if n.startswith("arm") else F.when(on(flag.get(n, n)), c) for n, c in reals.items()}
-    out |= {"lat_deg": F.when(on("latlon"), real(whole, 96, 8)), "lon_deg": F.when(on("latlon"), real(whole, 104, 8)), "mag_ref_ut": F.when(on("mag_ref"), real(whole, 112)), "mag_decl_deg": F.when(on("mag_ref"), real(whole, 116))}
+    out |= {n: F.when(on(bit_of), m[n]) for n, bit_of in (("lat_deg", "latlon"), ("lon_deg", "latlon"), ("mag_ref_ut", "mag_ref"), ("mag_decl_deg", "mag_ref"))}
     return out | {n: on(n) for n in ("ready", "leverarm", "leverarm_bad", "zupt", "zaru", "vzupt")}
 
 
@@ -198,50 +229,56 @@ def imu_status(status: Column) -> tuple[Column, Column]:
 
 def imu_sample(payload: Column) -> dict[str, Column]:
     """An inertial sample (class 0x40, id 0x01, 38 bytes), in m/s2 and rad/s."""
-    whole = F.when(F.length(payload) == 38, payload)
-    status = field(whole, 32, 4)
-    temperature, flags = imu_status(status)
-    out = {"t_us": field(whole, 0, 8)} | {f"acc_{a}": real(whole, 8 + 4 * k) * 9.80665 for k, a in enumerate("xyz")}
-    return out | {f"gyr_{a}": real(whole, 20 + 4 * k) * 0.017453292519943295 for k, a in enumerate("xyz")} | {"status_temp": temperature, "status_flags": flags, "seq16": field(whole, 36, 2)}
+    numbers = {f"{n}_{a}": (8 + 4 * (3 * i + k), "<f4") for i, n in enumerate(("acc", "gyr")) for k, a in enumerate("xyz")}
+    m = unpacked(payload, 38, t_us=(0, "<i8"), **numbers, status=(32, "<u4"), seq16=(36, "<u2"))
+    temperature, flags = imu_status(m["status"])
+    out = {"t_us": m["t_us"]} | {n: m[n] * (9.80665 if n.startswith("acc") else 0.017453292519943295) for n in numbers}
+    return out | {"status_temp": temperature, "status_flags": flags, "seq16": m["seq16"]}
 
 
 def mag_sample(payload: Column) -> dict[str, Column]:
     """A magnetometer sample (class 0x40, id 0x06, 24 bytes), in uT and degrees Celsius."""
-    whole = F.when(F.length(payload) == 24, payload)
-    return {"t_us": field(whole, 0, 8)} | {f"mag_{a}": real(whole, 8 + 4 * k) for k, a in enumerate("xyz")} | {"temp_c": real(whole, 20)}
+    m = unpacked(payload, 24, t_us=(0, "<i8"), mag_x=(8, "<f4"), mag_y=(12, "<f4"), mag_z=(16, "<f4"), temp_c=(20, "<f4"))
+    return {n: m[n] for n in ("t_us", "mag_x", "mag_y", "mag_z", "temp_c")}
 
 
 #: Bytes of a value by bits 28 to 30 of its key; -1: the bytes stand before it.
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: -1}
 
 
+def items_of(payload: bytes) -> list[tuple[int, bytes]] | None:
+    """Keys and values from the fifth byte on; None where the payload is malformed."""
+    at, n, out = 4, len(payload), []
+    while at < n:
+        key = int.from_bytes(payload[at : at + 4], "little")
+        # A kind that is not in the table has its width before the value, too.
+        width, head = WIDTHS.get(key >> 28 & 7, -1), 4
+        if width < 0:
+            width, head = int.from_bytes(payload[at + 4 : at + 6], "little"), 6
+        if at + head > n or at + head + width > n:
+            return None
+        out.append((key, payload[at + head : at + head + width]))
+        at += head + width
+    return out
+
+
 def value_items(payload: Column) -> dict[str, Column]:
     """Items of keys and values (class 0x40, id 0x0A): layer, more, and items, an array of key and value; null items where the payload is malformed.
 
-    A walk over the payload as a fold: each step reads a key of 4 bytes, from it or from 2 bytes more the width, and the value.
+    A walk over each payload: a key of 4 bytes, from it or from 2 bytes more the width, and the value.
     """
-    hexed, n = F.hex(payload), F.length(payload)
-    byte = lambda at, size: F.substring(hexed, at * 2 + 1, size * 2)
-    number = lambda at, size: F.conv(F.concat(*(byte(at + k, F.lit(1)) for k in reversed(range(size)))), 16, 10).cast("long")
-    kinds = F.create_map(*(F.lit(x) for pair in WIDTHS.items() for x in pair))
 
-    def step(s: Column, _: Column) -> Column:
-        here, key = s["at"], number(s["at"], 4)
-        # A kind that is not in the table has its width before the value, too.
-        kind = F.coalesce(F.element_at(kinds, F.shiftright(key, 28).bitwiseAND(7).cast("int")), F.lit(-1))
-        head = F.when(kind < 0, 6).otherwise(4)
-        width = F.when(kind < 0, number(here + 4, 2).cast("int")).otherwise(kind)
-        fits = (here + head <= n) & (here + head + width <= n)
-        item = F.struct(key.alias("key"), F.unhex(byte(here + head, width)).alias("value"))
-        done = F.struct((here + head + width).cast("int").alias("at"), F.concat(s["items"], F.array(item)).alias("items"), F.lit(True).alias("ok"))
-        bad = F.struct(n.cast("int").alias("at"), s["items"].alias("items"), F.lit(False).alias("ok"))
-        return F.when((here >= n) | ~s["ok"], s).when(fits, done).otherwise(bad)
-
-    start = F.struct(F.lit(4).alias("at"), F.array().cast("array<struct<key:bigint,value:binary>>").alias("items"), F.lit(True).alias("ok"))
-    # No item takes fewer than 5 bytes.
-    walked = F.aggregate(F.sequence(F.lit(0), F.greatest((n - 4) / 5, F.lit(0.0)).cast("int")), start, step)
-    whole = n >= 4
-    return {"layer": F.when(whole, field(payload, 1, 1)), "more": F.when(whole, field(payload, 2, 1) > 0), "items": F.when(whole & walked["ok"], walked["items"])}
+    def run(batch: pa.Array) -> pa.Array:
+        rows = [None if x is None or len(x) < 4 else items_of(x) for x in batch.to_pylist()]
+        flat = [item for row in rows if row for item in row]
+        ends = np.append(0, np.cumsum([len(row) if row else 0 for row in rows])).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array([key for key, _ in flat], pa.int64()), pa.array([value for _, value in flat], pa.binary())], ["key", "value"])
+        return pa.ListArray.from_arrays(pa.array(ends), each, mask=pa.array([row is None for row in rows]))
+
+    shipped(SparkSession.active())
+    whole = F.length(payload) >= 4
+    items = F.arrow_udf(run, "array<struct<key: bigint, value: binary>>")(payload)
+    return {"layer": F.when(whole, field(payload, 1, 1)), "more": F.when(whole, field(payload, 2, 1) > 0), "items": items}
 
 
 def datagrams(frames: list[bytes], most: int = 1400) -> list[bytes]:
