@@ -265,8 +265,9 @@ SELECT k, round(sqrt(9 + 4 + 0.25), 3) + 0e0 AS error, round(0.001 * (m + 100),
 
 def _packed(x, size: int):
     """An integer column as little-endian bytes in hexadecimal."""
-    hexed = F.lpad(F.right(F.hex(x.cast("long")), F.lit(2 * size)), 2 * size, "0")
-    return F.concat(*(F.substring(hexed, 2 * i + 1, 2) for i in reversed(range(size))))
+    x = x.cast("long") if size == 8 else x.cast("long").bitwiseAND(F.lit((1 << 8 * size) - 1))
+    half = F.lit(0x0F0F0F0F0F0F0F0F)  # digits change places in their bytes, then all are turned round
+    return F.reverse(F.lpad(F.hex(F.shiftleft(x.bitwiseAND(half), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(half))), 2 * size, "0"))
 
 
 def position_messages(spark: SparkSession, d: str) -> DataFrame:
