@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftline.operators.lockstep import in_blocks, steps
 from driftline.shipping import shipped
 
 
@@ -195,39 +196,62 @@ def per_recording(df: DataFrame, run, columns: str, also: tuple[str, ...] = ("t_
 def offset_filter(df: DataFrame, walk_var: float, noise_var: float, threshold: float = 10.0) -> DataFrame:
     """recording_id, t_us, seq, estimate."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t_us", "seq"])
-        k = Offset(walk_var, noise_var, threshold)
-        frame["estimate"] = [k.step(int(t), float(z)) for t, z in zip(frame["t_us"], frame["value"], strict=True)]
-        return frame[["recording_id", "t_us", "seq", "estimate"]]
+    def run(frame: pd.DataFrame, start: np.ndarray) -> dict[str, np.ndarray]:
+        from driftline.operators.parts import Offsets
+
+        k, t, z, out = Offsets(len(start), walk_var, noise_var, threshold), frame["t_us"].to_numpy(np.int64), frame["value"].to_numpy(float), np.empty(len(frame))
+        for j, i in steps(start, len(frame)):
+            out[i] = k.step(j, t[i], z[i])
+        return {"estimate": out}
 
-    return per_recording(df.select("recording_id", "t_us", "seq", "value"), run, "estimate double")
+    return in_blocks(df.select("recording_id", "t_us", "seq", "value"), run, "estimate double")
 
 
 def vertical_filter(df: DataFrame, acc: str, height: str, smooth: bool = False) -> DataFrame:
     """recording_id, t_us, seq, h, v, bias; with smooth, the fixed-interval solution. Null heights only predict."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t_us", "seq"])
-        k, last = Vertical(), None
-        xb, xa, pb, pa, fs = [], [], [], [], []
-        for t, a, h in zip(frame["t_us"], frame[acc], frame[height], strict=True):
-            dt = 0.0 if last is None else max(int(t) - last, 0) / 1e6
-            last = int(t)
-            fs.append(np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]]))
-            k.predict(int(t), float(a))
-            xb.append(k.x)
-            pb.append(k.p)
-            if h == h and h is not None:
-                k.height(float(h))
-            xa.append(k.x)
-            pa.append(k.p)
-        x = np.array(xa)
-        if smooth and len(x):
-            x, _ = smoothed(np.array(fs[1:]), np.array(pb), np.array(pa), np.array(xb), x)
-        return frame[["recording_id", "t_us", "seq"]].assign(h=x[:, 0], v=x[:, 1], bias=x[:, 2])
-
-    return per_recording(df.select("recording_id", "t_us", "seq", acc, height), run, "h double, v double, bias double")
+    def run(frame: pd.DataFrame, start: np.ndarray) -> dict[str, np.ndarray]:
+        from driftline.operators.parts import Verticals
+
+        n, k, t = len(frame), Verticals(len(start)), frame["t_us"].to_numpy(np.int64)
+        a, z = frame[acc].to_numpy(float), frame[height].to_numpy(float)
+        xa, each = np.empty((n, 3)), list(steps(start, n))
+        xb, pb, pa, fs = (np.empty((n, 3)), *(np.empty((n, 3, 3)) for _ in range(3))) if smooth else (None,) * 4
+        for j, i in each:
+            f = k.predict(j, t[i], a[i])
+            if smooth:
+                fs[i], xb[i], pb[i] = f, k.x[j], k.p[j]
+            own = ~np.isnan(z[i])
+            k.height(j[own], z[i[own]])
+            xa[i] = k.x[j]
+            if smooth:
+                pa[i] = k.p[j]
+        if smooth:  # backwards: each row that has one after it takes that one's correction
+            gain = gains(fs, pb, pa, start)
+            for _, i in reversed(each[1:]):
+                xa[i - 1] += np.einsum("nij,nj->ni", gain[i], xa[i] - xb[i])
+        return dict(zip(("h", "v", "bias"), xa.T, strict=True))
+
+    return in_blocks(df.select("recording_id", "t_us", "seq", acc, height), run, "h double, v double, bias double")
+
+
+def gains(f: np.ndarray, before: np.ndarray, after: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What a row's correction is worth for the row before it, for all rows of a block but the recordings' first."""
+    out = np.zeros_like(f)
+    back = lambda own: after[own.start - 1 : own.stop - 1] @ f[own].transpose(0, 2, 1)
+    solved = lambda own: np.linalg.solve(before[own], back(own).transpose(0, 2, 1)).transpose(0, 2, 1)  # noqa: E731  predictions are symmetric
+    try:
+        out[1:] = solved(slice(1, len(f)))
+        return out
+    except np.linalg.LinAlgError:
+        pass  # then a recording at a time
+    for a, b in zip(start, np.append(start[1:], len(f)), strict=True):
+        own = slice(int(a) + 1, int(b))
+        try:
+            out[own] = solved(own)
+        except np.linalg.LinAlgError:
+            out[own] = back(own) @ np.linalg.pinv(before[own])
+    return out
 
 
 def attitude_filter(df: DataFrame) -> DataFrame:

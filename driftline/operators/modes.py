@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from driftline.operators.filters import per_recording
+from driftline.operators.lockstep import in_blocks, steps
 
 NONE, ATTITUDE, COASTING, FULL = range(4)
 
@@ -96,15 +96,17 @@ class Gate:
 def mode_track(df: DataFrame, **settings: float) -> DataFrame:
     """recording_id, t_us, seq, event, mode for rows with offered, entry, stay and sample (booleans)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t_us", "seq"])
-        gate, events, modes = Gate(**settings), [], []
-        for t, *flags in frame[["t_us", "offered", "entry", "stay", "sample"]].itertuples(index=False, name=None):
-            events.append(gate.step(int(t), *map(bool, flags)))
-            modes.append(gate.mode(int(t)))
-        return frame[["recording_id", "t_us", "seq"]].assign(event=events, mode=modes)
+    def run(frame: pd.DataFrame, start: np.ndarray) -> dict[str, np.ndarray]:
+        from driftline.operators.parts import EVENT_NAMES, Gates
 
-    return per_recording(df.select("recording_id", "t_us", "seq", "offered", "entry", "stay", "sample"), run, "event string, mode int")
+        k, t = Gates(len(start), Gate(**settings)), frame["t_us"].to_numpy(np.int64)
+        flags, event, mode = frame[["offered", "entry", "stay", "sample"]].to_numpy(bool), np.zeros(len(frame), int), np.zeros(len(frame), int)
+        for j, i in steps(start, len(frame)):
+            event[i] = k.step(j, t[i], *flags[i].T)
+            mode[i] = k.mode(j, t[i])
+        return {"event": EVENT_NAMES[event], "mode": mode}
+
+    return in_blocks(df.select("recording_id", "t_us", "seq", "offered", "entry", "stay", "sample"), run, "event string, mode int")
 
 
 def inflated(var: np.ndarray, psd: np.ndarray, seconds: float | np.ndarray, cap: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from driftline.operators.filters import per_recording
+from driftline.operators.lockstep import in_blocks, steps
 
 GRAVITY = 9.80665
 
@@ -124,20 +125,23 @@ class LevelWindow:
         return float(np.arctan2(-fy, -fz)), float(np.arctan2(fx, np.hypot(fy, fz))), 0.0 if rest else self.moving_sigma
 
 
-def stillness_track(df: DataFrame, **settings: float) -> DataFrame:
-    """recording_id, t_us, seq, active (rests), due (a standstill update is due) of an imu stream; a null speed is no speed."""
+def stillness_track(df: DataFrame, also: tuple[str, ...] = (), **settings: float) -> DataFrame:
+    """recording_id, t_us, seq, `also`, active (rests), due (a standstill update is due) of an imu stream; a null speed is no speed."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t_us", "seq"])
-        k, active, due = Still(**settings), [], []
+    def run(frame: pd.DataFrame, start: np.ndarray) -> dict[str, np.ndarray]:
+        from driftline.operators.parts import Stills
+
+        k, t, none = Stills(len(start), Still(**settings)), frame["t_us"].to_numpy(np.int64), np.zeros(3)
         g, a = frame[["gyr_x", "gyr_y", "gyr_z"]].to_numpy(float), frame[["acc_x", "acc_y", "acc_z"]].to_numpy(float)
         v = frame["speed"].to_numpy(float) if "speed" in frame else np.full(len(frame), np.nan)
-        for i, t in enumerate(frame["t_us"]):
-            due.append(k.step(int(t), g[i], a[i], speed=None if np.isnan(v[i]) else v[i]))
-            active.append(k.active)
-        return frame[["recording_id", "t_us", "seq"]].assign(active=active, due=due)
-
-    return per_recording(df, run, "active boolean, due boolean")
+        active, due = np.zeros(len(frame), bool), np.zeros(len(frame), bool)
+        for j, i in steps(start, len(frame)):
+            due[i] = k.step(j, t[i], g[i], a[i], none, v[i])
+            active[i] = k.active[j]
+        return {"active": active, "due": due}
+
+    need = dict.fromkeys(("recording_id", "t_us", "seq", *also, "gyr_x", "gyr_y", "gyr_z", "acc_x", "acc_y", "acc_z", *(["speed"] if "speed" in df.columns else [])))
+    return in_blocks(df.select(*need), run, "active boolean, due boolean", ("t_us", "seq", *also))
 
 
 def level_track(df: DataFrame, window_s: float = 0.1, size: int = 64) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from driftline.operators import fleet, inertial, lockstep, modes, stillness, suite, suites
+from driftline.operators import filters, fleet, inertial, lockstep, modes, stillness, suite, suites
 
 
 def drives(lengths, seed=1):
@@ -93,3 +93,40 @@ def test_suites_that_step_together_equal_single_ones(monkeypatch):
             assert np.array([got[c][at] for c in names[5:]], float) == pytest.approx(np.array([want[c] for c in names[5:]], float), rel=1e-6, abs=1e-6, nan_ok=True)
     print(seen)
     assert seen >= {"imu_loss", "enter", "quality_loss", "reacquire", "ars", "ahrs", "ins", "vertical", "offset"}
+
+
+@pytest.mark.parametrize("kind", ["stillness", "vertical", "smoother"])
+def test_tracks_equal_loops_and_step_together(spark, monkeypatch, kind):
+    """The columns of 40 recordings, and that a task steps its block, not its rows."""
+    df = drives([int(k) for k in np.random.default_rng(8).integers(1, 60, 40)], seed=9)[["recording_id", "t_us", "seq", *inertial.IMU, "speed", "baro_h"]]
+    df[inertial.IMU] = np.where(df["recording_id"].to_numpy()[:, None] % 2, df[inertial.IMU], np.random.default_rng(1).normal(0, 1e-4, (len(df), 6)) + np.array([0, 0, 0, 0, 0, -9.81]))
+    frame = spark.createDataFrame(df.astype(object).where(df.notna(), None), "recording_id long, t_us long, seq long, " + ", ".join(f"{c} double" for c in df.columns[3:]))
+    if kind == "stillness":
+        out, names = stillness.stillness_track(frame, least=3, speed_age_s=0.1), ["active", "due"]
+    else:
+        out, names = filters.vertical_filter(frame, "acc_x", "baro_h", smooth=kind == "smoother"), ["h", "v", "bias"]
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # a group of pandas for each recording before
+    got = out.toPandas().set_index("seq")[names]
+    for _, own in df.groupby("recording_id"):
+        if kind == "stillness":
+            k, want = stillness.Still(least=3, speed_age_s=0.1), []
+            for r in own.itertuples():
+                due = k.step(r.t_us, np.array([r.gyr_x, r.gyr_y, r.gyr_z]), np.array([r.acc_x, r.acc_y, r.acc_z]), speed=None if np.isnan(r.speed) else r.speed)
+                want.append((k.active, due))
+            assert got.loc[own["seq"]].to_numpy().tolist() == [list(w) for w in want]
+            continue
+        k, last, parts = filters.Vertical(), None, [[] for _ in range(5)]
+        for r in own.itertuples():
+            dt = 0.0 if last is None else max(r.t_us - last, 0) / 1e6
+            last = r.t_us
+            k.predict(r.t_us, r.acc_x)
+            before = k.x, k.p
+            if r.baro_h == r.baro_h:
+                k.height(r.baro_h)
+            for part, x in zip(parts, (np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]]), before[1], k.p, before[0], k.x), strict=True):
+                part.append(x)
+        f, pb, pa, xb, xa = map(np.array, parts)
+        want = filters.smoothed(f[1:], pb, pa, xb, xa)[0] if kind == "smoother" else xa
+        assert got.loc[own["seq"]].to_numpy() == pytest.approx(want, rel=1e-7, abs=1e-7)
+    if kind == "stillness":
+        assert got["active"].any() and got["due"].any() and not got["active"].all()
