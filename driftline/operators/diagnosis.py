@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,54 +15,53 @@ WARNED, FAILED = 2, 2
 
 def rate_spread(df: DataFrame, bucket_s: float = 5.0) -> DataFrame:
     """recording_id, spread: greatest less least rate over buckets, by their upper median; the last bucket, which is not whole, does not count where there are three."""
-    each = quality.bucketed_rate(df, bucket_s).withColumns({"last": F.max("bucket").over(W.partitionBy("recording_id"))})
-    core = each.where((F.col("bucket") < F.col("last")) | (F.col("last") < 2)).drop("last")
-    middle = quality.order_statistics(core, ["recording_id"], "hz").select("recording_id", "upper_median")
-    ends = core.groupBy("recording_id").agg((F.max("hz") - F.min("hz")).alias("range"))
-    return ends.join(middle, "recording_id").select("recording_id", F.when(F.col("upper_median") > 0, F.col("range") / F.col("upper_median")).otherwise(0.0).alias("spread"))
+    start = W.partitionBy("recording_id")
+    bucket = ((F.col("t_us") - F.min("t_us").over(start)) / 1e6 / bucket_s).cast("long")
+    counts = df.select("recording_id", bucket.alias("bucket")).groupBy("recording_id", "bucket").agg((F.count(F.lit(1)) / bucket_s).alias("hz"))
+    core = counts.withColumn("last", F.max("bucket").over(start)).where((F.col("bucket") < F.col("last")) | (F.col("last") < 2))
+    ranks = core.withColumns({"m": F.col("last") + (F.col("last") < 2).cast("long"), "some": F.count(F.lit(1)).over(start), "r": F.row_number().over(start.orderBy("hz")) - 1})
+    # Empty buckets, m - some of them, come before all others.
+    empty = F.col("m") - F.col("some")
+    g = ranks.groupBy("recording_id").agg(F.max(F.when(F.col("r") == F.floor(F.col("m") / 2) - empty, F.col("hz"))).alias("middle"), F.max("hz").alias("most"), F.min(F.when(empty > 0, 0.0).otherwise(F.col("hz"))).alias("least"))
+    return g.select("recording_id", F.when(F.col("middle") > 0, (F.col("most") - F.col("least")) / F.col("middle")).otherwise(0.0).alias("spread"))
 
 
-def noise_ratio(df: DataFrame, columns: list[str], psd: float, max_gap_us: int) -> DataFrame:
-    """recording_id, ratio, band_limited: the worst axis's noise floor by what a density makes of it at the recording's rate."""
-    rate = quality.gap_statistics(df).select("recording_id", "avg_hz")
-    out = None
-    for c in columns:
-        own = quality.difference_noise(df.select("recording_id", "t_us", "seq", F.col(c).alias("value")), max_gap_us).select("recording_id", "noise", F.col("band_limited"))
-        out = own if out is None else out.unionByName(own)
-    worst = out.groupBy("recording_id").agg(F.max("noise").alias("noise"), F.max("band_limited").alias("band_limited"))
-    return worst.join(rate, "recording_id").select("recording_id", (F.col("noise") ** 2 / F.nullif(F.col("avg_hz") * psd, F.lit(0.0))).alias("ratio"), "band_limited")
+def noise_ratio(columns: list[str], psd: float) -> tuple[Column, Column]:
+    """Of rows of quality.gaps_and_noise: the worst axis's noise floor by what a density makes of it at the recording's rate, and whether any is band-limited."""
+    worst, limited = (F.greatest(*(f"{k}_{c}" for c in columns)) for k in ("noise", "limited"))
+    return worst**2 / F.nullif(F.col("avg_hz") * psd, F.lit(0.0)), limited
 
 
 def metrics(streams: dict[str, DataFrame], config: dict, gyr_psd: float = 1e-7, acc_psd: float = 1e-4, least_still: int = 100, max_gap_us: int = 100_000, bucket_s: float = 5.0) -> DataFrame:
-    """A row for each recording with inertial samples: what doctor.report reads, as far as the streams tell. Each part is a pass by recording."""
+    """A row for each recording with inertial samples: what doctor.report reads, as far as the streams tell. The samples are read for gaps and noise, rates, and rest; the fixes once."""
     imu = streams["imu"]
-    gaps = quality.gap_statistics(imu)
-    out = gaps.select("recording_id", F.col("avg_hz").alias("imu_hz"), F.col("max_gap_s").alias("imu_max_gap"), F.col("max_gap_at_s").alias("imu_max_gap_at"))
-    out = out.join(rate_spread(imu, bucket_s).withColumnRenamed("spread", "imu_rate_spread"), "recording_id", "left")
-    for name, columns, psd in (("gyr", ["gyr_x", "gyr_y", "gyr_z"], gyr_psd), ("acc", ["acc_x", "acc_y", "acc_z"], acc_psd)):
-        out = out.join(noise_ratio(imu, columns, psd, max_gap_us).toDF("recording_id", f"{name}_noise_ratio", f"{name}_band_limited"), "recording_id", "left")
-    still = stillness.stillness_track(imu).where("active").select("recording_id", "t_us", "seq").join(imu, ["recording_id", "t_us", "seq"])
-    norm = still.withColumn("norm", F.sqrt(sum((F.col(f"acc_{a}") ** 2 for a in "xyz"), F.lit(0.0))))
+    axes = {n: [f"{n}_{a}" for a in "xyz"] for n in ("gyr", "acc")}
+    gaps = quality.gaps_and_noise(imu.select("recording_id", "t_us", "seq", *axes["gyr"], *axes["acc"]), [*axes["gyr"], *axes["acc"]], max_gap_us)
+    (gyr, gyr_limited), (acc, acc_limited) = noise_ratio(axes["gyr"], gyr_psd), noise_ratio(axes["acc"], acc_psd)
+    out = gaps.select(
+        "recording_id", F.col("avg_hz").alias("imu_hz"), F.col("max_gap_s").alias("imu_max_gap"), F.col("max_gap_at_s").alias("imu_max_gap_at"),
+        gyr.alias("gyr_noise_ratio"), gyr_limited.alias("gyr_band_limited"), acc.alias("acc_noise_ratio"), acc_limited.alias("acc_band_limited"),
+    )
+    out = out.join(rate_spread(imu.select("recording_id", "t_us"), bucket_s).withColumnRenamed("spread", "imu_rate_spread"), "recording_id", "left")
+    still = stillness.stillness_track(imu, also=tuple(axes["acc"])).where("active")
+    norm = still.select("recording_id", F.sqrt(sum((F.col(c) ** 2 for c in axes["acc"]), F.lit(0.0))).alias("norm"))
+    middle = quality.order_statistics(norm, ["recording_id"], "norm").where(F.col("n") >= least_still)
+    out = out.join(middle.select("recording_id", F.col("median").alias("__norm")), "recording_id", "left")
     place = F.lit(9.80665)
     if "gnss" in streams:
         fixes = streams["gnss"]
-        first = fixes.groupBy("recording_id").agg(F.min_by(F.struct("lat_deg", "h_m"), F.struct("t_us", "seq")).alias("o"))
-        norm = norm.join(first.select("recording_id", geo.normal_gravity(F.radians("o.lat_deg"), F.col("o.h_m")).alias("g0")), "recording_id", "left")
-        place = F.coalesce("g0", place)
-    gravity = norm.withColumn("ratio", F.col("norm") / place)
-    middle = quality.order_statistics(gravity, ["recording_id"], "ratio").where(F.col("n") >= least_still)
-    out = out.join(middle.select("recording_id", (F.col("median") - 1.0).alias("gravity_dev")), "recording_id", "left")
-    if "gnss" in streams:
-        coverage = quality.gap_statistics(fixes).select("recording_id", F.col("n").alias("gnss_n"), F.col("max_gap_s").alias("gnss_max_gap"))
         bad = lambda c, least: F.when(F.max(c) > 0, F.sum((F.col(c) >= least).cast("long")))  # noqa: E731  all 0: the receiver does not tell
-        told = fixes.groupBy("recording_id").agg(
+        told = quality.gaps_and_noise(
+            fixes, [], max_gap_us, F.min_by(F.struct("lat_deg", "h_m"), F.struct("t_us", "seq")).alias("__o"),
             bad("jamming", WARNED).alias("jamming_bad"), bad("spoofing", WARNED).alias("spoofing_bad"), F.when(F.max("sig_auth") > 0, F.sum((F.col("sig_auth") == FAILED).cast("long"))).alias("sig_auth_failed"),
             F.when(F.max("nav_auth") > 0, F.sum((F.col("nav_auth") == FAILED).cast("long"))).alias("nav_auth_failed"), F.avg(F.when(F.col("vel_ok") > 0, F.sqrt((F.col("v_nn") + F.col("v_ee")) / 2))).alias("gnss_hor_mps"),
             F.percentile(F.when(F.col("num_sv") > 0, F.col("num_sv")), F.lit(0.5)).alias("satellites"), F.min(F.when(F.col("num_sv") > 0, F.col("num_sv"))).alias("least_satellites"),
-        )
+        ).drop("duration_s", "avg_hz", "max_gap_at_s").withColumnsRenamed({"n": "gnss_n", "max_gap_s": "gnss_max_gap"})
         if "timesync" in streams:
             out = out.join(clocks.median_latency(fixes, clocks.gps_clocks(streams["timesync"])), "recording_id", "left")
-        out = out.join(coverage, "recording_id", "left").join(told, "recording_id", "left").withColumn("gnss_n", F.coalesce("gnss_n", F.lit(0)).cast("long"))
+        out = out.join(told, "recording_id", "left").withColumn("gnss_n", F.coalesce("gnss_n", F.lit(0)).cast("long"))
+        place = F.coalesce(geo.normal_gravity(F.radians("__o.lat_deg"), F.col("__o.h_m")), place)
     else:
         out = out.withColumn("gnss_n", F.lit(0).cast("long"))
+    out = out.withColumn("gravity_dev", F.col("__norm") / place - 1.0).drop("__norm", "__o")
     return out.withColumns({"aiding_mode": F.lit(config.get("aiding", "gnss")), "delay_ms": F.lit(float(config.get("gnss", {}).get("delay_ms", 0.0)))})

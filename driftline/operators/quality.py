@@ -49,6 +49,29 @@ def difference_noise(df: DataFrame, max_gap_us: int) -> DataFrame:
     return g.select("recording_id", "n2", "n3", F.when(F.col("n2") > 1, F.sqrt(F.col("s2") / 6)).alias("noise"), ratio.alias("ratio"), (ratio < 2.5).alias("band_limited"))
 
 
+def gaps_and_noise(df: DataFrame, columns: list[str], max_gap_us: int, *also: Column) -> DataFrame:
+    """What gap_statistics and difference_noise (noise_<column>, limited_<column>) tell, and aggregates of the rows besides, in one pass in order of time."""
+    lags = {f"__{c}{k}": F.lag(c, k).over(in_time()) for c in ("t_us", *columns) for k in range(1, 4 if columns else 2)}
+    d = df.select("*", *(x.alias(n) for n, x in lags.items()))
+    v = lambda c, k: F.col(f"__{c}{k}" if k else c)
+    gap = lambda k: v("t_us", k) - v("t_us", k + 1)
+    near = lambda k: (gap(k) > 0) & (gap(k) < max_gap_us)
+    each = []
+    for c in columns:
+        d2 = F.when(near(0) & near(1), v(c, 0) - 2 * v(c, 1) + v(c, 2))
+        d3 = F.when(near(0) & near(1) & near(2), v(c, 0) - 3 * v(c, 1) + 3 * v(c, 2) - v(c, 3))
+        each += [F.count(d2).alias(f"n2_{c}"), F.count(d3).alias(f"n3_{c}"), F.var_pop(d2).alias(f"s2_{c}"), F.var_pop(d3).alias(f"s3_{c}")]
+    longest, at = F.max(gap(0)).alias("gap"), F.max_by("t_us", F.struct(gap(0).alias("gap"), -F.col("t_us"))).alias("at")
+    g = d.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("t0"), F.max("t_us").alias("t1"), longest, at, *each, *also)
+    span, some = (F.col("t1") - F.col("t0")) / 1e6, F.coalesce(F.col("gap") > 0, F.lit(False))
+    told = {"duration_s": span, "avg_hz": F.when(span > 0, (F.col("n") - 1) / span).otherwise(0.0), "max_gap_s": F.when(some, F.col("gap") / 1e6).otherwise(0.0), "max_gap_at_s": F.when(some, (F.col("at") - F.col("t0")) / 1e6).otherwise(0.0)}
+    for c in columns:
+        told[f"noise_{c}"] = F.when(F.col(f"n2_{c}") > 1, F.sqrt(F.col(f"s2_{c}") / 6))
+        told[f"limited_{c}"] = F.when((F.col(f"n3_{c}") > 1) & (F.col(f"s2_{c}") > 0), F.col(f"s3_{c}") / F.col(f"s2_{c}")) < 2.5
+    made = ("t0", "t1", "gap", "at", *(f"{k}_{c}" for c in columns for k in ("n2", "n3", "s2", "s3")))
+    return g.withColumns(told).drop(*made)
+
+
 def score_statistics(df: DataFrame, by: list[str], error: str) -> DataFrame:
     """n, mean, population std (0 below two), rms and largest magnitude."""
     e = F.col(error)
